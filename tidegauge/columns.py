@@ -39,7 +39,14 @@ def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
 
 
 def attach(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join on ``names`` where NULL equals NULL; the right copies are dropped."""
+    """Equi-join on ``names`` where NULL equals NULL; the right copies are dropped.
+
+    Without names the right side must be one row at most; it comes in as a scalar, not as a join.
+    """
+    if not names:
+        row = right.select(F.struct(*[c(n) for n in right.columns]).alias("__row")).scalar()
+        out = left if how == "left" else left.where(row.isNotNull())
+        return out.withColumns({n: row.getField(n) for n in right.columns})
     renamed = right.withColumnsRenamed({n: f"__r{i}" for i, n in enumerate(names)})
     cond = F.lit(True)
     for i, n in enumerate(names):

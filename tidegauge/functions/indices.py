@@ -59,9 +59,12 @@ LEVELS = [
 
 
 def weighted_index(weights: Mapping[str, float] = COMPOSITE_WEIGHTS, round_to: int | None = None) -> Column:
-    """Weighted sum of columns; NULL if any of them is NULL."""
+    """Weighted sum of columns; NULL if any of them is NULL. Rounds half-way cases to even."""
     total = reduce(lambda a, b: a + b, [c(n) * F.lit(w) for n, w in weights.items()])
-    return total if round_to is None else F.round(total, round_to)
+    if round_to is None:
+        return total
+    unit = float(10**round_to)
+    return F.rint(total * unit) / unit
 
 
 def ratio(top: str, bottom: str, offset: float = 0.001) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..columns import c, present, quoted
-from .order import AUTO, Layout, fill_gaps, over_rows
+from ..session import cut
+from .order import AUTO, Layout, fill_gaps, over_rows, settle
 from .quantiles import quantiles
 from .select import parse_ts
 
@@ -33,13 +35,24 @@ def fill_previous(
     return over_rows(df, nearest, keys=keys, order=order, before=limit, layout=layout)
 
 
-def fill_mean(df: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Remaining NULLs take the mean of the column over the whole table.
+def column_means(df: DataFrame, values: Sequence[str]) -> dict[str, float | None]:
+    """The mean of each column, as numbers."""
+    row = df.agg(*[F.avg(c(v)).alias(f"m{i}") for i, v in enumerate(values)]).first()
+    return {v: row[f"m{i}"] for i, v in enumerate(values)}
 
-    The means are one scalar subquery: one aggregate for all columns, no window and no join.
+
+def fill_mean(
+    df: DataFrame, values: Sequence[str], means: Mapping[str, float | None] | None = None
+) -> DataFrame:
+    """Remaining NULLs take the mean of the column over the whole table, or the given one.
+
+    Unless given, the means are one scalar subquery: one aggregate for all columns, no window and
+    no join.
     """
     if not values:
         return df
+    if means is not None:
+        return df.withColumns({v: F.coalesce(c(v), F.lit(means[v]).cast("double")) for v in values})
     means = df.agg(F.struct(*[F.avg(c(v)).alias(f"m{i}") for i, v in enumerate(values)]).alias("m"))
     m = means.scalar()
     return df.withColumns({v: F.coalesce(c(v), m[f"m{i}"]) for i, v in enumerate(values)})
@@ -90,6 +103,8 @@ def iqr_filter(
     """
     if mode not in ("sequential", "joint"):
         raise ValueError(f"unknown mode: {mode}")
+    if not approx:
+        layout = settle(df, (), layout)
     for batch in [[v] for v in values] if mode == "sequential" else [list(values)]:
         for v, (low, high) in iqr_bounds(df, batch, k, approx=approx, layout=layout).items():
             df = df.where(c(v).between(low, high))
@@ -132,14 +147,18 @@ def clean(
 
     ``fmt`` parses a text time column; leave it out when the column already is a timestamp.
     """
+    if fill not in ("lag_mean", "ffill_bfill"):
+        raise ValueError(f"unknown fill: {fill}")
     values = present(df, values)
     df = parse_ts(df, ts, fmt) if fmt else df.where(c(ts).isNotNull())
-    order = [ts, *tie]
+    series = {"keys": keys, "order": [ts, *tie], "layout": layout}
+    # The filled rows are written once: the means and every column's bounds are read from them.
     if fill == "lag_mean":
-        df = fill_mean(fill_previous(df, values, keys=keys, order=order, layout=layout), values)
-    elif fill == "ffill_bfill":
-        df = ffill_bfill(df, values, keys=keys, order=order, layout=layout)
+        df = cut(fill_previous(df, values, **series), "filled")
+        df = fill_mean(df, values, column_means(df, values))
     else:
-        raise ValueError(f"unknown fill: {fill}")
-    df = iqr_filter(df, values, k, mode=iqr_mode, layout=layout)
+        df = cut(ffill_bfill(df, values, **series), "filled")
+    # The bounds are over the whole table, so a check per key says nothing about them.
+    whole = replace(layout, how="auto") if keys and layout.how == "grouped" else layout
+    df = iqr_filter(df, values, k, mode=iqr_mode, layout=whole)
     return dedupe_ts(df, ts, keys=keys, tie=tie)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..columns import attach, c, present
 from ..functions.stats import direction, pearson, strength
-from .order import AUTO, Layout, number_rows
+from .order import AUTO, Layout, number_rows, settle
 from .profiles import daily_means
 from .windows import autocorrelation, rolling_corr, rolling_mean
 
@@ -184,6 +184,7 @@ def rolling_corr_summary(
 ) -> DataFrame:
     """Mean, sample deviation, maximum and minimum of the rolling correlation per window length."""
     rows = df.where(c(value).isNotNull())
+    layout = settle(rows, keys, layout)
     by = [c(k) for k in keys]
     out = None
     for n in windows:

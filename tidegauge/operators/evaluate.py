@@ -12,7 +12,7 @@ from ..columns import attach, c
 from ..functions.stats import adjusted_kurtosis, adjusted_skew, pearson
 from .forecast import Method, tails
 from .order import AUTO, Layout, number_rows, over_rows, settle
-from .quantiles import quantiles
+from .quantiles import median, quantiles
 
 # Metrics where larger is better, the full metric list.
 HIGHER_IS_BETTER = {"r2", "directional_accuracy"}
@@ -91,15 +91,18 @@ def metrics(
     stepped = over_rows(
         narrow, moves, keys=[*by, *rows], order=order, before=1, layout=layout
     )
-    out = stepped.groupBy(*[c(k) for k in by]).agg(
-        *[e.alias(n) for n, e in _core(y, p).items()],
-        (F.avg("__same") * 100).alias("directional_accuracy"),
-    )
-    errors = narrow.select(*[c(k) for k in by], F.abs(y - p).alias("__abs"))
-    middle = quantiles(errors, ["__abs"], [0.5], by=by, layout=layout).select(
-        *[c(k) for k in by], F.col("quantile").alias("median_absolute_error")
-    )
-    out = attach(out.where(F.col("n_samples") > 0), middle, by)
+    aggs = {**_core(y, p), "directional_accuracy": F.avg("__same") * 100}
+    small = layout.how == "grouped"
+    if small:
+        aggs["median_absolute_error"] = median(F.abs(y - p))
+    out = stepped.groupBy(*[c(k) for k in by]).agg(*[e.alias(n) for n, e in aggs.items()])
+    out = out.where(F.col("n_samples") > 0)
+    if not small:
+        errors = narrow.select(*[c(k) for k in by], F.abs(y - p).alias("__abs"))
+        middle = quantiles(errors, ["__abs"], [0.5], by=by, layout=layout)
+        out = attach(
+            out, middle.select(*[c(k) for k in by], F.col("quantile").alias("median_absolute_error")), by
+        )
     return out.select(*[c(k) for k in by], "n_samples", *METRICS, *STATISTICS)
 
 
@@ -172,7 +175,10 @@ def residual_analysis(
     stepped = over_rows(
         rows, lambda w: {"__before": F.lag(e, 1).over(w)}, keys=by, order=order, before=1, layout=layout
     )
+    names = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    small = layout.how == "grouped"
     out = stepped.groupBy(*[c(k) for k in by]).agg(
+        *[F.percentile(e, p).alias(n) for n, p in names.items() if small],
         F.count(e).alias("n"),
         F.avg(e).alias("mean"),
         F.stddev_pop(e).alias("std"),
@@ -182,12 +188,14 @@ def residual_analysis(
         adjusted_kurtosis(e).alias("kurtosis"),
         pearson(e, before).alias("autocorrelation_lag1"),
     )
-    qs = quantiles(rows, ["__e"], [0.25, 0.5, 0.75], by=by, layout=layout)
-    names = {0.25: "q25", 0.5: "median", 0.75: "q75"}
-    wide = qs.groupBy(*[c(k) for k in by]).agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in names.items()]
-    )
-    return attach(out.where(F.col("n") > 0), wide, by).withColumns(
+    out = out.where(F.col("n") > 0)
+    if not small:
+        qs = quantiles(rows, ["__e"], list(names.values()), by=by, layout=layout)
+        wide = qs.groupBy(*[c(k) for k in by]).agg(
+            *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for n, p in names.items()]
+        )
+        out = attach(out, wide, by)
+    return out.withColumns(
         {
             "is_centered": F.abs("mean") < 0.1 * F.col("std"),
             "is_symmetric": F.abs("skewness") < 0.5,
@@ -265,10 +273,8 @@ def backtest_with(
     by = [c(k) for k in keys]
     rows = df.where(c(value).isNotNull()).select(*[c(n) for n in dict.fromkeys([*keys, *order, value])])
     layout = settle(rows, keys, layout)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    numbered = number_rows(rows, "__rn", keys=keys, order=order, layout=layout)
-    placed = attach(numbered, sizes.where(F.col("__n") >= held + min_train), keys, "inner")
-    after = F.col("__rn") - (F.col("__n") - held)
+    placed = number_rows(rows, "__back", keys=keys, order=order, descending=True, layout=layout)
+    after = F.lit(held + 1) - F.col("__back")
     # Row is in the test part of fold ceil(after / test_size); the folds behind train on it.
     block = F.greatest(F.ceil(after / test_size), F.lit(0)).cast("int")
     first = block + 1
@@ -285,6 +291,10 @@ def backtest_with(
     inner_layout = layout if layout.how == "sliced" else AUTO
     ahead = forecaster(train, value, test_size, keys=[*keys, "fold"], order=order, layout=inner_layout)
     ahead = ahead.select(*by, "fold", "step", F.col("forecast").alias("predicted"))
+    # Series that are too short are left out here, where there are few rows per key.
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    enough = sizes.where(F.col("__n") >= held + min_train)
+    ahead = attach(ahead, enough, keys, "inner").drop("__n")
     return attach(test, ahead, [*keys, "fold", "step"], "inner").select(
         *by, "fold", "step", "actual", "predicted"
     )

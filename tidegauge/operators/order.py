@@ -84,13 +84,18 @@ def settle(df: DataFrame, keys: Sequence[str], layout: Layout) -> Layout:
     return replace(layout, how="grouped" if grouped else "sliced")
 
 
-def _window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
-    ordered = [c(o) for o in order]
+def _window(keys: Sequence[str], order: Sequence[str], descending: bool = False) -> WindowSpec:
+    ordered = [c(o).desc() if descending else c(o).asc() for o in order]
     return Window.partitionBy(*[c(k) for k in keys]).orderBy(*ordered) if keys else Window.orderBy(*ordered)
 
 
 def _numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int, total: int | None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    slice_rows: int,
+    total: int | None,
+    descending: bool = False,
 ) -> DataFrame:
     """Add the position of each row in (keys, order) and the slice it belongs to.
 
@@ -101,11 +106,12 @@ def _numbered(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if total:
         parts = max(parts, ceil(total / (4 * slice_rows)))
-    by = [c(n) for n in [*keys, *order]]
+    by = [c(k) for k in keys] + [c(o).desc() if descending else c(o).asc() for o in order]
     placed = cut(
         df.repartitionByRange(parts, *by)
         .sortWithinPartitions(*by)
-        .withColumn(_ID, F.monotonically_increasing_id())
+        .withColumn(_ID, F.monotonically_increasing_id()),
+        "numbered",
     )
     part = F.shiftright(F.col(_ID), 33)
     # One row per partition: bounded by `parts`, whatever the size of the table.
@@ -208,13 +214,15 @@ def number_rows(
     *,
     keys: Sequence[str] = (),
     order: Sequence[str],
+    descending: bool = False,
     layout: Layout = AUTO,
 ) -> DataFrame:
-    """Add the exact 1-based row number within each key."""
+    """Add the exact 1-based row number within each key, from the start or from the end."""
     grouped, total = _choose(df, keys, layout)
     if grouped:
-        return df.withColumn(name, F.row_number().over(_window(keys, order)).cast("bigint"))
-    rows = _numbered(df, keys, order, layout.slice_rows, total)
+        w = _window(keys, order, descending)
+        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+    rows = _numbered(df, keys, order, layout.slice_rows, total, descending)
     if not keys:
         return rows.withColumn(name, F.col(_POS) + 1).drop(_POS, _SLICE)
     earlier = _carry(

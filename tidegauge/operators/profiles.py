@@ -11,8 +11,10 @@ from pyspark.sql.window import Window
 from ..columns import attach, c, day_start, ntz
 from ..functions import calendar
 from ..functions.stats import pearson, strength
-from .order import AUTO, Layout
-from .quantiles import quantiles
+from ..session import cut
+from .duplicates import copy_counts
+from .order import AUTO, Layout, settle
+from .quantiles import median, quantiles
 from .windows import percent_change
 
 BUCKETS = ("hour", "dayofweek", "month", "year")
@@ -225,7 +227,8 @@ def insights(
 ) -> DataFrame:
     """Per value: peak hour, day and month, highest and lowest season, trend."""
     by = [*keys, "variable"]
-    every = profiles(df, values, ts, keys=keys)
+    # A few rows per key and value, read five times below.
+    every = cut(profiles(df, values, ts, keys=keys), "profiles")
 
     def part(bucket: str) -> DataFrame:
         return every.where(F.col("bucket") == bucket).withColumnRenamed("bucket_value", bucket)
@@ -287,14 +290,19 @@ def summary(
             aggs.append(F.max_by(x, F.when(x.isNotNull(), when)).alias(f"v{i}_latest"))
     if latest:
         fields = [*fields, "latest"]
+    layout = settle(df, (), layout)
+    if layout.how == "grouped":
+        fields.append("median")
+        aggs += [median(c(v).cast("double")).alias(f"v{i}_median") for i, v in enumerate(values)]
     wide = df.agg(*aggs)
     out = wide.select(
         "rows", F.lit(len(df.columns)).alias("columns"), "start", "end", _inline(values, fields)
     )
-    middle = quantiles(df, values, [0.5], layout=layout).select(
-        "variable", F.col("quantile").alias("median")
-    )
-    out = out.join(middle, "variable", "left")
+    if layout.how != "grouped":
+        middle = quantiles(df, values, [0.5], layout=layout).select(
+            "variable", F.col("quantile").alias("median")
+        )
+        out = out.join(middle, "variable", "left")
     if latest:
         out = out.withColumn("latest_minus_mean", F.col("latest") - F.col("mean"))
     return out
@@ -329,22 +337,16 @@ def quality_counters(df: DataFrame, *, approx: bool = False) -> DataFrame:
             )
         )
     typed = F.create_map(*[F.lit(s) for n in names for s in (n, types[n])])
-    distinct_rows = df.groupBy(*[c(n) for n in names]).agg(F.count(F.lit(1)).alias("n"))
-    copies = distinct_rows.agg(
-        F.struct(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
-        )
-    ).scalar()
+    rows, copies = copy_counts(df)
     everything = Window.partitionBy()
     return per.select(
         "column",
         typed[F.col("column")].alias("type"),
         "null_count",
         "distinct_count",
-        copies["rows"].alias("rows"),
+        F.lit(rows).cast("bigint").alias("rows"),
         F.lit(len(names)).alias("columns"),
-        copies["duplicate_rows"].alias("duplicate_rows"),
+        F.lit(copies).cast("bigint").alias("duplicate_rows"),
         F.sum("null_count").over(everything).alias("total_nulls"),
     )
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ..columns import c, hours_between, present
 from ..functions.rules import RANGES
 from ..sources.readings import POLLUTANTS, TIME_FORMAT, parsed_time
+from ..session import cut
+from .duplicates import copy_counts
 from .order import AUTO, Layout
 from .quantiles import quantiles
 from .windows import gap_hours
@@ -50,18 +52,34 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double")) * 100
 
 
-def check_schema(
-    df: DataFrame, required: Sequence[str] = tuple(POLLUTANTS), ts: str = "datetime", fmt: str = TIME_FORMAT
-) -> DataFrame:
-    """Missing columns, unreadable times, an empty table."""
+@dataclass(frozen=True)
+class Check:
+    """Aggregates over the table and the report rows made from their one-row result."""
+
+    aggregates: dict[str, Column]
+    rows: list[Column]
+
+
+def _run(df: DataFrame, *checks: Check) -> DataFrame:
+    """All checks in one pass: a single wide aggregate, unfolded into report rows."""
+    aggregates = {n: e for check in checks for n, e in check.aggregates.items()}
+    rows = [r for check in checks for r in check.rows]
+    if not rows:
+        return df.sparkSession.createDataFrame([], _schema())
+    if not aggregates:
+        aggregates = {"__none": F.lit(0)}
+    wide = df.agg(*[e.alias(n) for n, e in aggregates.items()])
+    return wide.select(F.inline(F.array_compact(F.array(*rows))))
+
+
+def _schema_check(df: DataFrame, required: Sequence[str], ts: str, fmt: str) -> Check:
     missing = [n for n in [ts, *required] if n not in df.columns]
-    bad = F.lit(0)
+    bad = F.count_if(F.lit(False))
     if ts in df.columns and isinstance(df.schema[ts].dataType, T.StringType):
         bad = F.count_if(c(ts).isNotNull() & parsed_time(c(ts), fmt).isNull())
-    counts = df.agg(F.count(F.lit(1)).alias("n"), bad.cast("bigint").alias("bad"))
-    n, unread = F.col("n"), F.col("bad")
-    return _rows(
-        counts,
+    n, unread = F.col("schema_n"), F.col("schema_bad")
+    return Check(
+        {"schema_n": F.count(F.lit(1)), "schema_bad": bad},
         [
             _row(
                 "schema", None, "missing_columns", F.lit(len(missing)),
@@ -77,36 +95,41 @@ def check_schema(
     )
 
 
-def check_missing(df: DataFrame) -> DataFrame:
-    """Missing values per column; above half an issue, above a fifth a warning."""
-    names = df.columns
-    wide = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(c(v).isNull()).alias(f"m{i}") for i, v in enumerate(names)],
-    )
-    rows = []
-    for i, v in enumerate(names):
-        m = F.col(f"m{i}")
-        pct = _percent(m, F.col("n"))
+def check_schema(
+    df: DataFrame, required: Sequence[str] = tuple(POLLUTANTS), ts: str = "datetime", fmt: str = TIME_FORMAT
+) -> DataFrame:
+    """Missing columns, unreadable times, an empty table."""
+    return _run(df, _schema_check(df, required, ts, fmt))
+
+
+def _missing_check(df: DataFrame) -> Check:
+    aggregates, rows = {"missing_n": F.count(F.lit(1))}, []
+    for i, v in enumerate(df.columns):
+        aggregates[f"missing_{i}"] = F.count_if(c(v).isNull())
+        m = F.col(f"missing_{i}")
+        pct = _percent(m, F.col("missing_n"))
         grade = _graded((pct > 50, ISSUE), (pct > 20, WARNING))
         note = F.concat(
             F.lit(f"Column {v} has "), F.format_string("%.1f", pct), F.lit("% missing values")
         )
         rows.append(_row("missing", v, "count", m, F.lit(OK), F.lit("")))
         rows.append(_row("missing", v, "percent", pct, grade, note))
-    return _rows(wide, rows)
+    return Check(aggregates, rows)
+
+
+def check_missing(df: DataFrame) -> DataFrame:
+    """Missing values per column; above half an issue, above a fifth a warning."""
+    return _run(df, _missing_check(df))
 
 
 def check_duplicates(df: DataFrame) -> DataFrame:
-    """Extra copies of whole rows. Copies are combined on the map side before the shuffle."""
-    counted = df.groupBy(*[c(n) for n in df.columns]).agg(F.count(F.lit(1)).alias("k"))
-    total = counted.agg(
-        F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("d")
-    )
+    """Extra copies of whole rows."""
+    rows, copies = copy_counts(df)
+    totals = df.sparkSession.createDataFrame([(rows, copies)], "n bigint, d bigint")
     d = F.col("d")
     note = F.concat(F.lit("Found "), _text(d), F.lit(" duplicate records"))
     return _rows(
-        total,
+        totals,
         [
             _row("duplicates", None, "count", d, _graded((d > 0, WARNING)), note),
             _row("duplicates", None, "percent", _percent(d, F.col("n")), F.lit(OK), F.lit("")),
@@ -135,57 +158,88 @@ def large_gaps(
     return gaps.where(F.col("gap_hours") > hours)
 
 
-def _gaps_only(df: DataFrame, ts: str, keys: Sequence[str], tie: Sequence[str], layout: Layout) -> DataFrame:
+def _gaps(df: DataFrame, ts: str, keys: Sequence[str], tie: Sequence[str], layout: Layout) -> DataFrame:
+    """The hours between neighbouring rows, as one narrow column."""
     narrow = df.select(*[c(n) for n in dict.fromkeys([*keys, ts, *tie])]).where(c(ts).isNotNull())
-    return gap_hours(narrow, ts, keys=keys, tie=tie, layout=layout)
+    gaps = gap_hours(narrow, ts, keys=keys, tie=tie, layout=layout)
+    return gaps.where(F.col("gap_hours").isNotNull()).select("gap_hours")
 
 
-def check_gaps(df: DataFrame, ts: str, hours: float = 24, **how) -> DataFrame:
-    count = large_gaps(df.where(c(ts).isNotNull()), ts, hours, **how).agg(F.count(F.lit(1)).alias("g"))
-    g = F.col("g")
-    note = F.concat(
-        F.lit("Found "), _text(g), F.lit(f" gaps larger than {hours:g} hours in data")
+def _gap_check(ts: str, hours: float = 24) -> Check:
+    g = F.col("large_gaps")
+    note = F.concat(F.lit("Found "), _text(g), F.lit(f" gaps larger than {hours:g} hours in data"))
+    return Check(
+        {"large_gaps": F.count_if(F.col("gap_hours") > hours)},
+        [_row("gaps", ts, "large_gaps", g, _graded((g > 0, WARNING)), note)],
     )
-    return _rows(count, [_row("gaps", ts, "large_gaps", g, _graded((g > 0, WARNING)), note)])
 
 
-def check_ranges(df: DataFrame, ranges: Mapping[str, tuple] = RANGES) -> DataFrame:
-    """Values below the plausible minimum (issue) or above the maximum (warning)."""
-    known = present(df, ranges)
-    if not known:
-        return df.sparkSession.createDataFrame([], _schema())
-    wide = df.agg(
-        *[
-            e.alias(f"{kind}{i}")
-            for i, v in enumerate(known)
-            for kind, e in (
-                ("lo", F.count_if(c(v) < ranges[v][0])),
-                ("hi", F.count_if(c(v) > ranges[v][1])),
-                ("n", F.count(c(v))),
-            )
-        ]
-    )
-    rows = []
-    for i, v in enumerate(known):
+def check_gaps(
+    df: DataFrame,
+    ts: str,
+    hours: float = 24,
+    *,
+    keys: Sequence[str] = (),
+    tie: Sequence[str] = (),
+    layout: Layout = AUTO,
+) -> DataFrame:
+    return _run(_gaps(df, ts, keys, tie, layout), _gap_check(ts, hours))
+
+
+def _range_check(df: DataFrame, ranges: Mapping[str, tuple]) -> Check:
+    aggregates, rows = {}, []
+    for i, v in enumerate(present(df, ranges)):
         low, high, unit = ranges[v]
-        for kind, name, bound, word, grade in (
-            ("lo", "below_min", low, "below minimum", ISSUE),
-            ("hi", "above_max", high, "above maximum", WARNING),
+        aggregates[f"range_n{i}"] = F.count(c(v))
+        for kind, cond, bound, word, grade in (
+            ("below_min", c(v) < low, low, "below minimum", ISSUE),
+            ("above_max", c(v) > high, high, "above maximum", WARNING),
         ):
+            aggregates[f"{kind}{i}"] = F.count_if(cond)
             k = F.col(f"{kind}{i}")
             note = F.concat(F.lit(f"{v}: "), _text(k), F.lit(f" values {word} ({bound} {unit})"))
-            entry = _row("range", v, name, k, _graded((k > 0, grade)), note)
-            rows.append(F.when(F.col(f"n{i}") > 0, entry))
-    return wide.select(F.inline(F.array_compact(F.array(*rows))))
+            entry = _row("range", v, kind, k, _graded((k > 0, grade)), note)
+            rows.append(F.when(F.col(f"range_n{i}") > 0, entry))
+    return Check(aggregates, rows)
+
+
+def check_ranges(df: DataFrame, ranges: Mapping[str, tuple] = RANGES) -> DataFrame:
+    """Values below the plausible minimum (issue) or above the maximum (warning)."""
+    return _run(df, _range_check(df, ranges))
+
+
+def _repeat_check(ts: str, extra: Column) -> Check:
+    d = F.col("repeated_times")
+    note = F.concat(F.lit("Found "), _text(d), F.lit(" duplicate timestamps"))
+    return Check(
+        {"repeated_times": extra},
+        [_row("duplicate_times", ts, "count", d, _graded((d > 0, ISSUE)), note)],
+    )
 
 
 def check_duplicate_times(df: DataFrame, ts: str, *, keys: Sequence[str] = ()) -> DataFrame:
     """Extra rows with a timestamp that the series already has."""
     stamps = df.groupBy(*[c(k) for k in keys], c(ts)).agg(F.count(F.lit(1)).alias("k"))
-    extra = stamps.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("d"))
-    d = F.col("d")
-    note = F.concat(F.lit("Found "), _text(d), F.lit(" duplicate timestamps"))
-    return _rows(extra, [_row("duplicate_times", ts, "count", d, _graded((d > 0, ISSUE)), note)])
+    return _run(stamps, _repeat_check(ts, F.coalesce(F.sum(F.col("k") - 1), F.lit(0))))
+
+
+def _median_gap(gaps: DataFrame, layout: Layout) -> float:
+    """One number; it goes into the next pass as a literal. NaN without any gap."""
+    whole = replace(layout, how="auto") if layout.how == "grouped" else layout
+    row = quantiles(gaps, ["gap_hours"], [0.5], layout=whole).first()
+    return float("nan") if row is None or row["quantile"] is None else row["quantile"]
+
+
+def _interval_aggregates(middle: float) -> dict[str, Column]:
+    g = F.col("gap_hours")
+    return {
+        "gaps": F.count(g),
+        "min_hours": F.min(g),
+        "max_hours": F.max(g),
+        "median_hours": F.max(F.lit(middle)),
+        "std_hours": F.stddev_samp(g),
+        "irregular": F.count_if(F.abs(g - F.lit(middle)) > F.lit(0.5 * middle)),
+    }
 
 
 def interval_stats(
@@ -198,35 +252,40 @@ def interval_stats(
 ) -> DataFrame:
     """Shortest, longest, median and deviation of the gaps, and how many are irregular.
 
-    A gap is irregular if it differs from the median by more than half of the median. The median
-    comes back to the driver as one number and goes into the second pass as a literal.
+    A gap is irregular if it differs from the median by more than half of the median.
     """
-    gaps = _gaps_only(df, ts, keys, tie, layout).where(F.col("gap_hours").isNotNull())
-    middle = quantiles(gaps, ["gap_hours"], [0.5], layout=layout).first()
-    median = middle["quantile"] if middle is not None else None
-    if median is None:
-        median = float("nan")
-    g = F.col("gap_hours")
-    return gaps.agg(
-        F.count(g).alias("gaps"),
-        F.min(g).alias("min_hours"),
-        F.max(g).alias("max_hours"),
-        F.lit(median).alias("median_hours"),
-        F.stddev_samp(g).alias("std_hours"),
-        F.count_if(F.abs(g - F.lit(median)) > F.lit(0.5 * median)).alias("irregular"),
-    ).where(F.col("gaps") > 0)
+    gaps = cut(_gaps(df, ts, keys, tie, layout), "gaps")
+    found = _interval_aggregates(_median_gap(gaps, layout))
+    return gaps.agg(*[e.alias(n) for n, e in found.items()]).where(F.col("gaps") > 0)
 
 
-def check_intervals(df: DataFrame, ts: str, share: float = 0.1, **how) -> DataFrame:
-    """Interval statistics as checks; too many irregular gaps are a warning."""
-    stats = interval_stats(df, ts, **how)
+def _interval_check(ts: str, middle: float, share: float = 0.1) -> Check:
     odd = _graded((F.col("irregular") > F.col("gaps") * share, WARNING))
     note = F.lit("Highly irregular time intervals detected")
     rows = [
         _row("intervals", ts, n, F.col(n), F.lit(OK), F.lit(""))
         for n in ("min_hours", "max_hours", "median_hours", "std_hours")
     ]
-    return _rows(stats, [*rows, _row("intervals", ts, "irregular", F.col("irregular"), odd, note)])
+    rows.append(_row("intervals", ts, "irregular", F.col("irregular"), odd, note))
+    return Check(_interval_aggregates(middle), [F.when(F.col("gaps") > 0, r) for r in rows])
+
+
+def check_intervals(
+    df: DataFrame,
+    ts: str,
+    share: float = 0.1,
+    *,
+    keys: Sequence[str] = (),
+    tie: Sequence[str] = (),
+    layout: Layout = AUTO,
+) -> DataFrame:
+    """Interval statistics as checks; too many irregular gaps are a warning."""
+    gaps = cut(_gaps(df, ts, keys, tie, layout), "gaps")
+    return _run(gaps, _interval_check(ts, _median_gap(gaps, layout), share))
+
+
+def _expected_rows(first: Column, last: Column) -> Column:
+    return hours_between(last, first) + 1
 
 
 def completeness(df: DataFrame, ts: str, *, keys: Sequence[str] = (), more_than: int = 24) -> DataFrame:
@@ -234,7 +293,7 @@ def completeness(df: DataFrame, ts: str, *, keys: Sequence[str] = (), more_than:
     out = df.groupBy(*[c(k) for k in keys]).agg(
         F.count(F.lit(1)).alias("actual_records"), F.min(c(ts)).alias("a"), F.max(c(ts)).alias("b")
     )
-    expected = hours_between(F.col("b"), F.col("a")) + 1
+    expected = _expected_rows(F.col("a"), F.col("b"))
     return out.where(F.col("actual_records") > more_than).select(
         *[c(k) for k in keys],
         F.floor(expected).alias("expected_records"),
@@ -243,17 +302,23 @@ def completeness(df: DataFrame, ts: str, *, keys: Sequence[str] = (), more_than:
     )
 
 
-def check_completeness(df: DataFrame, ts: str, minimum: float = 0.8) -> DataFrame:
-    ratio = F.col("completeness_ratio")
+def _completeness_check(ts: str, minimum: float = 0.8, more_than: int = 24) -> Check:
+    n = F.col("complete_n")
+    ratio = n / _expected_rows(F.col("complete_a"), F.col("complete_b"))
     note = F.concat(
         F.lit("Data completeness is only "), F.format_string("%.1f", ratio * 100), F.lit("%")
     )
-    grade = _graded((ratio < minimum, WARNING))
-    return _rows(
-        completeness(df, ts), [_row("completeness", ts, "ratio", ratio, grade, note)]
+    entry = _row("completeness", ts, "ratio", ratio, _graded((ratio < minimum, WARNING)), note)
+    return Check(
+        {"complete_n": F.count(F.lit(1)), "complete_a": F.min(c(ts)), "complete_b": F.max(c(ts))},
+        [F.when(n > more_than, entry)],
     )
 
 
+def check_completeness(df: DataFrame, ts: str, minimum: float = 0.8) -> DataFrame:
+    return _run(df, _completeness_check(ts, minimum))
+
+
 def validate(
     df: DataFrame,
     ts: str = "datetime",
@@ -264,20 +329,36 @@ def validate(
     fmt: str = TIME_FORMAT,
     layout: Layout = AUTO,
 ) -> DataFrame:
-    """Every check as one tidy table."""
-    checks = [check_schema(df, required, ts, fmt), check_missing(df), check_duplicates(df)]
-    checks.append(check_ranges(df, ranges))
+    """Every check as one tidy table, in three passes over the data.
+
+    One wide aggregate covers schema, missing values, ranges and completeness; one hash count
+    finds copies of rows; one ordering of the time column alone gives gaps, intervals and repeated
+    timestamps (a gap of zero).
+    """
+    checks = [_schema_check(df, required, ts, fmt), _missing_check(df), _range_check(df, ranges)]
+    timed = df
     if ts in df.columns:
-        timed = df
         if isinstance(df.schema[ts].dataType, T.StringType):
-            timed = df.withColumn(ts, parsed_time(c(ts), fmt))
-        checks += [
-            check_gaps(timed, ts, tie=tie, layout=layout),
-            check_duplicate_times(timed, ts),
-            check_intervals(timed, ts, tie=tie, layout=layout),
-            check_completeness(timed, ts),
-        ]
-    return reduce(lambda a, b: a.unionByName(b), checks)
+            timed = df.withColumn("__ts", parsed_time(c(ts), fmt))
+        else:
+            timed = df.withColumn("__ts", c(ts))
+        complete = _completeness_check("__ts")
+        checks.append(Check(complete.aggregates, [_relabel(r, ts) for r in complete.rows]))
+    report = _run(timed, *checks).unionByName(check_duplicates(df))
+    if ts not in df.columns:
+        return report
+    gaps = cut(_gaps(timed, "__ts", (), tie, layout), "gaps")
+    over_gaps = [
+        _gap_check(ts),
+        _repeat_check(ts, F.count_if(F.col("gap_hours") == 0)),
+        _interval_check(ts, _median_gap(gaps, layout)),
+    ]
+    return report.unionByName(_run(gaps, *over_gaps))
+
+
+def _relabel(entry: Column, column: str) -> Column:
+    """The same report row for a column that was checked under a working name."""
+    return F.when(entry.isNotNull(), entry.withField("column", F.lit(column)))
 
 
 def verdict(report: DataFrame) -> DataFrame:

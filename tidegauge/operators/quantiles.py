@@ -14,6 +14,7 @@ from math import floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..columns import c
@@ -61,6 +62,13 @@ def quantiles(
     return _bracketed(df, values, probs, by, layout.limit)
 
 
+def _extended(schema: T.StructType, **fields: str) -> T.StructType:
+    out = T.StructType(list(schema.fields))
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out
+
+
 def _bracketed(
     df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str], limit: int
 ) -> DataFrame:
@@ -104,7 +112,7 @@ def _bracketed(
     found = [
         (*g, float(p), value) for g, p, value in _search(long, group, large, probs, limit)
     ] if large else []
-    schema = key_schema.add("prob", "double").add("quantile", "double")
+    schema = _extended(key_schema, prob="double", quantile="double")
     solved = spark.createDataFrame(found, schema)
     out = exact_small.unionByName(solved)
     if by:
@@ -132,12 +140,8 @@ def _search(long: DataFrame, group: list[str], large: dict, probs: Sequence[floa
     grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
 
     while todo:
-        schema = (
-            long.select(*[c(g).alias(f"__k{i}") for i, g in enumerate(group)])
-            .schema.add("rank", "bigint")
-            .add("lo", "double")
-            .add("hi", "double")
-        )
+        keyed = long.select(*[c(g).alias(f"__k{i}") for i, g in enumerate(group)]).schema
+        schema = _extended(keyed, rank="long", lo="double", hi="double")
         # One row per open (group, rank): bounded by 2 * probs * total / limit.
         spans = spark.createDataFrame([(*g, r, lo, hi) for (g, r), (lo, hi) in todo.items()], schema)
         on = F.lit(True)
@@ -191,7 +195,7 @@ def _search(long: DataFrame, group: list[str], large: dict, probs: Sequence[floa
 def _resolve(long: DataFrame, group: list[str], few: list[tuple], schema) -> dict:
     """Pick the wanted rank inside spans that hold few distinct values."""
     spark = long.sparkSession
-    spans = spark.createDataFrame(few, schema.add("below", "bigint"))
+    spans = spark.createDataFrame(few, _extended(schema, below="long"))
     on = F.lit(True)
     for i, g in enumerate(group):
         on = on & c(g).eqNullSafe(F.col(f"__k{i}"))

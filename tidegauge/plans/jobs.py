@@ -15,7 +15,7 @@ from ..operators.order import AUTO, Layout, settle
 from ..operators.profiles import summary
 from ..operators.quality import validate, verdict
 from ..operators.select import final_columns
-from ..session import fresh_folder
+from ..session import cut
 from ..sources.readings import (
     POLLUTANTS,
     TIME_FORMAT,
@@ -58,9 +58,7 @@ def processed(
     featured = add_features(
         cleaned, ts, keys=keys, tie=tie, lagged=present(df, values)[:3], layout=layout
     )
-    folder = fresh_folder(df.sparkSession, "featured")
-    write_parquet(featured, folder)
-    featured = df.sparkSession.read.schema(featured.schema).parquet(folder)
+    featured = cut(featured, "featured")
     used = feature_list(featured, features)
     scaled = scale(featured, used, fit_scaler(featured, used))
     extra = [n for n in ("AQI", "scaled_features") if n in scaled.columns]

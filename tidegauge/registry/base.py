@@ -178,8 +178,9 @@ def with_views(sql: str, *views: str) -> str:
         return sql
     head = ",\n".join(VIEWS[v] for v in views)
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {head},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{head},\n{body.removeprefix(start)}"
     return f"WITH {head}\n{body}"
 
 

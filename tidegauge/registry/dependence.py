@@ -101,9 +101,18 @@ def _(t):
     return dependence.notable_pairs(_pairs(t))
 
 
-@query("notable_pairs_strict", _notable(_PAIRWISE, 0.7, 0.8), views="readings", doubles="r")
+_ALL = [*_POLLUTANTS, *_WEATHER]
+_ALL_PAIRS = " UNION ALL ".join(
+    f"""SELECT '{a}' AS a, '{b}' AS b, corr("{a}", "{b}") AS r,
+        count(*) FILTER (WHERE "{a}" IS NOT NULL AND "{b}" IS NOT NULL) AS n FROM readings"""
+    for i, a in enumerate(_ALL)
+    for b in _ALL[i + 1 :]
+)
+
+
+@query("notable_pairs_strict", _notable(_ALL_PAIRS, 0.7, 0.8), views="readings", doubles="r")
 def _(t):
-    return dependence.notable_pairs(_pairs(t), 0.7, 0.8)
+    return dependence.notable_pairs(dependence.pair_correlations(t.readings, _ALL), 0.7, 0.8)
 
 
 @query("pair_summary", f"""

@@ -237,7 +237,7 @@ def _(t):
 @query("light_features", """
     SELECT datetime, "PM2.5", hour(datetime) AS hour, month(datetime) AS month,
            isodow(datetime) - 1 AS day_of_week, CASE WHEN isodow(datetime) >= 6 THEN 1 ELSE 0 END AS is_weekend,
-           round("PM2.5" * 0.4::DOUBLE + PM10 * 0.3::DOUBLE + NO2 * 0.2::DOUBLE + SO2 * 0.1::DOUBLE, 2) AS "AQI",
+           round_even(("PM2.5" * 0.4::DOUBLE + PM10 * 0.3::DOUBLE + NO2 * 0.2::DOUBLE + SO2 * 0.1::DOUBLE) * 100, 0) / 100 AS "AQI",
            coalesce(lag("PM2.5") OVER (ORDER BY datetime),
                     CASE WHEN row_number() OVER (ORDER BY datetime) = 1 THEN "PM2.5" END) AS "PM2.5_lag1"
     FROM readings

@@ -154,7 +154,7 @@ _SMOOTH = """
     """
 
 
-@both("smoothed", _SMOOTH.replace("WITH RECURSIVE n", "WITH n"), views="gaps", doubles="smoothed")
+@both("smoothed", _SMOOTH, views="gaps", doubles="smoothed")
 def _(t, layout):
     rows = windows.smooth(t.gaps, "value", 0.3, keys=["user_id"], order=_ORDER, layout=layout)
     return rows.select("event_id", "user_id", "smoothed")

@@ -45,9 +45,13 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame on reliable storage, so later branches all see the same rows."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write a frame once to the shared folder and go on from there.
+
+    Later branches then all see the same rows, read only the columns they need, and a lost
+    executor costs a re-read and not the work so far. The copy stays in the shared folder.
+    """
+    spark = df.sparkSession
+    folder = fresh_folder(spark, label)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
