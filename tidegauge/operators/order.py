@@ -130,8 +130,9 @@ def _numbered(
     )
 
 
-def _slice_window(keys: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(F.col(_SLICE), *[c(k) for k in keys]).orderBy(_POS)
+def _slice_window(keys: Sequence[str], descending: bool = False) -> WindowSpec:
+    position = F.col(_POS).desc() if descending else F.col(_POS).asc()
+    return Window.partitionBy(F.col(_SLICE), *[c(k) for k in keys]).orderBy(position)
 
 
 def over_rows(
@@ -256,17 +257,24 @@ def fill_gaps(
     directions = {"forward": [True], "back": [False], "both": [True, False]}[how]
     grouped, total = _choose(df, keys, layout)
     rows = df if grouped else _numbered(df, keys, order, layout.slice_rows, total)
-    w = _window(keys, order) if grouped else _slice_window(keys)
+    up = _window(keys, order) if grouped else _slice_window(keys)
+    down = _window(keys, order, descending=True) if grouped else _slice_window(keys, descending=True)
 
-    def nearest(w: WindowSpec, col: Column, forward: bool) -> Column:
+    def nearest(col: Column, forward: bool) -> Column:
         if forward:
-            return F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return F.first(col, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+            return F.last(col, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))
+        if how == "both":
+            # What is still null after the forward fill has no earlier value, so the next value is
+            # the first one of all; that frame needs no second sort.
+            return F.first(col, ignorenulls=True).over(
+                up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            )
+        # Growing frames cost one step per row only when they grow from the start of the window,
+        # so the later values are put first.
+        return F.last(col, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
 
     tag = {v: f"__f{i}" for i, v in enumerate(values)}
-    found = {
-        f"{tag[v]}{'f' if d else 'b'}": nearest(w, c(v), d) for v in values for d in directions
-    }
+    found = {f"{tag[v]}{'f' if d else 'b'}": nearest(c(v), d) for v in values for d in directions}
     out = rows.withColumns(found)
     carried: list[str] = []
     if not grouped:
