@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..columns import attach, c
+from ..columns import c
 from ..session import cut
 
 #: Largest series that one task may hold.
@@ -209,6 +209,22 @@ def _carry(
     )
 
 
+def _by_slice(rows: DataFrame) -> DataFrame:
+    """Bring each slice together once; the windows and the border join below both use that."""
+    return rows.repartition(F.col(_SLICE))
+
+
+def _add_border(rows: DataFrame, border: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Join the one border row of each slice, and keep its values for the series that goes on."""
+    renamed = border.withColumnsRenamed({_SLICE: "__to", **{k: f"__k{i}" for i, k in enumerate(keys)}})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & c(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = rows.join(renamed, F.col(_SLICE) == F.col("__to"), "left")
+    out = joined.withColumns({n: F.when(F.col("__to").isNotNull() & same, F.col(n)) for n in names})
+    return out.drop("__to", *[f"__k{i}" for i in range(len(keys))])
+
+
 def number_rows(
     df: DataFrame,
     name: str = "rn",
@@ -234,9 +250,11 @@ def number_rows(
         lambda n: lambda w: F.sum(n).over(w),
         forward=True,
     )
-    inside = rows.withColumn(name, F.row_number().over(_slice_window(keys)).cast("bigint"))
+    inside = _by_slice(rows).withColumn(
+        name, F.row_number().over(_slice_window(keys)).cast("bigint")
+    )
     return (
-        attach(inside, earlier, [_SLICE, *keys])
+        _add_border(inside, earlier, keys, ["__n"])
         .withColumn(name, c(name) + F.coalesce(F.col("__n"), F.lit(0)))
         .drop("__n", _POS, _SLICE)
     )
@@ -275,7 +293,7 @@ def fill_gaps(
 
     tag = {v: f"__f{i}" for i, v in enumerate(values)}
     found = {f"{tag[v]}{'f' if d else 'b'}": nearest(c(v), d) for v in values for d in directions}
-    out = rows.withColumns(found)
+    out = (rows if grouped else _by_slice(rows)).withColumns(found)
     carried: list[str] = []
     if not grouped:
         for d in directions:
@@ -289,7 +307,7 @@ def fill_gaps(
                 lambda n: lambda w: F.last(F.col(n), ignorenulls=True).over(w),
                 forward=d,
             )
-            out = attach(out, border, [_SLICE, *keys])
+            out = _add_border(out, border, keys, [f"{tag[v]}{mark}" for v in values])
             carried.append(mark)
 
     def pick(v: str) -> Column:

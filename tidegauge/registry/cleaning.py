@@ -170,14 +170,14 @@ def _(t):
 POLLUTANTS = ["PM2.5", "PM10", "NO2", "SO2", "CO", "O3"]
 
 
-def clean_sql() -> str:
+def clean_sql(source: str = "readings", first: str = "") -> str:
     """Fill by one step, then by the mean, then outliers column by column, then one row per stamp."""
     lagged = ", ".join(
         f'coalesce("{v}", lag("{v}") OVER (ORDER BY datetime)) AS "{v}"' for v in POLLUTANTS
     )
     others = "datetime, temperature, humidity, pressure, wind_speed, wind_direction"
     mean = ", ".join(f'coalesce("{v}", (SELECT avg("{v}") FROM f0)) AS "{v}"' for v in POLLUTANTS)
-    steps = [f"f0 AS (SELECT {others}, {lagged} FROM readings)", f"s0 AS (SELECT {others}, {mean} FROM f0)"]
+    steps = [f"f0 AS (SELECT {others}, {lagged} FROM {source})", f"s0 AS (SELECT {others}, {mean} FROM f0)"]
     for i, v in enumerate(POLLUTANTS):
         steps.append(
             f'q{i} AS (SELECT quantile_cont("{v}", 0.25) AS a, quantile_cont("{v}", 0.75) AS b FROM s{i})'
@@ -186,7 +186,7 @@ def clean_sql() -> str:
             f"s{i + 1} AS (SELECT s{i}.* FROM s{i}, q{i} "
             f'WHERE "{v}" BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a))'
         )
-    return "WITH " + ",\n".join(steps) + "\n"
+    return f"WITH {first}" + ",\n".join(steps) + "\n"
 
 
 _CLEAN_COLUMNS = ", ".join(f'"{v}"' for v in POLLUTANTS)

@@ -238,9 +238,10 @@ def _auto_long(values) -> str:
     return f"""long AS ({long}),
     l AS (SELECT variable, x, lag(x, 1) OVER w AS l1, lag(x, 24) OVER w AS l24, lag(x, 168) OVER w AS l168
           FROM long WINDOW w AS (PARTITION BY variable ORDER BY datetime)),
-    auto AS (SELECT variable, 1 AS lag, corr(x, l1) AS r FROM l GROUP BY 1
-             UNION ALL SELECT variable, 24, corr(x, l24) FROM l GROUP BY 1
-             UNION ALL SELECT variable, 168, corr(x, l168) FROM l GROUP BY 1)"""
+    a AS (SELECT variable, 1 AS lag, count(x) AS points, count(l1) AS n, corr(x, l1) AS r FROM l GROUP BY 1
+          UNION ALL SELECT variable, 24, count(x), count(l24), corr(x, l24) FROM l GROUP BY 1
+          UNION ALL SELECT variable, 168, count(x), count(l168), corr(x, l168) FROM l GROUP BY 1),
+    auto AS (SELECT variable, lag, r FROM a WHERE points >= 48 AND n > 10)"""
 
 
 @query("persistence", f"""

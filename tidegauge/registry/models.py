@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..columns import c
 from ..operators import autoreg, catalog, evaluate, forecast, mlprep
+from ..operators.clean import ffill_bfill
 from ..operators.order import AUTO
 from ..operators.quality import row_gate
 from ..plans import jobs
@@ -52,14 +53,26 @@ _SCALED = ", ".join(
     for i, f in enumerate(_JOB_FEATURES)
 )
 _JOB_COLUMNS = ", ".join(f'"{v}"' for v in POLLUTANTS)
-_JOB_SQL = (
-    clean_sql().rstrip()
-    + f""",
+_WEATHER = "temperature, humidity, pressure, wind_speed, wind_direction"
+_FILLED = ", ".join(
+    f"""coalesce(last_value("{v}" IGNORE NULLS) OVER (ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value("{v}" IGNORE NULLS) OVER (ORDER BY datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS "{v}" """
+    for v in POLLUTANTS
+)
+
+
+def _job_sql(source: str = "readings", first: str = "") -> str:
+    return (
+        clean_sql(source, first).rstrip()
+        + f""",
     featured AS (SELECT *, {FEATURES_SQL} FROM s6 WINDOW w AS (ORDER BY datetime)),
     kept AS (SELECT * FROM featured WHERE {_KEPT})
     SELECT datetime, {_JOB_COLUMNS}, "AQI", {_SCALED} FROM kept
     """
-)
+    )
+
+
+_JOB_SQL = _job_sql()
 _JOB_DOUBLES = " ".join([*POLLUTANTS, "AQI", *[f"s{i}" for i in range(len(_JOB_FEATURES))]])
 
 
@@ -89,11 +102,6 @@ def _(t):
     return _unpacked(t.spark.read.parquet(out))
 
 
-_FILLED = ", ".join(
-    f"""coalesce(last_value("{v}" IGNORE NULLS) OVER (ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-    first_value("{v}" IGNORE NULLS) OVER (ORDER BY datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS "{v}" """
-    for v in POLLUTANTS
-)
 _LAG1 = ", ".join(
     f'coalesce(lag("{v}") OVER (ORDER BY datetime), "{v}") AS "{v}_lag1"' for v in POLLUTANTS
 )
@@ -132,12 +140,17 @@ def _(t):
     return out
 
 
-@query("ingested_rows", _JOB_SQL, views="readings", doubles=_JOB_DOUBLES, digits=5)
+_INGEST_SQL = _job_sql(
+    "filled", f"filled AS (SELECT datetime, {_WEATHER}, {_FILLED} FROM readings),\n"
+)
+
+
+@query("ingested_rows", _INGEST_SQL, views="readings", doubles=_JOB_DOUBLES, digits=5)
 def _(t):
-    """Validated ingest; the pressure is moved into its plausible range, which scaling undoes."""
+    """Validated ingest of the filled readings; the pressure is moved into its plausible range, which scaling undoes."""
     source = fresh_folder(t.spark, "ingest") + ".parquet"
-    plausible = c("pressure") / 10 + 900
-    readings.write_parquet(t.readings.withColumn("pressure", plausible), source)
+    filled = ffill_bfill(t.readings, POLLUTANTS, order=["datetime"])
+    readings.write_parquet(filled.withColumn("pressure", c("pressure") / 10 + 900), source)
     out = fresh_folder(t.spark, "ingested")
     jobs.ingest(t.spark, source, out)
     return _unpacked(t.spark.read.parquet(out))

@@ -25,8 +25,8 @@ def write_snapshot(df: DataFrame, folder: str, name: str) -> None:
 def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the snapshot with the greatest name.
 
-    The maximum over a partition column is answered from the partition list, and the filter
-    prunes all other partitions.
+    The maximum over the partition column reads no data columns, and the filter prunes all other
+    partitions before the scan.
     """
     rows = spark.read.parquet(folder)
     newest = rows.agg(F.max("snapshot").alias("snapshot")).scalar()
