@@ -61,3 +61,13 @@ def test_approximate_mode_stays_close(spark):
     df = spark.range(10_000).selectExpr("cast(id as double) AS x")
     value = quantiles(df, ["x"], [0.5], approx=True).first()["quantile"]
     assert abs(value - 5000) < 50
+
+
+def test_key_names_that_look_internal(spark):
+    rows = [(i % 2, i % 3, float(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "n int, rank int, x double")
+    plain = quantiles(df, ["x"], [0.5], by=["n", "rank"], layout=Layout("grouped"))
+    split = quantiles(df, ["x"], [0.5], by=["n", "rank"], layout=Layout("sliced", limit=10))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
+    auto = quantiles(df, ["x"], [0.5], by=["n"])
+    assert auto.count() == 2

@@ -22,7 +22,7 @@ def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], names: tuple[str, st
     """All pair correlations in one aggregate with map-side combination, then one row per pair."""
     wide = df.groupBy(*[c(k) for k in keys]).agg(
         *[
-            expr.alias(f"{kind}{i}")
+            expr.alias(f"__{kind}{i}")
             for i, (a, b) in enumerate(pairs)
             for kind, expr in (
                 ("r", pearson(c(a), c(b))),
@@ -35,8 +35,8 @@ def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], names: tuple[str, st
             F.struct(
                 F.lit(a).alias(names[0]),
                 F.lit(b).alias(names[1]),
-                F.col(f"r{i}").alias("r"),
-                F.col(f"n{i}").alias("n"),
+                F.col(f"__r{i}").alias("r"),
+                F.col(f"__n{i}").alias("n"),
             )
             for i, (a, b) in enumerate(pairs)
         ]

@@ -29,5 +29,5 @@ def copy_counts(df: DataFrame) -> tuple[int, int]:
     if seen["repeated"] <= _BROADCAST_HASHES:
         repeated = hashes.where(F.col("n") > 1).select(F.col("h").alias("__h"))
         suspects = df.join(F.broadcast(repeated), row_hash == F.col("__h"), "left_semi")
-    counted = suspects.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    return seen["rows"], counted.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+    counted = suspects.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
+    return seen["rows"], counted.agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0))).first()[0]

@@ -61,8 +61,8 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
         return n, n
     row = (
         df.groupBy(*[c(k) for k in keys])
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("largest"), F.sum("n").alias("total"))
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.max("__n").alias("largest"), F.sum("__n").alias("total"))
         .first()
     )
     return int(row["largest"] or 0), int(row["total"] or 0)

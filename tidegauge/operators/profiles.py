@@ -109,18 +109,18 @@ def extremes(table: DataFrame, bucket: str, *, by: Sequence[str] = ()) -> DataFr
         table.where(F.col("mean").isNotNull() & c(bucket).isNotNull())
         .groupBy(*[c(k) for k in by])
         .agg(
-            F.max_by(row, F.struct(F.col("mean"), -c(bucket))).alias("p"),
-            F.min_by(row, F.struct(F.col("mean"), c(bucket))).alias("l"),
+            F.max_by(row, F.struct(F.col("mean"), -c(bucket))).alias("__p"),
+            F.min_by(row, F.struct(F.col("mean"), c(bucket))).alias("__l"),
         )
     )
-    return out.where(F.col("p").isNotNull()).select(
+    return out.where(F.col("__p").isNotNull()).select(
         *[c(k) for k in by],
-        F.col("p.b").alias(f"peak_{bucket}"),
-        F.col("p.mean").alias("peak_mean"),
-        F.col("p.max").alias("peak_max"),
-        F.col("l.b").alias(f"low_{bucket}"),
-        F.col("l.mean").alias("low_mean"),
-        F.col("l.min").alias("low_min"),
+        F.col("__p.b").alias(f"peak_{bucket}"),
+        F.col("__p.mean").alias("peak_mean"),
+        F.col("__p.max").alias("peak_max"),
+        F.col("__l.b").alias(f"low_{bucket}"),
+        F.col("__l.mean").alias("low_mean"),
+        F.col("__l.min").alias("low_min"),
     )
 
 
@@ -358,10 +358,10 @@ def daily_means(
     by = [c(k) for k in keys]
     days = df.groupBy(*by, day_start(c(ts)).alias("day")).agg(F.avg(c(value)).alias(name))
     known = days.where(F.col("day").isNotNull())
-    span = known.groupBy(*by).agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    dates = F.sequence(F.to_date("a"), F.to_date("b"), F.expr("interval 1 day"))
-    calendar_days = span.where(F.col("a").isNotNull()).select(*by, F.explode(dates).alias("d"))
-    calendar_days = calendar_days.select(*by, ntz(F.col("d")).alias("day"))
+    span = known.groupBy(*by).agg(F.min("day").alias("__a"), F.max("day").alias("__b"))
+    dates = F.sequence(F.to_date("__a"), F.to_date("__b"), F.expr("interval 1 day"))
+    calendar_days = span.where(F.col("__a").isNotNull()).select(*by, F.explode(dates).alias("__d"))
+    calendar_days = calendar_days.select(*by, ntz(F.col("__d")).alias("day"))
     return attach(calendar_days, known, [*keys, "day"])
 
 

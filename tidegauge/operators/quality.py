@@ -219,8 +219,8 @@ def _repeat_check(ts: str, extra: Column) -> Check:
 
 def check_duplicate_times(df: DataFrame, ts: str, *, keys: Sequence[str] = ()) -> DataFrame:
     """Extra rows with a timestamp that the series already has."""
-    stamps = df.groupBy(*[c(k) for k in keys], c(ts)).agg(F.count(F.lit(1)).alias("k"))
-    return _run(stamps, _repeat_check(ts, F.coalesce(F.sum(F.col("k") - 1), F.lit(0))))
+    stamps = df.groupBy(*[c(k) for k in keys], c(ts)).agg(F.count(F.lit(1)).alias("__k"))
+    return _run(stamps, _repeat_check(ts, F.coalesce(F.sum(F.col("__k") - 1), F.lit(0))))
 
 
 def _median_gap(gaps: DataFrame, layout: Layout) -> float:
@@ -291,9 +291,9 @@ def _expected_rows(first: Column, last: Column) -> Column:
 def completeness(df: DataFrame, ts: str, *, keys: Sequence[str] = (), more_than: int = 24) -> DataFrame:
     """Rows against the hours between first and last, for series of more than a day of rows."""
     out = df.groupBy(*[c(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("actual_records"), F.min(c(ts)).alias("a"), F.max(c(ts)).alias("b")
+        F.count(F.lit(1)).alias("actual_records"), F.min(c(ts)).alias("__a"), F.max(c(ts)).alias("__b")
     )
-    expected = _expected_rows(F.col("a"), F.col("b"))
+    expected = _expected_rows(F.col("__a"), F.col("__b"))
     return out.where(F.col("actual_records") > more_than).select(
         *[c(k) for k in keys],
         F.floor(expected).alias("expected_records"),

@@ -45,14 +45,14 @@ def quantiles(
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         pick = F.percentile_approx if approx else F.percentile
         wide = df.groupBy(*group).agg(
-            *[pick(c(v).cast("double"), wanted).alias(f"q{i}") for i, v in enumerate(values)]
+            *[pick(c(v).cast("double"), wanted).alias(f"__q{i}") for i, v in enumerate(values)]
         )
         rows = F.array(
             *[
                 F.struct(
                     F.lit(v).alias("variable"),
                     F.lit(float(p)).alias("prob"),
-                    F.get(F.col(f"q{i}"), F.lit(j)).alias("quantile"),
+                    F.get(F.col(f"__q{i}"), F.lit(j)).alias("quantile"),
                 )
                 for i, v in enumerate(values)
                 for j, p in enumerate(probs)
@@ -85,10 +85,10 @@ def _bracketed(
         ),
     ).where(F.col("__x").isNotNull())
     group = [*by, "variable"]
-    key = F.struct(*[c(g) for g in group]).alias("g")
+    key = F.struct(*[c(g) for g in group]).alias("__g")
     counts = long.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     # Small groups take the plain way below; at most total / limit groups are larger.
-    large = {tuple(r["g"]): r["n"] for r in counts.where(F.col("n") > limit).collect()}
+    large = {tuple(r["__g"]): r["n"] for r in counts.where(F.col("n") > limit).collect()}
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     key_schema = long.select(*[c(g) for g in group]).schema
 
@@ -102,10 +102,10 @@ def _bracketed(
         small = long.join(F.broadcast(listed), cond, "left_anti")
     exact_small = (
         small.groupBy(*[c(g) for g in group])
-        .agg(F.percentile(F.col("__x"), wanted).alias("q"))
+        .agg(F.percentile(F.col("__x"), wanted).alias("__q"))
         .select(
             *[c(g) for g in group],
-            F.inline(F.arrays_zip(wanted.alias("prob"), F.col("q").alias("quantile"))),
+            F.inline(F.arrays_zip(wanted.alias("prob"), F.col("__q").alias("quantile"))),
         )
         .toDF(*group, "prob", "quantile")
     )
@@ -141,18 +141,18 @@ def _search(long: DataFrame, group: list[str], large: dict, probs: Sequence[floa
 
     while todo:
         keyed = long.select(*[c(g).alias(f"__k{i}") for i, g in enumerate(group)]).schema
-        schema = _extended(keyed, rank="long", lo="double", hi="double")
+        schema = _extended(keyed, __rank="long", __lo="double", __hi="double")
         # One row per open (group, rank): bounded by 2 * probs * total / limit.
         spans = spark.createDataFrame([(*g, r, lo, hi) for (g, r), (lo, hi) in todo.items()], schema)
         on = F.lit(True)
         for i, g in enumerate(group):
             on = on & c(g).eqNullSafe(F.col(f"__k{i}"))
-        inside = F.when(F.col("__x").between(F.col("lo"), F.col("hi")), F.col("__x"))
+        inside = F.when(F.col("__x").between(F.col("__lo"), F.col("__hi")), F.col("__x"))
         joined = long.join(F.broadcast(spans), on)
         state = (
-            joined.groupBy(F.struct(*[c(g) for g in group]).alias("g"), "rank")
+            joined.groupBy(F.struct(*[c(g) for g in group]).alias("__g"), "__rank")
             .agg(
-                F.count_if(F.col("__x") < F.col("lo")).alias("below"),
+                F.count_if(F.col("__x") < F.col("__lo")).alias("__below"),
                 F.count(inside).alias("n"),
                 F.min(inside).alias("min"),
                 F.max(inside).alias("max"),
@@ -163,13 +163,13 @@ def _search(long: DataFrame, group: list[str], large: dict, probs: Sequence[floa
         few = []
         nxt = {}
         for row in state:
-            slot = (tuple(row["g"]), row["rank"])
+            slot = (tuple(row["__g"]), row["__rank"])
             if row["min"] == row["max"]:
                 done[slot] = row["min"]
             elif row["n"] <= limit:
-                few.append((*slot[0], slot[1], *todo[slot], row["below"]))
+                few.append((*slot[0], slot[1], *todo[slot], row["__below"]))
             else:
-                at = (row["rank"] - row["below"]) / row["n"]
+                at = (row["__rank"] - row["__below"]) / row["n"]
                 slack = 4 / _ACCURACY
                 lo_i = floor((at - slack) * _GRID)
                 hi_i = floor((at + slack) * _GRID) + 1
@@ -177,7 +177,7 @@ def _search(long: DataFrame, group: list[str], large: dict, probs: Sequence[floa
                 hi = row["cuts"][hi_i] if hi_i < _GRID else row["max"]
                 if (lo, hi) == todo[slot]:
                     # The grid cannot split further: a heavy value fills most of the span.
-                    few.append((*slot[0], slot[1], lo, hi, row["below"]))
+                    few.append((*slot[0], slot[1], lo, hi, row["__below"]))
                 else:
                     nxt[slot] = (lo, hi)
         if few:
@@ -195,20 +195,20 @@ def _search(long: DataFrame, group: list[str], large: dict, probs: Sequence[floa
 def _resolve(long: DataFrame, group: list[str], few: list[tuple], schema) -> dict:
     """Pick the wanted rank inside spans that hold few distinct values."""
     spark = long.sparkSession
-    spans = spark.createDataFrame(few, _extended(schema, below="long"))
+    spans = spark.createDataFrame(few, _extended(schema, __below="long"))
     on = F.lit(True)
     for i, g in enumerate(group):
         on = on & c(g).eqNullSafe(F.col(f"__k{i}"))
     histogram = (
-        long.join(F.broadcast(spans), on & F.col("__x").between(F.col("lo"), F.col("hi")))
-        .groupBy(F.struct(*[c(g) for g in group]).alias("g"), "rank", "below", "__x")
+        long.join(F.broadcast(spans), on & F.col("__x").between(F.col("__lo"), F.col("__hi")))
+        .groupBy(F.struct(*[c(g) for g in group]).alias("__g"), "__rank", "__below", "__x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    w = Window.partitionBy("g", "rank").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("__g", "__rank").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     hit = (
-        histogram.withColumn("upto", F.col("below") + F.sum("n").over(w))
-        .where(F.col("rank").between(F.col("upto") - F.col("n"), F.col("upto") - 1))
-        .select("g", "rank", "__x")
+        histogram.withColumn("__upto", F.col("__below") + F.sum("n").over(w))
+        .where(F.col("__rank").between(F.col("__upto") - F.col("n"), F.col("__upto") - 1))
+        .select("__g", "__rank", "__x")
         .collect()
     )
-    return {(tuple(r["g"]), r["rank"]): r["__x"] for r in hit}
+    return {(tuple(r["__g"]), r["__rank"]): r["__x"] for r in hit}

@@ -237,13 +237,13 @@ def autocorrelation(
     x = c(value)
     wide = lagged.groupBy(*[c(k) for k in keys]).agg(
         F.count(x).alias("points"),
-        *[F.count(F.col(f"__l{k}")).alias(f"n{k}") for k in steps],
-        *[pearson(x, F.col(f"__l{k}")).alias(f"r{k}") for k in steps],
+        *[F.count(F.col(f"__l{k}")).alias(f"__n{k}") for k in steps],
+        *[pearson(x, F.col(f"__l{k}")).alias(f"__r{k}") for k in steps],
     )
     table = F.array(
         *[
             F.struct(
-                F.lit(k).alias("lag"), F.col(f"n{k}").alias("pairs"), F.col(f"r{k}").alias("r")
+                F.lit(k).alias("lag"), F.col(f"__n{k}").alias("pairs"), F.col(f"__r{k}").alias("r")
             )
             for k in steps
         ]
