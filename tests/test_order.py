@@ -198,3 +198,19 @@ def test_partitioning_does_not_matter(table):
 def test_unknown_layout():
     with pytest.raises(ValueError):
         Layout("other")
+
+
+def test_copies_of_one_row_spread_over_partitions(spark):
+    """A third of all rows with one key and one stamp, all equal, still ends in many partitions."""
+    from tidegauge.operators.order import _numbered
+
+    rows = spark.range(6000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k",
+        "CASE WHEN id % 3 = 0 THEN 1.0D ELSE id * 1.0D END AS x",
+    )
+    rows = rows.repartition(16)
+    placed = _numbered(rows, ["k"], ["x"], 500, None)
+    assert placed.select(F.max("__pos"), F.count("*")).first()[:] == (5999, 6000)
+    from_file = placed.where("k = 0").select(F.input_file_name().alias("f")).distinct().count()
+    assert from_file > 1
+    assert placed.groupBy("__slice").count().agg(F.max("count")).first()[0] == 500

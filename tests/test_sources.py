@@ -94,6 +94,7 @@ def test_cut_keeps_rows_and_names(spark):
     again = session.cut(df)
     assert again.collect() == df.collect() and again.columns == df.columns
     assert session.cut(df.limit(0)).count() == 0
+    assert session.release(spark) >= 2 and session.release(spark) == 0
 
 
 def test_row_operators_run_on_a_stream(spark, tmp_path, csv):

@@ -32,6 +32,8 @@ from ..session import cut
 GROUP_LIMIT = 1_000_000
 #: Rows per slice in the sliced layout.
 SLICE_ROWS = 250_000
+#: Rows that one range partition should sort, and the most partitions one shuffle should have.
+_PARTITION_ROWS, _MAX_PARTITIONS = 8_000_000, 50_000
 
 _ID, _PART, _POS, _SLICE, _OWN = "__id", "__part", "__pos", "__slice", "__own"
 
@@ -101,15 +103,29 @@ def _numbered(
 
     The range partitioner samples its bounds, so two plans could cut differently; the numbered
     rows are therefore written once and every later branch reads that copy.
+
+    Rows that tie on (keys, order) are told apart by a hash of the rest, and full copies of a row
+    by the input partition they come from. So not even a third of all rows with one stamp lands in
+    one task, and a task that is run again sends every row to the same place.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if total:
-        parts = max(parts, ceil(total / (4 * slice_rows)))
+        parts = max(parts, min(ceil(total / _PARTITION_ROWS), _MAX_PARTITIONS))
+    named = {*keys, *order}
+    rest = [
+        c(f.name)
+        for f in df.schema.fields
+        if f.name not in named and "map<" not in f.dataType.simpleString()
+    ]
+    ties = {"__tie": F.xxhash64(*rest) if rest else F.lit(0), "__from": F.spark_partition_id()}
     by = [c(k) for k in keys] + [c(o).desc() if descending else c(o).asc() for o in order]
+    by += [F.col(n) for n in ties]
     placed = cut(
-        df.repartitionByRange(parts, *by)
+        df.withColumns(ties)
+        .repartitionByRange(parts, *by)
         .sortWithinPartitions(*by)
+        .drop(*ties)
         .withColumn(_ID, F.monotonically_increasing_id()),
         "numbered",
     )
@@ -379,6 +395,8 @@ def tail_rows(
         largest, _ = group_sizes(df, keys)
         salts = 1 if largest <= layout.limit else min(1024, max(16, ceil(largest / layout.limit)))
     if salts > 1:
-        salt = F.pmod(F.xxhash64(*[c(o) for o in order]), F.lit(salts))
+        # The input partition is part of the salt, so that copies of one stamp spread out too.
+        mixed = F.xxhash64(*[c(o) for o in order], F.spark_partition_id())
+        salt = F.pmod(mixed, F.lit(salts))
         df = keep(df.withColumn("__salt", salt), [*by, F.col("__salt")]).drop("__salt")
     return keep(df, by)

@@ -22,6 +22,8 @@ from .order import AUTO, Layout, group_sizes
 
 _GRID = 128
 _ACCURACY = 20_000
+#: Large groups searched at a time, and the most group names sent to every executor.
+_BATCH, _BROADCAST_GROUPS = 10_000, 100_000
 
 
 def median(x: Column) -> Column:
@@ -94,12 +96,14 @@ def _bracketed(
 
     small = long
     if large:
-        names = spark.createDataFrame(list(large), key_schema)
+        known = spark.createDataFrame(list(large), key_schema)
         cond = F.lit(True)
         for i, g in enumerate(group):
             cond = cond & c(g).eqNullSafe(F.col(f"__k{i}"))
-        listed = names.toDF(*[f"__k{i}" for i in range(len(group))])
-        small = long.join(F.broadcast(listed), cond, "left_anti")
+        listed = known.toDF(*[f"__k{i}" for i in range(len(group))])
+        if len(large) <= _BROADCAST_GROUPS:
+            listed = F.broadcast(listed)
+        small = long.join(listed, cond, "left_anti")
     exact_small = (
         small.groupBy(*[c(g) for g in group])
         .agg(F.percentile(F.col("__x"), wanted).alias("__q"))
@@ -109,9 +113,10 @@ def _bracketed(
         )
         .toDF(*group, "prob", "quantile")
     )
-    found = [
-        (*g, float(p), value) for g, p, value in _search(long, group, large, probs, limit)
-    ] if large else []
+    names, found = list(large), []
+    for i in range(0, len(names), _BATCH):
+        batch = {g: large[g] for g in names[i : i + _BATCH]}
+        found += [(*g, float(p), value) for g, p, value in _search(long, group, batch, probs, limit)]
     schema = _extended(key_schema, prob="double", quantile="double")
     solved = spark.createDataFrame(found, schema)
     out = exact_small.unionByName(solved)

@@ -14,7 +14,8 @@ OPTIONS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Lets Spark limit each key to its last rows on the map side, up to the largest request.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
@@ -45,13 +46,29 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders made by this process, in order.
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate copies made so far; frames that stand on them can no longer be read."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        count += path.getFileSystem(conf).delete(path, True)
+    return count
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write a frame once to the shared folder and go on from there.
 
     Later branches then all see the same rows, read only the columns they need, and a lost
-    executor costs a re-read and not the work so far. The copy stays in the shared folder.
+    executor costs a re-read and not the work so far. The copy stays until ``release``.
     """
     spark = df.sparkSession
     folder = fresh_folder(spark, label)
+    _made.append(folder)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

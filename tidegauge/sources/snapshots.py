@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..columns import c
 from .readings import write_parquet
 
 # Fixed value: the form of a snapshot name.
@@ -34,8 +33,11 @@ def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latest_file(spark: SparkSession, folder: str) -> DataFrame:
-    """The same for plain files ``processed_*.parquet`` side by side in one folder."""
+    """The same for plain files ``processed_*.parquet`` side by side in one folder.
+
+    The newest name is looked up first, so that the filter on it skips all other files.
+    """
     rows = spark.read.option("recursiveFileLookup", True).parquet(folder)
     named = rows.withColumn("snapshot", F.col("_metadata.file_name"))
-    newest = named.agg(F.max("snapshot").alias("snapshot")).scalar()
-    return named.where(c("snapshot") == newest)
+    newest = named.agg(F.max("snapshot")).first()[0]
+    return named.where(F.col("_metadata.file_name") == F.lit(newest))
