@@ -69,13 +69,13 @@ def test_ingest_saves_both_reports(spark, csv, tmp_path):
 
 
 def test_ingest_refuses_bad_data(spark, tmp_path):
-    source, out = str(tmp_path / "bad.parquet"), str(tmp_path / "out")
+    source, out = str(tmp_path / "bad"), str(tmp_path / "out")
     rows = [(r[0], -5.0, *r[2:]) for r in raw_rows(text=False)]
     names = ["datetime", *POLLUTANTS, *WEATHER]
     schema = "datetime timestamp_ntz, " + ", ".join(f"`{n}` double" for n in names[1:])
     write_parquet(spark.createDataFrame(rows, schema), source)
     with pytest.raises(jobs.DataRejected, match="1 critical issues") as caught:
-        jobs.ingest(spark, source, out)
+        jobs.ingest(spark, source, out, source="parquet")
     bad = caught.value.report.where("severity = 'issue'").first()
     assert bad["column"] == "PM2.5" and bad["value"] == ROWS
     assert not (tmp_path / "out").exists() and (tmp_path / "out.input_report").exists()
@@ -92,3 +92,16 @@ def test_keys_stay_apart(spark):
     got = {r["k"]: r["PM2.5"] for r in out.where(out.datetime == gap).collect()}
     before = raw_rows(text=False)[49][1]
     assert got == {"a": pytest.approx(before), "b": pytest.approx(before + 1)}
+
+
+def test_ingest_with_keys(spark, tmp_path):
+    source, out = str(tmp_path / "keyed"), str(tmp_path / "out")
+    rows = [(k, *r) for k in ("a", "b") for r in raw_rows(text=False)]
+    schema = "k string, datetime timestamp_ntz, " + ", ".join(f"`{n}` double" for n in [*POLLUTANTS, *WEATHER])
+    write_parquet(spark.createDataFrame(rows, schema), source)
+    with pytest.raises(jobs.DataRejected):
+        jobs.ingest(spark, source, out, source="parquet")
+    result = jobs.ingest(spark, source, out, source="parquet", keys=["k"])
+    assert result["record_count"] == 2 * (ROWS - 24)
+    with pytest.raises(ValueError):
+        jobs.ingest(spark, source, out, source="orc")

@@ -209,7 +209,12 @@ def test_copies_of_one_row_spread_over_partitions(spark):
         "CASE WHEN id % 3 = 0 THEN 1.0D ELSE id * 1.0D END AS x",
     )
     rows = rows.repartition(16)
-    placed = _numbered(rows, ["k"], ["x"], 500, None)
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    try:
+        spark.conf.set(merge, "false")
+        placed = _numbered(rows, ["k"], ["x"], 500, None)
+    finally:
+        spark.conf.set(merge, "true")
     assert placed.select(F.max("__pos"), F.count("*")).first()[:] == (5999, 6000)
     from_file = placed.where("k = 0").select(F.input_file_name().alias("f")).distinct().count()
     assert from_file > 1

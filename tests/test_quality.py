@@ -97,3 +97,18 @@ def test_row_gate_per_key(spark):
     got = {r["k"]: tuple(r)[1:] for r in quality.row_gate(df, 2, keys=["k"]).collect()}
     assert got == {"a": (2, 2, True), "b": (1, 2, False)}
     assert quality.row_gate(df, 2, value="x").first()["rows"] == 2
+
+
+def test_report_per_key(spark):
+    """Two stations with the same stamps are no duplicates, and each has its own gaps."""
+    start = datetime(2024, 1, 1)
+    hours = {"a": list(range(30)), "b": [*range(0, 26), 60, 61]}
+    rows = [(k, start + timedelta(hours=h), 1.0 + h) for k, hs in hours.items() for h in hs]
+    df = spark.createDataFrame(rows, "k string, datetime timestamp_ntz, `PM2.5` double")
+    got = found(quality.validate(df, required=["PM2.5"], keys=["k"]))
+    assert got["duplicate_times", "datetime", "count"]["value"] == 0
+    assert got["gaps", "datetime", "large_gaps"]["value"] == 1
+    assert got["completeness", "datetime", "ratio"]["value"] == pytest.approx(58 / (30 + 62))
+    assert found(quality.check_completeness(df, "datetime", keys=["k"])).popitem()[1]["severity"] == "warning"
+    mixed = found(quality.validate(df, required=["PM2.5"]))
+    assert mixed["duplicate_times", "datetime", "count"]["value"] == 26

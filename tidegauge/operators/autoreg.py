@@ -12,8 +12,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import attach, c
-from .forecast import DEFAULT_STEPS, _by_step, check_steps, tails
+from ..columns import c
+from .forecast import DEFAULT_STEPS, _by_step, check_steps
 from .order import AUTO, Layout, fill_gaps, settle
 from .windows import lags
 
@@ -83,12 +83,21 @@ def _candidates() -> Column:
     return F.array_compact(F.array(*out))
 
 
-def _select_order(moments: DataFrame, by: Sequence[str]) -> DataFrame:
-    best = F.array_min(_candidates())
+def _fitted(
+    df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], layout: Layout
+) -> DataFrame:
+    """The best fit and the last three values of every series, from one aggregate."""
+    layout = settle(df, keys, layout)
+    rows = _lagged(df, value, keys, order, layout)
+    ends = F.array(*[F.col(f"__l{k}").cast("double") for k in (2, 1)], c(value).cast("double"))
+    moments = rows.groupBy(*[c(k) for k in keys]).agg(
+        *[e.alias(n) for n, e in _moments(value).items()],
+        F.max_by(ends, F.struct(*[c(o) for o in order])).alias("__tail"),
+    )
     return (
         moments.where(F.col("points") >= MIN_POINTS)
-        .withColumn("__best", best)
-        .select(*[c(k) for k in by], "n", "points", F.col("__best.*"))
+        .withColumn("__best", F.array_min(_candidates()))
+        .select(*[c(k) for k in keys], "n", "points", F.col("__best.*"), "__tail")
     )
 
 
@@ -105,18 +114,12 @@ def fit_autoregression(
     Gaps are filled first. All orders are fitted on the same rows (those with three earlier ones),
     so their AIC values compare. Series under 100 points are left out.
     """
-    layout = settle(df, keys, layout)
-    rows = _lagged(df, value, keys, order, layout)
-    moments = rows.groupBy(*[c(k) for k in keys]).agg(
-        *[e.alias(n) for n, e in _moments(value).items()]
-    )
-    return _select_order(moments, keys)
+    return _fitted(df, value, keys, order, layout).drop("__tail")
 
 
 def _path(tail: Column, steps: int) -> Column:
     """Recursion from the last three values of a series; the fit is in the row's columns."""
-    size = F.size(tail)
-    x1, x2, x3 = (F.get(tail, size - k) for k in (1, 2, 3))
+    x3, x2, x1 = (F.get(tail, F.lit(i)) for i in range(3))
     diff = F.col("d") == 1
     start = F.struct(
         F.when(diff, x1 - x2).otherwise(x1).alias("s1"),
@@ -178,16 +181,8 @@ def autoregressive_forecast(
 ) -> DataFrame:
     """(keys…, step, forecast, confidence_lower, confidence_upper) from the best order."""
     check_steps(steps)
-    layout = settle(df, keys, layout)
-    fits = fit_autoregression(df, value, keys=keys, order=order, layout=layout)
-    filled = fill_gaps(
-        df.select(*[c(n) for n in dict.fromkeys([*keys, *order, value])]),
-        [value], keys=keys, order=order, how="both", layout=layout,
-    )
-    ends = tails(filled, value, _LAGS, keys=keys, order=order, layout=layout)
-    ready = attach(ends, fits, keys, "inner").withColumns(
-        {"__path": _path(F.col("tail"), steps), "__se": _spread(steps)}
-    )
+    fits = _fitted(df, value, keys, order, layout)
+    ready = fits.withColumns({"__path": _path(F.col("__tail"), steps), "__se": _spread(steps)})
     out = _by_step(ready, keys, {"forecast": F.col("__path"), "__se": F.col("__se")})
     band = F.lit(NormalDist().inv_cdf(0.5 + level / 2)) * F.col("__se")
     return out.withColumns(

@@ -288,8 +288,8 @@ def backtest_with(
         ((after - 1) % test_size + 1).cast("int").alias("step"),
         c(value).alias("actual"),
     )
-    inner_layout = layout if layout.how == "sliced" else AUTO
-    ahead = forecaster(train, value, test_size, keys=[*keys, "fold"], order=order, layout=inner_layout)
+    # A fold trains on part of its series, so the layout that fits the series fits the fold.
+    ahead = forecaster(train, value, test_size, keys=[*keys, "fold"], order=order, layout=layout)
     ahead = ahead.select(*by, "fold", "step", F.col("forecast").alias("predicted"))
     # Series that are too short are left out here, where there are few rows per key.
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))

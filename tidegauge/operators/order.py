@@ -109,9 +109,10 @@ def _numbered(
     one task, and a task that is run again sends every row to the same place.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if total:
-        parts = max(parts, min(ceil(total / _PARTITION_ROWS), _MAX_PARTITIONS))
+    # The session's number of partitions, which Spark may merge, unless the table needs more.
+    needed = min(ceil((total or 0) / _PARTITION_ROWS), _MAX_PARTITIONS)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = [needed] if needed > usual else []
     named = {*keys, *order}
     rest = [
         c(f.name)
@@ -123,14 +124,14 @@ def _numbered(
     by += [F.col(n) for n in ties]
     placed = cut(
         df.withColumns(ties)
-        .repartitionByRange(parts, *by)
+        .repartitionByRange(*parts, *by)
         .sortWithinPartitions(*by)
         .drop(*ties)
         .withColumn(_ID, F.monotonically_increasing_id()),
         "numbered",
     )
     part = F.shiftright(F.col(_ID), 33)
-    # One row per partition: bounded by `parts`, whatever the size of the table.
+    # One row per partition, whatever the size of the table.
     sizes = placed.groupBy(part.alias(_PART)).agg(F.count(F.lit(1)).alias("n")).orderBy(_PART).collect()
     starts, seen = [], 0
     for row in sizes:

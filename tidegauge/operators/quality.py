@@ -302,21 +302,37 @@ def completeness(df: DataFrame, ts: str, *, keys: Sequence[str] = (), more_than:
     )
 
 
-def _completeness_check(ts: str, minimum: float = 0.8, more_than: int = 24) -> Check:
+def _completeness_check(
+    column: str, rows: Column, expected: Column, minimum: float = 0.8, more_than: int = 24
+) -> Check:
     n = F.col("complete_n")
-    ratio = n / _expected_rows(F.col("complete_a"), F.col("complete_b"))
+    ratio = n / F.col("complete_expected")
     note = F.concat(
         F.lit("Data completeness is only "), F.format_string("%.1f", ratio * 100), F.lit("%")
     )
-    entry = _row("completeness", ts, "ratio", ratio, _graded((ratio < minimum, WARNING)), note)
-    return Check(
-        {"complete_n": F.count(F.lit(1)), "complete_a": F.min(c(ts)), "complete_b": F.max(c(ts))},
-        [F.when(n > more_than, entry)],
-    )
+    entry = _row("completeness", column, "ratio", ratio, _graded((ratio < minimum, WARNING)), note)
+    return Check({"complete_n": rows, "complete_expected": expected}, [F.when(n > more_than, entry)])
+
+
+def _complete_table(column: str, ts: str, minimum: float = 0.8) -> Check:
+    """Completeness of one series, over its rows."""
+    expected = _expected_rows(F.min(c(ts)), F.max(c(ts)))
+    return _completeness_check(column, F.count(F.lit(1)), expected, minimum)
+
 
+def _complete_keys(column: str, minimum: float = 0.8) -> Check:
+    """Completeness of many series, over their ``completeness`` rows."""
+    rows, expected = F.sum("actual_records"), F.sum("expected_records")
+    return _completeness_check(column, rows, expected, minimum)
 
-def check_completeness(df: DataFrame, ts: str, minimum: float = 0.8) -> DataFrame:
-    return _run(df, _completeness_check(ts, minimum))
+
+def check_completeness(
+    df: DataFrame, ts: str, minimum: float = 0.8, *, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Rows against the hours covered; with keys, over all series of more than a day of rows."""
+    if keys:
+        return _run(completeness(df, ts, keys=keys), _complete_keys(ts, minimum))
+    return _run(df, _complete_table(ts, ts, minimum))
 
 
 def validate(
@@ -325,11 +341,12 @@ def validate(
     *,
     required: Sequence[str] = tuple(POLLUTANTS),
     ranges: Mapping[str, tuple] = RANGES,
+    keys: Sequence[str] = (),
     tie: Sequence[str] = (),
     fmt: str = TIME_FORMAT,
     layout: Layout = AUTO,
 ) -> DataFrame:
-    """Every check as one tidy table, in three passes over the data.
+    """Every check as one tidy table, in three passes over the data (four with keys).
 
     One wide aggregate covers schema, missing values, ranges and completeness; one hash count
     finds copies of rows; one ordering of the time column alone gives gaps, intervals and repeated
@@ -342,12 +359,15 @@ def validate(
             timed = df.withColumn("__ts", parsed_time(c(ts), fmt))
         else:
             timed = df.withColumn("__ts", c(ts))
-        complete = _completeness_check("__ts")
-        checks.append(Check(complete.aggregates, [_relabel(r, ts) for r in complete.rows]))
+        if not keys:
+            checks.append(_complete_table(ts, "__ts"))
     report = _run(timed, *checks).unionByName(check_duplicates(df))
     if ts not in df.columns:
         return report
-    gaps = cut(_gaps(timed, "__ts", (), tie, layout), "gaps")
+    if keys:
+        series = completeness(timed.where(F.col("__ts").isNotNull()), "__ts", keys=keys)
+        report = report.unionByName(_run(series, _complete_keys(ts)))
+    gaps = cut(_gaps(timed, "__ts", keys, tie, layout), "gaps")
     over_gaps = [
         _gap_check(ts),
         _repeat_check(ts, F.count_if(F.col("gap_hours") == 0)),
@@ -356,11 +376,6 @@ def validate(
     return report.unionByName(_run(gaps, *over_gaps))
 
 
-def _relabel(entry: Column, column: str) -> Column:
-    """The same report row for a column that was checked under a working name."""
-    return F.when(entry.isNotNull(), entry.withField("column", F.lit(column)))
-
-
 def verdict(report: DataFrame) -> DataFrame:
     """Counts of issues and warnings, and whether the data may be processed."""
     issues = F.count_if(F.col("severity") == ISSUE)

@@ -85,12 +85,16 @@ def process_csv(
     schema: T.StructType | None = None,
     values: Sequence[str] = tuple(POLLUTANTS),
     ts: str = "datetime",
+    keys: Sequence[str] = (),
+    tie: Sequence[str] = (),
     features: Sequence[str] | None = None,
     layout: Layout = AUTO,
 ) -> dict:
     """CSV readings to a processed Parquet table; returns status, counts and the summary frame."""
     raw = read_readings_csv(spark, path, schema)
-    rows, used = processed(raw, values, ts, fmt=TIME_FORMAT, features=features, layout=layout)
+    rows, used = processed(
+        raw, values, ts, keys=keys, tie=tie, fmt=TIME_FORMAT, features=features, layout=layout
+    )
     write_parquet(rows, output)
     return _result(spark, output, values, ts, len(used), layout)
 
@@ -136,32 +140,35 @@ def ingest(
     path: str,
     output: str,
     *,
+    source: str = "csv",
+    schema: T.StructType | None = None,
     values: Sequence[str] = tuple(POLLUTANTS),
     ts: str = "datetime",
+    keys: Sequence[str] = (),
+    tie: Sequence[str] = (),
     layout: Layout = AUTO,
 ) -> dict:
-    """Validate, stop on critical issues, process, validate the result.
+    """Validate, stop on critical issues, process, validate the result; ``source`` is csv or parquet.
 
     Both reports are saved beside the data, also when the input is rejected.
     """
-    raw = (
-        spark.read.parquet(path)
-        if path.rstrip("/").endswith(".parquet")
-        else read_readings_csv(spark, path)
-    )
-    before = validate(raw, ts, required=values, layout=layout)
+    if source not in ("csv", "parquet"):
+        raise ValueError(f"unknown source: {source}")
+    raw = spark.read.parquet(path) if source == "parquet" else read_readings_csv(spark, path, schema)
+    before = validate(raw, ts, required=values, keys=keys, tie=tie, layout=layout)
     write_parquet(before, f"{output.rstrip('/')}.input_report")
     before = spark.read.parquet(f"{output.rstrip('/')}.input_report")
     counts = verdict(before).first()
     if counts["has_critical_issues"]:
         raise DataRejected(before, counts)
     text_time = isinstance(raw.schema[ts].dataType, T.StringType)
-    rows, used = processed(
-        raw, values, ts, fmt=TIME_FORMAT if text_time else None, layout=layout
-    )
+    fmt = TIME_FORMAT if text_time else None
+    rows, used = processed(raw, values, ts, keys=keys, tie=tie, fmt=fmt, layout=layout)
     write_parquet(rows, output)
     saved = spark.read.parquet(output)
-    write_parquet(validate(saved, ts, required=values, layout=layout), f"{output.rstrip('/')}.output_report")
+    kept = [n for n in tie if n in saved.columns]
+    after = validate(saved, ts, required=values, keys=keys, tie=kept, layout=layout)
+    write_parquet(after, f"{output.rstrip('/')}.output_report")
     result = _result(spark, output, values, ts, len(used), layout)
     result["input_report"] = before
     result["output_report"] = spark.read.parquet(f"{output.rstrip('/')}.output_report")

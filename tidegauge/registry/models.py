@@ -148,11 +148,11 @@ _INGEST_SQL = _job_sql(
 @query("ingested_rows", _INGEST_SQL, views="readings", doubles=_JOB_DOUBLES, digits=5)
 def _(t):
     """Validated ingest of the filled readings; the pressure is moved into its plausible range, which scaling undoes."""
-    source = fresh_folder(t.spark, "ingest") + ".parquet"
+    source = fresh_folder(t.spark, "ingest")
     filled = ffill_bfill(t.readings, POLLUTANTS, order=["datetime"])
     readings.write_parquet(filled.withColumn("pressure", c("pressure") / 10 + 900), source)
     out = fresh_folder(t.spark, "ingested")
-    jobs.ingest(t.spark, source, out)
+    jobs.ingest(t.spark, source, out, source="parquet")
     return _unpacked(t.spark.read.parquet(out))
 
 
