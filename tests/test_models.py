@@ -323,3 +323,16 @@ def test_scaling_matches_spark_ml(spark):
     for m, t in zip(mine, theirs, strict=True):
         assert m["scaled_features"] == pytest.approx(t["v"])
     assert mlprep.scale(df, names, as_vector=True).schema["scaled_features"].dataType.typeName() == "vectorudt"
+
+
+def test_autoregression_of_a_wandering_series_far_from_zero(spark):
+    """Lagged levels are almost equal here; the fit must still match least squares."""
+    rng = np.random.default_rng(6)
+    x = 1e6 + np.cumsum(rng.normal(0.5, 1, 400))
+    rows = [(START + timedelta(hours=i), float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, x double")
+    got = autoreg.fit_autoregression(df, "x", order=["ts"]).first()
+    # Least squares on centred values, for the same reason.
+    _, p, d, beta, rss, n = least_squares(x - 1e6)
+    assert (got["p"], got["d"], got["n"]) == (p, d, n)
+    assert got["rss"] == pytest.approx(rss, rel=1e-6)

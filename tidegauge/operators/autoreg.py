@@ -34,41 +34,66 @@ def _lagged(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str]
 
 
 def _moments(value: str) -> dict[str, Column]:
-    """Sums behind all fits, over the rows that have every lag."""
+    """Means and covariances behind all fits, over the rows that have every lag.
+
+    They are taken of the level before (``u``) and of the last three changes (``z0`` to ``z2``)
+    and not of the lagged levels: these are almost equal in a wandering series, and the fit would
+    drown in rounding.
+    """
     x = [c(value), *[F.col(f"__l{k}") for k in range(1, _LAGS + 1)]]
     whole = x[_LAGS].isNotNull()
+    terms = {"x": x[0], "u": x[1], **{f"z{i}": x[i] - x[i + 1] for i in range(3)}}
+    terms = {n: F.when(whole, e) for n, e in terms.items()}
+    pairs = ["x x", "u u", "u z0", "u z1", "z0 z0", "z0 z1", "z0 z2", "z1 z1", "z1 z2", "z2 z2"]
     out = {"points": F.count(x[0]), "n": F.count_if(whole)}
-    for d in (0, 1):
-        ys = [F.when(whole, x[i] - x[i + 1] if d else x[i]) for i in range(3)]
-        for i, a in enumerate(ys):
-            out[f"m{d}{i}"] = F.avg(a)
-            for j in range(i, 3):
-                out[f"s{d}{i}{j}"] = F.covar_pop(a, ys[j])
+    out |= {f"mean {n}": F.avg(e) for n, e in terms.items()}
+    for pair in pairs:
+        left, right = pair.split()
+        out[pair] = F.covar_pop(terms[left], terms[right])
     return out
 
 
+def _solve(*regressors: str) -> tuple[Column, ...]:
+    """Coefficients of the last change on one or two regressors; NULL unless they are unique."""
+
+    def s(a: str, b: str) -> Column:
+        return c(" ".join(sorted((a, b))))
+
+    if len(regressors) == 1:
+        (a,) = regressors
+        return (F.when(s(a, a) > 0, F.try_divide(s(a, "z0"), s(a, a))),)
+    a, b = regressors
+    det = s(a, a) * s(b, b) - s(a, b) * s(a, b)
+    unique = det > F.lit(1e-12) * s(a, a) * s(b, b)
+    return (
+        F.when(unique, F.try_divide(s(a, "z0") * s(b, b) - s(b, "z0") * s(a, b), det)),
+        F.when(unique, F.try_divide(s(b, "z0") * s(a, a) - s(a, "z0") * s(a, b), det)),
+    )
+
+
 def _candidates() -> Column:
     """One struct (aic, p, d, const, b1, b2, rss) per order; orders without a unique fit are null."""
     n = F.col("n").cast("double")
-    zero = F.lit(0.0)
+    zero, one = F.lit(0.0), F.lit(1.0)
     out = []
     for p, d in ORDERS:
-        m = [F.col(f"m{d}{i}") for i in range(3)]
-        s = {(i, j): F.col(f"s{d}{i}{j}") for i in range(3) for j in range(i, 3)}
-        if p == 0:
-            b1, b2 = zero, zero
-        elif p == 1:
-            b1 = F.when(s[1, 1] > 0, F.try_divide(s[0, 1], s[1, 1]))
-            b2 = zero
+        # A level model of order p is the change on the level before and on p - 1 changes before.
+        regressors = [[], ["u"], ["u", "z1"]][p] if d == 0 else [[], ["z1"], ["z1", "z2"]][p]
+        fitted = dict(zip(regressors, _solve(*regressors), strict=True)) if regressors else {}
+        variance, const = c("z0 z0"), c("mean z0")
+        for name, beta in fitted.items():
+            variance = variance - beta * c(" ".join(sorted((name, "z0"))))
+            const = const - beta * c(f"mean {name}")
+        if d == 1:
+            b1, b2 = fitted.get("z1", zero), fitted.get("z2", zero)
+        elif p == 0:
+            variance, const, b1, b2 = c("x x"), c("mean x"), zero, zero
         else:
-            det = s[1, 1] * s[2, 2] - s[1, 2] * s[1, 2]
-            unique = det > F.lit(1e-12) * s[1, 1] * s[2, 2]
-            b1 = F.when(unique, F.try_divide(s[0, 1] * s[2, 2] - s[0, 2] * s[1, 2], det))
-            b2 = F.when(unique, F.try_divide(s[0, 2] * s[1, 1] - s[0, 1] * s[1, 2], det))
-        const = m[0] - b1 * m[1] - b2 * m[2]
-        variance = F.greatest(s[0, 0] - b1 * s[0, 1] - b2 * s[0, 2], zero)
+            change = fitted.get("z1", zero)
+            b1, b2 = one + fitted["u"] + change, -change
+        variance = F.greatest(variance, zero)
         # A perfect fit would have no logarithm: stop at the rounding noise of the level.
-        floor = F.lit(1e-14) * F.col("s000") + F.lit(1e-300)
+        floor = F.lit(1e-14) * c("x x") + F.lit(1e-300)
         aic = n * F.ln(F.greatest(variance, floor)) + 2 * (p + 1)
         fit = F.struct(
             aic.alias("aic"),

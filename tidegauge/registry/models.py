@@ -287,37 +287,42 @@ def _(t):
 def _fit_sql(table: str, key: str) -> str:
     """All six fits per series from its moments, then the one with the lowest AIC."""
     order = f"PARTITION BY {key} ORDER BY ts, event_id"
+    terms = {"x": "value", "u": "l1", "z0": "value - l1", "z1": "l1 - l2", "z2": "l2 - l3"}
     sums = ["count(*) AS points", "count(*) FILTER (WHERE l3 IS NOT NULL) AS n"]
-    for d, cols in ((0, ("value", "l1", "l2")), (1, ("value - l1", "l1 - l2", "l2 - l3"))):
-        for i, a in enumerate(cols):
-            sums.append(f"avg({a}) FILTER (WHERE l3 IS NOT NULL) AS m{d}{i}")
-            for j in range(i, 3):
-                sums.append(f"covar_pop({a}, {cols[j]}) FILTER (WHERE l3 IS NOT NULL) AS s{d}{i}{j}")
-    fits = []
-    for d in (0, 1):
-        s = {f"{i}{j}": f"s{d}{i}{j}" for i in range(3) for j in range(i, 3)}
-        det = f"({s['11']} * {s['22']} - {s['12']} * {s['12']})"
-        betas = {
-            0: ("0.0::DOUBLE", "0.0::DOUBLE"),
-            1: (f"{s['01']} / {s['11']}", "0.0::DOUBLE"),
-            2: (
-                f"({s['01']} * {s['22']} - {s['02']} * {s['12']}) / {det}",
-                f"({s['02']} * {s['11']} - {s['01']} * {s['12']}) / {det}",
-            ),
-        }
-        for p, (b1, b2) in betas.items():
-            fits.append(
-                f"SELECT {key}, n, points, {p} AS p, {d} AS d, {b1} AS b1, {b2} AS b2, m{d}0 AS m0, m{d}1 AS m1, "
-                f"m{d}2 AS m2, s{d}00 AS v, s{d}01 AS c1, s{d}02 AS c2 FROM sums WHERE points >= 100"
-            )
+    sums += [f"avg({e}) FILTER (WHERE l3 IS NOT NULL) AS m_{n}" for n, e in terms.items()]
+    for pair in ("x x", "u u", "u z0", "u z1", "z0 z0", "z0 z1", "z0 z2", "z1 z1", "z1 z2", "z2 z2"):
+        a, b = pair.split()
+        sums.append(f"covar_pop({terms[a]}, {terms[b]}) FILTER (WHERE l3 IS NOT NULL) AS {a}_{b}")
+
+    def two(a: str, b: str, a0: str, b0: str) -> tuple[str, str]:
+        det = f"({a}_{a} * {b}_{b} - {a}_{b} * {a}_{b})"
+        return (f"(({a0} * {b}_{b} - {b0} * {a}_{b}) / {det})", f"(({b0} * {a}_{a} - {a0} * {a}_{b}) / {det})")
+
+    g1 = "(u_z0 / u_u)"
+    g2, h2 = two("u", "z1", "u_z0", "z0_z1")
+    k1 = "(z0_z1 / z1_z1)"
+    k2, q2 = two("z1", "z2", "z0_z1", "z0_z2")
+    zero = "0.0::DOUBLE"
+    models = [
+        (0, 0, "m_x", zero, zero, "x_x"),
+        (1, 0, f"m_z0 - {g1} * m_u", f"1 + {g1}", zero, f"z0_z0 - {g1} * u_z0"),
+        (2, 0, f"m_z0 - {g2} * m_u - {h2} * m_z1", f"1 + {g2} + {h2}", f"-{h2}",
+         f"z0_z0 - {g2} * u_z0 - {h2} * z0_z1"),
+        (0, 1, "m_z0", zero, zero, "z0_z0"),
+        (1, 1, f"m_z0 - {k1} * m_z1", k1, zero, f"z0_z0 - {k1} * z0_z1"),
+        (2, 1, f"m_z0 - {k2} * m_z1 - {q2} * m_z2", k2, q2, f"z0_z0 - {k2} * z0_z1 - {q2} * z0_z2"),
+    ]
+    fits = " UNION ALL ".join(
+        f"SELECT {key}, n, points, {p} AS p, {d} AS d, {const} AS const, {b1} AS b1, {b2} AS b2, {v} AS v "
+        "FROM sums WHERE points >= 100"
+        for p, d, const, b1, b2, v in models
+    )
     return f"""
     lagged AS (SELECT {key}, ts, event_id, value, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2,
                       lag(value, 3) OVER w AS l3 FROM {table} WINDOW w AS ({order})),
     sums AS (SELECT {key}, {", ".join(sums)} FROM lagged GROUP BY 1),
-    fits AS ({" UNION ALL ".join(fits)}),
-    scored AS (SELECT {key}, n, points, p, d, b1, b2, m0 - b1 * m1 - b2 * m2 AS const,
-                      n * (v - b1 * c1 - b2 * c2) AS rss,
-                      n * ln(v - b1 * c1 - b2 * c2) + 2 * (p + 1) AS aic FROM fits),
+    fits AS ({fits}),
+    scored AS (SELECT {key}, n, points, p, d, const, b1, b2, n * v AS rss, n * ln(v) + 2 * (p + 1) AS aic FROM fits),
     best AS (SELECT {key}, n, points, aic, p, d, const, b1, b2, rss FROM scored
              QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY aic, p, d) = 1)
     """

@@ -172,14 +172,13 @@ def _(t):
     return rows.select("datetime", "alert")
 
 
-_RULES = {"PM2.5": (20, None), "PM10": (0, None), "temperature": (-50, 14), "humidity": (8, 100)}
+_RULES = {"PM2.5": (40, None), "PM10": (0, None), "NO2": (0, 52), "humidity": (0, None)}
 
 
 @query("rule_violations", """
     SELECT datetime, array_to_string(list_filter([
-        CASE WHEN "PM2.5" < 20 THEN 'PM2.5' END, CASE WHEN PM10 < 0 THEN 'PM10' END,
-        CASE WHEN temperature < -50 OR temperature > 14 THEN 'temperature' END,
-        CASE WHEN humidity < 8 OR humidity > 100 THEN 'humidity' END], lambda x: x IS NOT NULL), ',') AS violations
+        CASE WHEN "PM2.5" < 40 THEN 'PM2.5' END, CASE WHEN PM10 < 0 THEN 'PM10' END,
+        CASE WHEN NO2 < 0 OR NO2 > 52 THEN 'NO2' END, CASE WHEN humidity < 0 THEN 'humidity' END], lambda x: x IS NOT NULL), ',') AS violations
     FROM readings
     """, views="readings")
 def _(t):
@@ -189,8 +188,7 @@ def _(t):
 
 @query("good_rows", """
     SELECT datetime FROM readings
-    WHERE NOT coalesce("PM2.5" < 20, false) AND NOT coalesce(temperature > 14, false)
-      AND NOT coalesce(humidity < 8, false)
+    WHERE NOT coalesce("PM2.5" < 40, false) AND NOT coalesce(NO2 > 52, false)
     """, views="readings")
 def _(t):
     good, _ = rules.split_by_rules(t.readings, _RULES)
