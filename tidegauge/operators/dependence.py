@@ -276,7 +276,7 @@ def persistence(lags: DataFrame, *, by: Sequence[str] = (), lag: int = 24) -> Da
     )
 
 
-def _persistence_of(df: DataFrame, values: Sequence[str], order: Sequence[str], layout: Layout) -> DataFrame:
+def persistence_of(df: DataFrame, values: Sequence[str], order: Sequence[str], layout: Layout) -> DataFrame:
     """One row per value, so that all values run as keys of one job."""
     cells = F.array(
         *[F.struct(F.lit(v).alias("variable"), c(v).cast("double").alias("__x")) for v in values]
@@ -327,7 +327,7 @@ def findings(
             top.select(F.lit("most_influential").alias("finding"), text.alias("text"))
         )
     first = present(df, values)[:main]
-    high = _persistence_of(df, first, [ts, *tie], layout).where(F.col("persistence") == "high")
+    high = persistence_of(df, first, [ts, *tie], layout).where(F.col("persistence") == "high")
     # At most one name per column of the table.
     listed = high.agg(F.sort_array(F.collect_list("variable")).alias("names"))
     text = F.concat(F.lit("High persistence pollutants: "), F.array_join("names", ", "))

@@ -252,7 +252,7 @@ def _auto_long(values) -> str:
     FROM auto GROUP BY 1
     """, views="readings", doubles="strongest_autocorrelation")
 def _(t):
-    return dependence._persistence_of(t.readings, _POLLUTANTS[:3], ["datetime"], Layout())
+    return dependence.persistence_of(t.readings, _POLLUTANTS[:3], ["datetime"], Layout())
 
 
 @query("findings", f"""
