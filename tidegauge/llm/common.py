@@ -46,10 +46,22 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def sample_by_hash(df: DataFrame, key: str, size: int, seed: int = 17) -> DataFrame:
-    """At most ``size`` rows: those with the smallest hash of their key.
+def hash_below(key: Column, share: Column | float, seed: int) -> Column:
+    """True for a share of the keys, chosen by a hash: the same ones in any partitioning."""
+    unit = F.xxhash64(key, F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5)
+    return unit < share
 
-    The same rows are taken whatever the partitioning is. Spark keeps ``size`` rows per task and
-    merges them, so no shuffle of the table takes place.
+
+def sample_by_hash(df: DataFrame, key: str, size: int, by: str | None = None, seed: int = 17) -> DataFrame:
+    """About ``size`` rows (of each value of ``by``), chosen by a hash of their key; no shuffle of rows.
+
+    The number varies around ``size`` as a binomial count does. Only the row counts come to the driver.
     """
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(size)
+    if by is None:
+        count = df.count()
+        return df if count <= size else df.where(hash_below(F.col(key), size / count, seed))
+    counts = {row[by]: row["count"] for row in df.groupBy(by).count().collect()}
+    share = F.lit(0.0)
+    for value, count in counts.items():
+        share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, size / count) + (count <= size))).otherwise(share)
+    return df.where(hash_below(F.col(key), share, seed))

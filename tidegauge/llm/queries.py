@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, packing, token_files
-from tidegauge.llm.common import table
+from tidegauge.llm import bpe, html_text, language, packing, quality, token_files
+from tidegauge.llm.common import fold, table
 from tidegauge.session import fresh_folder
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = fold(F.col("doc_id"), 4)
+    model = language.fit(docs.where(remainder != 2))
+    rows = docs.select("doc_id", "text", (remainder == 2).alias("held_out"))
+    return language.predict(rows, model)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -22,13 +35,28 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.summary(spark, folder)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; a fifth of the ids is held out of fitting so that it can be judged."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text", "lang", "source"), model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "content_score", "metadata_score", "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
+    "op3_language": op3_language,
     "op5_bpe": op5_bpe,
     "op7_token_files": op7_token_files,
+    "op8_quality": op8_quality,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
