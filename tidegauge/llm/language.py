@@ -94,6 +94,33 @@ def ngrams(texts: list[str], orders: tuple[int, ...]) -> tuple[np.ndarray, np.nd
     return np.concatenate(keys), np.concatenate(owners), has_letter
 
 
+def powers(length: int) -> np.ndarray:
+    """1, p, p^2, ... modulo 2^64 for a fixed odd p."""
+    out = np.full(length, 0x9E3779B97F4A7C15, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def words(texts: list[str], least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words of at least ``least`` letters in lower case, and the text of each."""
+    lowered = [x.lower() for x in texts]
+    lengths = np.array([len(x) + 1 for x in lowered], np.int64)
+    codes = np.frombuffer(" ".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = letters()[codes]
+    edge = np.diff(np.r_[False, letter].astype(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    long = end - start >= least
+    start, end = start[long], end[long]
+    if not len(start):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    size = end - start
+    inner = np.repeat(start, size)
+    at = np.arange(len(inner)) - np.repeat(np.cumsum(size) - size, size)
+    part = mixed(codes[inner + at].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[at]
+    return mixed(np.add.reduceat(part, np.cumsum(size) - size) + np.uint64(7)), owner[start]
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", settings: Settings | None = None) -> Model:
     """Learn the profiles from the rows of ``df`` that have a text and a language."""
     settings = settings or Settings()

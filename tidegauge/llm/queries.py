@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, html_text, language, packing, quality, token_files
+from tidegauge.llm import bpe, hamming, html_text, language, packing, quality, token_files, toxicity, vectors
 from tidegauge.llm.common import fold, table
 from tidegauge.session import fresh_folder
 
@@ -17,6 +17,15 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted, "nearest")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     remainder = fold(F.col("doc_id"), 4)
@@ -29,6 +38,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector, by Hamming distance of the sign codes."""
+    codes = hamming.sign_codes(table(spark, sf_dir, "embeddings"))
+    return hamming.nearest(codes, codes.where(F.col("id") % 100 == 0), k=10)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -47,16 +62,23 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
+    "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
     "op5_bpe": op5_bpe,
+    "op6_hamming": op6_hamming,
     "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
+    "op9_vectors": op9_vectors,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
