@@ -193,9 +193,9 @@ def identify(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.
 ADDED = (("lang_pred", "string"), ("score", "double"), ("coverage", "double"))
 
 
-def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``df`` except ``text``, with the columns of ``ADDED`` (which replace their like)."""
-    kept = [c for c in df.columns if c != text and c not in dict(ADDED)]
+def predict(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """All columns of ``df`` (``text`` only if ``keep_text``) with those of ``ADDED``, which replace their like."""
+    kept = [c for c in df.columns if c not in dict(ADDED) and (keep_text or c != text)]
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema
     for name, kind in ADDED:

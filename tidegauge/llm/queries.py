@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, hamming, html_text, language, packing, quality, token_files, toxicity, vectors
+from tidegauge.llm import bpe, hamming, html_text, jaccard, language, packing, quality, token_files, toxicity, vectors
 from tidegauge.llm.common import fold, table
 from tidegauge.session import fresh_folder
 
@@ -34,6 +34,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
+    "op4_jaccard": op4_jaccard,
     "op5_bpe": op5_bpe,
     "op6_hamming": op6_hamming,
     "op7_token_files": op7_token_files,
