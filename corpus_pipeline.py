@@ -25,7 +25,7 @@ LEAST_QUALITY = 0.5
 def _carried(docs: DataFrame) -> DataFrame:
     """``docs`` with all columns in one, so that no name clashes, beside those the operators read."""
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__row")
-    return docs.select(rest, "text", F.col("lang").alias("__lang"), F.col("source").alias("__source"))
+    return docs.select(rest, "text", F.col("lang").alias("_lang"), F.col("source").alias("_source"))
 
 
 def _restored(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -43,7 +43,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(_carried(docs), model, lang="__lang", source="__source", keep_text=True)
+    scored = quality.score(_carried(docs), model, lang="_lang", source="_source", keep_text=True)
     return _restored(scored.where(F.col("score") >= LEAST_QUALITY), docs.columns)
 
 
