@@ -34,7 +34,7 @@ def sign_codes(df: DataFrame, vector: str = "embedding", key: str = "vec_id") ->
         F.lit(0).cast("long"),
         lambda a, b: a.bitwiseOR(b),
     )
-    sound = (F.size(vector) == BITS) & F.forall(vector, lambda x: F.coalesce(~F.isnan(x), F.lit(False)))
+    sound = (F.size(vector) == BITS) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
     return df.where(F.col(key).isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(key).cast("long").alias("id"), bit.alias("code"))
 
 

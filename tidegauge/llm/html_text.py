@@ -4,7 +4,8 @@ A page becomes a tree. Every paragraph earns points for its length and its comma
 its parent in full, to the grandparent by half and to further ancestors by less. A container's points
 are discounted by its link density (characters in links over all characters). The best container is
 the article, widened to the ``article`` or ``main`` element that holds it; siblings with a good score
-of their own are kept beside it. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+of their own are kept beside it (beside an ``article`` only further ones). A page's only ``article`` (or else ``main``) element is taken however short it
+is. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are never part of it.
 
 Text: character references are decoded, white space in a block becomes one blank, blocks are trimmed
@@ -253,8 +254,9 @@ class Page:
         top, whole, up = score[best], best, best
         for tag in ("article", "main"):  # the only such element of the page is the article, however short
             only = [x for x in range(1, count) if tags[x] == tag and not bad[x] and all_chars[x]]
-            if len(only) == 1 and self._above(best, only[0]):
-                whole = up = only[0]
+            if len(only) == 1 and not self._above(only[0], best):
+                whole, top = only[0], score[only[0]]
+                up = whole
                 break
         while up > 0:
             if tags[up] == "article" or (tags[up] == "main" and tags[whole] != "article"):
@@ -272,7 +274,8 @@ class Page:
             for node in siblings:
                 is_text = tags[node] == "p" and chars[node] >= 80 and density[node] < 0.25
                 title = node in before[-1:] and tags[node] == "h1"
-                if title or (score[node] >= limit) or (is_text and tags[whole] not in _WHOLE):
+                like = tags[whole] not in _WHOLE or tags[node] == tags[whole]
+                if title or (like and (score[node] >= limit or is_text)):
                     keep[node] = True
         for node in range(1, count):
             if keep[parents[node]]:

@@ -78,7 +78,7 @@ def ngrams(texts: list[str], orders: tuple[int, ...]) -> tuple[np.ndarray, np.nd
     codes = np.where(letter, codes, 32).astype(np.uint64)
     owner = np.r_[0, np.repeat(np.arange(len(texts)), lengths)]
     has_letter = np.bincount(owner[letter], minlength=len(texts)) > 0
-    keys, owners = [], []
+    keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for n in orders:
         if len(codes) < n:
             continue
