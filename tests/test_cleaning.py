@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -141,3 +141,20 @@ def test_numbers_from_text(spark):
 def test_parse_drops_bad_times(spark):
     df = spark.createDataFrame([("2024-01-01 05:00:00",), ("01.01.2024",), (None,)], "datetime string")
     assert [r["datetime"] for r in select.parse_ts(df).collect()] == [datetime(2024, 1, 1, 5)]
+
+
+def test_series_are_cleaned_apart(spark):
+    """Two stations at different levels: own means, own bounds; over the table only when asked for."""
+    rows = [("a", i, None if i < 2 else 10.0 + i % 3) for i in range(20)] + [("b", i, 1000.0 + i % 3) for i in range(20)]
+    rows += [("a", 99, 500.0), (None, 0, 7.0)]
+    start = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(k, start + timedelta(hours=i), x) for k, i, x in rows], "k string, ts timestamp_ntz, x double")
+    filled = {(r["k"], r["ts"]): r["x"] for r in clean.fill_mean(df.where("x is null or x < 400"), ["x"], keys=["k"]).collect()}
+    assert 10 <= filled["a", start] <= 12
+    got = clean.clean(df, ["x"], "ts", keys=["k"]).collect()
+    assert all(r["x"] < 20 for r in got if r["k"] == "a") and sum(r["k"] == "b" for r in got) == 20
+    assert [r["x"] for r in got if r["k"] is None] == [7.0]
+    whole = clean.iqr_filter(df.where("x is not null"), ["x"])
+    assert whole.where("x = 500").count() == 1
+    own = clean.iqr_filter(df, ["x"], keys=["k"], layout=Layout("sliced", limit=5))
+    assert own.where("x = 500").count() == 0 and own.where("k = 'b'").count() == 20

@@ -13,6 +13,7 @@ from tidegauge.operators import windows
 from tidegauge.operators.order import (
     Layout,
     fill_gaps,
+    in_slices,
     number_rows,
     over_rows,
     settle,
@@ -219,3 +220,38 @@ def test_copies_of_one_row_spread_over_partitions(spark):
     from_file = placed.where("k = 0").select(F.input_file_name().alias("f")).distinct().count()
     assert from_file > 1
     assert placed.groupBy("__slice").count().agg(F.max("count")).first()[0] == 500
+
+
+def test_tied_rows_have_one_order_in_every_layout(spark):
+    rows = [(i % 2, i // 50, i, float((i * 7919) % 1009)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, ts int, id int, x double").repartition(7)
+    layouts = [Layout("grouped"), Layout("sliced", slice_rows=90), Layout(limit=100, slice_rows=90), Layout()]
+    for keys in (["k"], []):
+        seen = set()
+        for how in [*layouts, settle(df, keys, Layout(limit=100, slice_rows=90))]:
+            lagged = over_rows(df, lambda w: {"y": F.lag("x", 3).over(w)}, keys=keys, order=["ts"], before=3, layout=how)
+            first = lagged.agg(F.sum(F.col("id") * F.col("y"))).first()[0]
+            numbered = number_rows(df, keys=keys, order=["ts"], layout=how).agg(F.sum(F.col("rn") * F.col("id"))).first()[0]
+            back = number_rows(df, keys=keys, order=["ts"], descending=True, layout=how).agg(F.sum(F.col("rn") * F.col("id"))).first()[0]
+            tail = tail_rows(df, 7, keys=keys, order=["ts"], layout=how).agg(F.sum("id")).first()[0]
+            gaps = df.withColumn("x", F.when(F.col("id") % 3 == 0, F.col("x")))
+            filled = [
+                fill_gaps(gaps, ["x"], keys=keys, order=["ts"], how=h, layout=how).agg(F.sum(F.col("id") * F.col("x"))).first()[0]
+                for h in ("forward", "back", "both")
+            ]
+            seen.add((first, numbered, back, tail, *filled))
+        assert len(seen) == 1
+
+
+def test_sizes_stay_with_a_settled_layout(spark):
+    df = spark.range(3000).select((F.col("id") % 500).alias("k"), "id")
+    settled = settle(df, ["k"], Layout(slice_rows=300))
+    assert (settled.how, settled.largest, settled.total) == ("grouped", 6, 3000)
+    for how in (settled, Layout("grouped", slice_rows=300), Layout(slice_rows=300)):
+        spread, group, _ = in_slices(df, keys=["k"], order=["id"], before=1, layout=how)
+        assert spread.select(group).distinct().count() == 10
+
+
+def test_maps_may_stand_beside_ordered_columns(spark):
+    df = spark.createDataFrame([(1, {"a": 1}), (1, {"b": 2}), (2, None)], "ts int, m map<string,int>")
+    assert number_rows(df, order=["ts"], layout=Layout("sliced", slice_rows=2)).count() == 3

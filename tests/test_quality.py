@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tidegauge.operators import quality
+from tidegauge.operators import profiles, quality
 from tidegauge.operators.duplicates import copy_counts
 from tidegauge.operators.order import Layout
 
@@ -112,3 +112,16 @@ def test_report_per_key(spark):
     assert found(quality.check_completeness(df, "datetime", keys=["k"])).popitem()[1]["severity"] == "warning"
     mixed = found(quality.validate(df, required=["PM2.5"]))
     assert mixed["duplicate_times", "datetime", "count"]["value"] == 26
+
+
+def test_copies_of_rows_with_maps_and_signed_zeros(spark):
+    rows = [({"a": 1, "b": 2}, 0.0), ({"b": 2, "a": 1}, -0.0), ({"a": 1}, 0.0), (None, 0.0), (None, 0.0)]
+    df = spark.createDataFrame(rows, "m map<string,int>, x double")
+    assert copy_counts(df) == (5, 2)
+    counted = {r["column"]: r for r in profiles.quality_counters(df).collect()}
+    assert (counted["x"]["distinct_count"], counted["m"]["distinct_count"], counted["m"]["null_count"]) == (1, 2, 2)
+
+
+def test_missing_stamps_are_no_repeats(spark):
+    df = spark.createDataFrame([(None,), (None,), (None,)], "ts timestamp_ntz")
+    assert quality.check_duplicate_times(df, "ts").first()["value"] == 0

@@ -73,3 +73,34 @@ def hour_start(col: Column) -> Column:
 
 def day_start(col: Column) -> Column:
     return ntz(F.to_date(col))
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.MapType):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields)
+
+
+def hashable(df: DataFrame, name: str) -> Column:
+    """The column in a form that can be hashed and grouped; equal values stay equal.
+
+    Maps become their sorted entries, -0.0 becomes 0.0.
+    """
+    return _plain(c(name), df.schema[name].dataType)
+
+
+def _plain(col: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return F.when(col == 0, F.lit(0).cast(kind)).otherwise(col)
+    if not _has_map(kind):
+        return col
+    if isinstance(kind, T.MapType):
+        entry = T.StructType().add("key", kind.keyType).add("value", kind.valueType)
+        entries = F.transform(F.map_entries(col), lambda x: _plain(x, entry))
+        return F.array_sort(entries)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _plain(x, kind.elementType))
+    fields = F.struct(*[_plain(col.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+    return F.when(col.isNotNull(), fields)

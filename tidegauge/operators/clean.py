@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..columns import c, present, quoted
+from ..columns import attach, c, present, quoted
 from ..session import cut
 from .order import AUTO, Layout, fill_gaps, over_rows, settle
 from .quantiles import quantiles
@@ -35,27 +35,31 @@ def fill_previous(
     return over_rows(df, nearest, keys=keys, order=order, before=limit, layout=layout)
 
 
-def column_means(df: DataFrame, values: Sequence[str]) -> dict[str, float | None]:
-    """The mean of each column, as numbers."""
-    row = df.agg(*[F.avg(c(v)).alias(f"m{i}") for i, v in enumerate(values)]).first()
-    return {v: row[f"m{i}"] for i, v in enumerate(values)}
+def column_means(df: DataFrame, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The mean of each column, of each key if there are keys, as ``__m0``, ``__m1``, …"""
+    means = [F.avg(c(v)).alias(f"__m{i}") for i, v in enumerate(values)]
+    return df.groupBy(*[c(k) for k in keys]).agg(*means)
 
 
 def fill_mean(
-    df: DataFrame, values: Sequence[str], means: Mapping[str, float | None] | None = None
+    df: DataFrame,
+    values: Sequence[str],
+    means: Mapping[str, float | None] | None = None,
+    *,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Remaining NULLs take the mean of the column over the whole table, or the given one.
+    """Remaining NULLs take the mean of the column over the series (its key, or the table), or the given one.
 
-    Unless given, the means are one scalar subquery: one aggregate for all columns, no window and
-    no join.
+    One aggregate for all columns. Without keys it comes in as a scalar; with keys it is joined back
+    by key, and NULL keys are a series of their own. A series without any value keeps its NULLs.
     """
     if not values:
         return df
     if means is not None:
         return df.withColumns({v: F.coalesce(c(v), F.lit(means[v]).cast("double")) for v in values})
-    means = df.agg(F.struct(*[F.avg(c(v)).alias(f"m{i}") for i, v in enumerate(values)]).alias("m"))
-    m = means.scalar()
-    return df.withColumns({v: F.coalesce(c(v), m[f"m{i}"]) for i, v in enumerate(values)})
+    with_means = attach(df, column_means(df, values, keys), keys)
+    filled = {v: F.coalesce(c(v), F.col(f"__m{i}")) for i, v in enumerate(values)}
+    return with_means.withColumns(filled).drop(*[f"__m{i}" for i in range(len(values))])
 
 
 def ffill(df: DataFrame, values: Sequence[str], **how) -> DataFrame:
@@ -86,11 +90,32 @@ def iqr_bounds(
     return out
 
 
+def _keyed_bounds(
+    df: DataFrame, values: Sequence[str], k: float, keys: Sequence[str], approx: bool, layout: Layout
+) -> DataFrame:
+    """Per key the bounds of each column, as ``__lo0``, ``__hi0``, …"""
+    long = quantiles(df, values, [0.25, 0.75], by=keys, approx=approx, layout=layout)
+
+    def one(v: str, p: float) -> Column:
+        return F.max(F.when((F.col("variable") == v) & (F.col("prob") == p), F.col("quantile")))
+
+    wide = long.groupBy(*[c(n) for n in keys]).agg(
+        *[one(v, p).alias(f"__q{i}{e}") for i, v in enumerate(values) for e, p in (("a", 0.25), ("b", 0.75))]
+    )
+    out = [c(n) for n in keys]
+    for i in range(len(values)):
+        low, high = F.col(f"__q{i}a"), F.col(f"__q{i}b")
+        out.append((low - k * (high - low)).alias(f"__lo{i}"))
+        out.append((high + k * (high - low)).alias(f"__hi{i}"))
+    return wide.select(*out)
+
+
 def iqr_filter(
     df: DataFrame,
     values: Sequence[str],
     k: float = 1.5,
     *,
+    keys: Sequence[str] = (),
     mode: str = "sequential",
     approx: bool = False,
     layout: Layout = AUTO,
@@ -98,14 +123,22 @@ def iqr_filter(
     """Keep rows inside the bounds of every column; a NULL value drops the row.
 
     ``sequential`` takes the bounds of a column from the rows that earlier columns left, ``joint``
-    takes all bounds from the input in one pass. Bounds are literals, so the filter can be pushed
-    into the scan. A column without any value is skipped.
+    takes all bounds from the input in one pass. With keys every series has bounds of its own, joined
+    back by key; otherwise bounds are literals, so the filter can be pushed into the scan. A column
+    without any value (in the series) is skipped.
     """
     if mode not in ("sequential", "joint"):
         raise ValueError(f"unknown mode: {mode}")
     if not approx:
-        layout = settle(df, (), layout)
+        layout = settle(df, keys, layout)
     for batch in [[v] for v in values] if mode == "sequential" else [list(values)]:
+        if keys:
+            bounded = attach(df, _keyed_bounds(df, batch, k, keys, approx, layout), keys)
+            for i, v in enumerate(batch):
+                low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+                bounded = bounded.where(low.isNull() | c(v).between(low, high))
+            df = bounded.drop(*[f"__{e}{i}" for i in range(len(batch)) for e in ("lo", "hi")])
+            continue
         for v, (low, high) in iqr_bounds(df, batch, k, approx=approx, layout=layout).items():
             df = df.where(c(v).between(low, high))
     return df
@@ -141,24 +174,29 @@ def clean(
     iqr_mode: str = "sequential",
     k: float = 1.5,
     fmt: str | None = None,
+    per_key: bool = True,
     layout: Layout = AUTO,
 ) -> DataFrame:
     """Parse time, fill gaps, drop outliers, keep one row per timestamp.
 
-    ``fmt`` parses a text time column; leave it out when the column already is a timestamp.
+    With keys each series is cleaned by itself, with its own means and bounds; ``per_key=False``
+    takes means and bounds over the whole table. ``fmt`` parses a text time column; leave it out when
+    the column already is a timestamp.
     """
     if fill not in ("lag_mean", "ffill_bfill"):
         raise ValueError(f"unknown fill: {fill}")
     values = present(df, values)
     df = parse_ts(df, ts, fmt) if fmt else df.where(c(ts).isNotNull())
+    layout = settle(df, keys, layout)
     series = {"keys": keys, "order": [ts, *tie], "layout": layout}
+    own = keys if per_key else ()
     # The filled rows are written once: the means and every column's bounds are read from them.
     if fill == "lag_mean":
         df = cut(fill_previous(df, values, **series), "filled")
-        df = fill_mean(df, values, column_means(df, values))
+        df = fill_mean(df, values, keys=own)
     else:
         df = cut(ffill_bfill(df, values, **series), "filled")
-    # The bounds are over the whole table, so a check per key says nothing about them.
-    whole = replace(layout, how="auto") if keys and layout.how == "grouped" else layout
-    df = iqr_filter(df, values, k, mode=iqr_mode, layout=whole)
+    # Bounds over the whole table need a check of their own: the one per key says nothing about them.
+    how = layout if per_key or not keys else replace(layout, how="auto", largest=None, total=None)
+    df = iqr_filter(df, values, k, keys=own, mode=iqr_mode, layout=how)
     return dedupe_ts(df, ts, keys=keys, tie=tie)

@@ -5,29 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import c
-
-#: Most repeated hashes (8 bytes each) that are sent to every executor.
-_BROADCAST_HASHES = 1_000_000
+from ..columns import hashable
 
 
 def copy_counts(df: DataFrame) -> tuple[int, int]:
     """(rows, rows that repeat an earlier row), exact.
 
     The first pass shuffles one 8-byte hash per row. Rows whose hash occurs once have no copy; only
-    the others are compared in full, so a collision cannot count as a copy.
+    the others are moved by their hash and compared in full, so a collision cannot count as a copy.
+    A hash that a third of the rows share is split over tasks by the join.
     """
-    columns = [c(n) for n in df.columns]
-    row_hash = F.xxhash64(*columns)
-    hashes = df.select(row_hash.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    names = [f"__c{i}" for i in range(len(df.columns))]
+    plain = df.select(*[hashable(df, n).alias(x) for n, x in zip(df.columns, names, strict=True)])
+    hashed = plain.withColumn("__h", F.xxhash64(*names) if names else F.lit(0).cast("bigint"))
+    hashes = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("n"))
     seen = hashes.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") > 1).alias("repeated")
     ).first()
     if not seen["repeated"]:
         return seen["rows"], 0
-    suspects = df
-    if seen["repeated"] <= _BROADCAST_HASHES:
-        repeated = hashes.where(F.col("n") > 1).select(F.col("h").alias("__h"))
-        suspects = df.join(F.broadcast(repeated), row_hash == F.col("__h"), "left_semi")
-    counted = suspects.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
+    repeated = hashes.where(F.col("n") > 1).select("__h")
+    suspects = hashed.join(repeated, "__h", "left_semi")
+    counted = suspects.groupBy("__h", *names).agg(F.count(F.lit(1)).alias("__copies"))
     return seen["rows"], counted.agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0))).first()[0]

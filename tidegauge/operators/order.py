@@ -12,7 +12,9 @@ Each function here has two layouts:
   become the window partitions. Bounded frames copy the few border rows into the neighbouring
   slice; unbounded ones carry one small row per slice across.
 
-``order`` should identify rows (time plus an id) wherever ties would make the result ambiguous.
+``order`` should identify rows (time plus an id) wherever ties would make the result ambiguous. Rows
+that tie are put in the order of a hash of their other columns, in both layouts alike, so a result
+does not depend on the size of the table.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..columns import c
+from ..columns import c, hashable
 from ..session import cut
 
 #: Largest series that one task may hold.
@@ -35,18 +37,23 @@ SLICE_ROWS = 250_000
 #: Rows that one range partition should sort, and the most partitions one shuffle should have.
 _PARTITION_ROWS, _MAX_PARTITIONS = 8_000_000, 50_000
 
-_ID, _PART, _POS, _SLICE, _OWN = "__id", "__part", "__pos", "__slice", "__own"
+_ID, _PART, _POS, _SLICE, _OWN, _TIE = "__id", "__part", "__pos", "__slice", "__own", "__tie"
 
 Stage = dict[str, Column]
 
 
 @dataclass(frozen=True)
 class Layout:
-    """How a series is laid out: ``auto`` checks the size, the others force one way."""
+    """How a series is laid out: ``auto`` checks the size, the others force one way.
+
+    ``largest`` and ``total`` are the rows of the largest key and of the table, once counted.
+    """
 
     how: str = "auto"
     limit: int = GROUP_LIMIT
     slice_rows: int = SLICE_ROWS
+    largest: int | None = None
+    total: int | None = None
 
     def __post_init__(self) -> None:
         if self.how not in ("auto", "grouped", "sliced"):
@@ -70,24 +77,40 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return int(row["largest"] or 0), int(row["total"] or 0)
 
 
-def _choose(df: DataFrame, keys: Sequence[str], layout: Layout) -> tuple[bool, int | None]:
-    """(use the grouped layout, number of rows if it was counted)."""
-    if layout.how != "auto":
-        return layout.how == "grouped", None
+def _sized(df: DataFrame, keys: Sequence[str], layout: Layout) -> Layout:
+    """The layout with its row counts, counted unless they are known."""
+    if layout.total is not None:
+        return layout
     largest, total = group_sizes(df, keys)
-    return largest <= layout.limit, total
+    return replace(layout, largest=largest, total=total)
 
 
 def settle(df: DataFrame, keys: Sequence[str], layout: Layout) -> Layout:
     """Decide an ``auto`` layout once, for several steps over the same (or fewer) rows."""
-    if layout.how != "auto":
+    if layout.how == "grouped":
         return layout
-    grouped, _ = _choose(df, keys, layout)
-    return replace(layout, how="grouped" if grouped else "sliced")
+    layout = _sized(df, keys, layout)
+    if layout.how == "sliced":
+        return layout
+    return replace(layout, how="grouped" if layout.largest <= layout.limit else "sliced")
+
+
+def _choose(df: DataFrame, keys: Sequence[str], layout: Layout) -> tuple[bool, int | None]:
+    """(use the grouped layout, number of rows if it is needed)."""
+    settled = settle(df, keys, layout)
+    return settled.how == "grouped", settled.total
+
+
+def _tied(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add the hash that orders rows which tie on (keys, order)."""
+    named = {*keys, *order}
+    rest = [hashable(df, n) for n in df.columns if n not in named]
+    return df.withColumn(_TIE, F.xxhash64(*rest) if rest else F.lit(0).cast("bigint"))
 
 
 def _window(keys: Sequence[str], order: Sequence[str], descending: bool = False) -> WindowSpec:
-    ordered = [c(o).desc() if descending else c(o).asc() for o in order]
+    """Window over a frame that ``_tied`` made; descending is the exact reverse of ascending."""
+    ordered = [c(o).desc() if descending else c(o).asc() for o in [*order, _TIE]]
     return Window.partitionBy(*[c(k) for k in keys]).orderBy(*ordered) if keys else Window.orderBy(*ordered)
 
 
@@ -113,17 +136,12 @@ def _numbered(
     needed = min(ceil((total or 0) / _PARTITION_ROWS), _MAX_PARTITIONS)
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = [needed] if needed > usual else []
-    named = {*keys, *order}
-    rest = [
-        c(f.name)
-        for f in df.schema.fields
-        if f.name not in named and "map<" not in f.dataType.simpleString()
-    ]
-    ties = {"__tie": F.xxhash64(*rest) if rest else F.lit(0), "__from": F.spark_partition_id()}
-    by = [c(k) for k in keys] + [c(o).desc() if descending else c(o).asc() for o in order]
-    by += [F.col(n) for n in ties]
+    ties = [_TIE, "__from"]
+    by = [c(n).desc() if descending else c(n).asc() for n in [*order, *ties]]
+    by = [*[c(k) for k in keys], *by]
     placed = cut(
-        df.withColumns(ties)
+        _tied(df, keys, order)
+        .withColumn("__from", F.spark_partition_id())
         .repartitionByRange(*parts, *by)
         .sortWithinPartitions(*by)
         .drop(*ties)
@@ -176,7 +194,7 @@ def over_rows(
 
     grouped, total = _choose(df, keys, layout)
     if grouped:
-        return add(df, _window(keys, order))
+        return add(_tied(df, keys, order), _window(keys, order)).drop(_TIE)
 
     size = max(layout.slice_rows, before, after, 1)
     rows = _numbered(df, keys, order, size, total)
@@ -255,7 +273,8 @@ def number_rows(
     grouped, total = _choose(df, keys, layout)
     if grouped:
         w = _window(keys, order, descending)
-        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+        numbered = _tied(df, keys, order).withColumn(name, F.row_number().over(w).cast("bigint"))
+        return numbered.drop(_TIE)
     rows = _numbered(df, keys, order, layout.slice_rows, total, descending)
     if not keys:
         return rows.withColumn(name, F.col(_POS) + 1).drop(_POS, _SLICE)
@@ -291,7 +310,7 @@ def fill_gaps(
         raise ValueError(f"unknown fill direction: {how}")
     directions = {"forward": [True], "back": [False], "both": [True, False]}[how]
     grouped, total = _choose(df, keys, layout)
-    rows = df if grouped else _numbered(df, keys, order, layout.slice_rows, total)
+    rows = _tied(df, keys, order) if grouped else _numbered(df, keys, order, layout.slice_rows, total)
     up = _window(keys, order) if grouped else _slice_window(keys)
     down = _window(keys, order, descending=True) if grouped else _slice_window(keys, descending=True)
 
@@ -337,7 +356,7 @@ def fill_gaps(
 
     out = out.withColumns({v: pick(v) for v in values})
     extra = [*found, *[f"{tag[v]}{m}" for v in values for m in carried]]
-    return out.drop(*extra, _POS, _SLICE)
+    return out.drop(*extra, _POS, _SLICE, _TIE)
 
 
 def in_slices(
@@ -348,9 +367,11 @@ def in_slices(
     Returns the frame, the name of the group column and the name of a flag that is true for the
     rows a group owns (false for copies from the group before).
     """
-    largest, total = group_sizes(df, keys) if layout.how == "auto" else (None, None)
-    if layout.how == "grouped" or (largest is not None and largest <= layout.limit):
-        groups = max(1, ceil((total or 0) / layout.slice_rows))
+    layout = _sized(df, keys, layout)
+    total = layout.total
+    if layout.how == "grouped" or (layout.how == "auto" and layout.largest <= layout.limit):
+        # Keys are dealt to groups of about slice_rows rows, whoever decided the layout.
+        groups = max(1, ceil(total / layout.slice_rows))
         home = F.pmod(F.xxhash64(*[c(k) for k in keys]), F.lit(groups)) if keys else F.lit(0).cast("bigint")
         return df.withColumn(_SLICE, home).withColumn(_OWN, F.lit(True)), _SLICE, _OWN
     size = max(layout.slice_rows, before, 1)
@@ -379,25 +400,24 @@ def tail_rows(
     Without keys this is a distributed top-n. With keys, Spark limits each key on the map side
     (``WindowGroupLimit``); a key too large for one task is first thinned in salted groups.
     """
-    latest = [c(o).desc() for o in order]
+    latest = [c(o).desc() for o in [*order, _TIE]]
+    df = _tied(df, keys, order)
     if not keys:
-        return df.orderBy(*latest).limit(n)
+        return df.orderBy(*latest).limit(n).drop(_TIE)
     by = [c(k) for k in keys]
 
     def keep(frame: DataFrame, partition: list[Column]) -> DataFrame:
         w = Window.partitionBy(*partition).orderBy(*latest)
         return frame.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
-    if layout.how == "sliced":
-        salts = 16
-    elif layout.how == "grouped":
-        salts = 1
-    else:
-        largest, _ = group_sizes(df, keys)
-        salts = 1 if largest <= layout.limit else min(1024, max(16, ceil(largest / layout.limit)))
+    salts = 1
+    if layout.how != "grouped":
+        layout = _sized(df, keys, layout)
+        if layout.how == "sliced" or layout.largest > layout.limit:
+            salts = min(1024, max(16, ceil(layout.largest / layout.limit)))
     if salts > 1:
         # The input partition is part of the salt, so that copies of one stamp spread out too.
         mixed = F.xxhash64(*[c(o) for o in order], F.spark_partition_id())
         salt = F.pmod(mixed, F.lit(salts))
         df = keep(df.withColumn("__salt", salt), [*by, F.col("__salt")]).drop("__salt")
-    return keep(df, by)
+    return keep(df, by).drop(_TIE)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..columns import attach, c, day_start, ntz
+from ..columns import attach, c, day_start, hashable, ntz
 from ..functions import calendar
 from ..functions.stats import pearson, strength
 from ..session import cut
@@ -311,31 +311,27 @@ def summary(
 def quality_counters(df: DataFrame, *, approx: bool = False) -> DataFrame:
     """Per column: type, nulls and distinct values; with the table's rows, columns, nulls, copies.
 
-    Exact distinct counts are taken column by column as two-phase aggregates over the distinct
-    (column, value) pairs, so no task holds a column's values.
+    Every column is scanned alone and grouped by its own type, so only its distinct values are moved
+    and no task holds them all.
     """
     names = df.columns
     types = dict(df.dtypes)
-    cells = F.array(
-        *[F.struct(F.lit(n).alias("column"), c(n).cast("string").alias("x")) for n in names]
-    )
-    long = df.select(F.inline(cells))
-    if approx:
-        per = long.groupBy("column").agg(
-            F.count_if(F.col("x").isNull()).alias("null_count"),
-            F.approx_count_distinct("x").alias("distinct_count"),
-        )
-    else:
-        # A hot value is combined on the map side before the shuffle.
-        per = (
-            long.groupBy("column", "x")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("column")
-            .agg(
+    per = None
+    for n in names:
+        x = df.select(hashable(df, n).alias("x"))
+        if approx:
+            found = x.agg(
+                F.count_if(F.col("x").isNull()).alias("null_count"),
+                F.approx_count_distinct("x").alias("distinct_count"),
+            )
+        else:
+            # A hot value is combined on the map side before the shuffle.
+            found = x.groupBy("x").agg(F.count(F.lit(1)).alias("n")).agg(
                 F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
                 F.count("x").alias("distinct_count"),
             )
-        )
+        found = found.select(F.lit(n).alias("column"), "null_count", "distinct_count")
+        per = found if per is None else per.unionByName(found)
     typed = F.create_map(*[F.lit(s) for n in names for s in (n, types[n])])
     rows, copies = copy_counts(df)
     everything = Window.partitionBy()

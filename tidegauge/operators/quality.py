@@ -218,14 +218,14 @@ def _repeat_check(ts: str, extra: Column) -> Check:
 
 
 def check_duplicate_times(df: DataFrame, ts: str, *, keys: Sequence[str] = ()) -> DataFrame:
-    """Extra rows with a timestamp that the series already has."""
-    stamps = df.groupBy(*[c(k) for k in keys], c(ts)).agg(F.count(F.lit(1)).alias("__k"))
+    """Extra rows with a timestamp that the series already has; rows without one are no repeats."""
+    stamps = df.where(c(ts).isNotNull()).groupBy(*[c(k) for k in keys], c(ts)).agg(F.count(F.lit(1)).alias("__k"))
     return _run(stamps, _repeat_check(ts, F.coalesce(F.sum(F.col("__k") - 1), F.lit(0))))
 
 
 def _median_gap(gaps: DataFrame, layout: Layout) -> float:
     """One number; it goes into the next pass as a literal. NaN without any gap."""
-    whole = replace(layout, how="auto") if layout.how == "grouped" else layout
+    whole = replace(layout, how="auto", largest=None, total=None) if layout.how == "grouped" else layout
     row = quantiles(gaps, ["gap_hours"], [0.5], layout=whole).first()
     return float("nan") if row is None or row["quantile"] is None else row["quantile"]
 

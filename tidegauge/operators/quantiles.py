@@ -10,20 +10,19 @@ is ordered.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..columns import c
-from .order import AUTO, Layout, group_sizes
+from ..columns import attach, c
+from ..session import cut
+from .order import AUTO, Layout, settle
 
 _GRID = 128
 _ACCURACY = 20_000
-#: Large groups searched at a time, and the most group names sent to every executor.
-_BATCH, _BROADCAST_GROUPS = 10_000, 100_000
+#: Open ranks (a group's name and a few numbers each) that are sent to every executor; more are shuffled.
+_BROADCAST_RANKS = 100_000
 
 
 def median(x: Column) -> Column:
@@ -41,9 +40,7 @@ def quantiles(
 ) -> DataFrame:
     """Long table (by…, variable, prob, quantile); columns without values give NULL."""
     group = [c(b) for b in by]
-    if approx or layout.how == "grouped" or (
-        layout.how == "auto" and group_sizes(df, by)[0] <= layout.limit
-    ):
+    if approx or settle(df, by, layout).how == "grouped":
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         pick = F.percentile_approx if approx else F.percentile
         wide = df.groupBy(*group).agg(
@@ -64,156 +61,114 @@ def quantiles(
     return _bracketed(df, values, probs, by, layout.limit)
 
 
-def _extended(schema: T.StructType, **fields: str) -> T.StructType:
-    out = T.StructType(list(schema.fields))
-    for name, kind in fields.items():
-        out = out.add(name, kind)
-    return out
-
-
 def _bracketed(
     df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str], limit: int
 ) -> DataFrame:
     spark = df.sparkSession
-    long = df.select(
-        *[c(b) for b in by],
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(v).alias("variable"), c(v).cast("double").alias("__x"))
-                    for v in values
-                ]
-            )
-        ),
-    ).where(F.col("__x").isNotNull())
+    cells = [F.struct(F.lit(v).alias("variable"), c(v).cast("double").alias("__x")) for v in values]
+    keep = [c(b) for b in by]
+    long = cut(df.select(*keep, F.inline(F.array(*cells))).where(F.col("__x").isNotNull()), "values")
     group = [*by, "variable"]
-    key = F.struct(*[c(g) for g in group]).alias("__g")
-    counts = long.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    # Small groups take the plain way below; at most total / limit groups are larger.
-    large = {tuple(r["__g"]): r["n"] for r in counts.where(F.col("n") > limit).collect()}
+    sized = cut(long.groupBy(*[c(g) for g in group]).agg(F.count(F.lit(1)).alias("__n")), "sizes")
+    large = sized.where(F.col("__n") > limit)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    key_schema = long.select(*[c(g) for g in group]).schema
-
-    small = long
-    if large:
-        known = spark.createDataFrame(list(large), key_schema)
-        cond = F.lit(True)
-        for i, g in enumerate(group):
-            cond = cond & c(g).eqNullSafe(F.col(f"__k{i}"))
-        listed = known.toDF(*[f"__k{i}" for i in range(len(group))])
-        if len(large) <= _BROADCAST_GROUPS:
-            listed = F.broadcast(listed)
-        small = long.join(listed, cond, "left_anti")
-    exact_small = (
+
+    # Small groups take the plain way.
+    small = attach(long, sized.where(F.col("__n") <= limit), group, "inner")
+    plain = (
         small.groupBy(*[c(g) for g in group])
         .agg(F.percentile(F.col("__x"), wanted).alias("__q"))
-        .select(
-            *[c(g) for g in group],
-            F.inline(F.arrays_zip(wanted.alias("prob"), F.col("__q").alias("quantile"))),
-        )
+        .select(*[c(g) for g in group], F.inline(F.arrays_zip(wanted.alias("prob"), F.col("__q").alias("quantile"))))
         .toDF(*group, "prob", "quantile")
     )
-    names, found = list(large), []
-    for i in range(0, len(names), _BATCH):
-        batch = {g: large[g] for g in names[i : i + _BATCH]}
-        found += [(*g, float(p), value) for g, p, value in _search(long, group, batch, probs, limit)]
-    schema = _extended(key_schema, prob="double", quantile="double")
-    solved = spark.createDataFrame(found, schema)
-    out = exact_small.unionByName(solved)
+    out = plain.unionByName(_interpolated(_searched(long, group, large, probs, limit), group, large, probs))
     if by:
         return out
-    every = spark.createDataFrame(
-        [(v, float(p)) for v in values for p in probs], "variable string, prob double"
-    )
-    return every.join(F.broadcast(out), ["variable", "prob"], "left").select(
-        "variable", "prob", "quantile"
+    every = spark.createDataFrame([(v, float(p)) for v in values for p in probs], "variable string, prob double")
+    return every.join(out, ["variable", "prob"], "left").select("variable", "prob", "quantile")
+
+
+def _ranks(large: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Per large group and probability the rank at or below the wanted place, and the part beyond it."""
+    place = F.col("prob") * (F.col("__n") - 1)
+    rows = large.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    rows = rows.withColumn("__rank", F.floor(place).cast("long"))
+    return rows.withColumns(
+        {"__next": F.least(F.col("__rank") + 1, F.col("__n") - 1), "__part": place - F.col("__rank")}
     )
 
 
-def _search(long: DataFrame, group: list[str], large: dict, probs: Sequence[float], limit: int):
-    """Order statistics of the large groups by narrowing one interval per (group, rank)."""
-    spark = long.sparkSession
-    need: dict[tuple, list[int]] = {}
-    for g, n in large.items():
-        ranks = set()
-        for p in probs:
-            low = floor(p * (n - 1))
-            ranks.update({low, min(low + 1, n - 1)})
-        need[g] = sorted(ranks)
-    todo = {(g, r): (float("-inf"), float("inf")) for g, ranks in need.items() for r in ranks}
-    done: dict[tuple, float] = {}
-    grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
+def _interpolated(found: DataFrame, group: list[str], large: DataFrame, probs: Sequence[float]) -> DataFrame:
+    ranks = _ranks(large, probs)
+    low = found.withColumnRenamed("__value", "__a")
+    high = found.select(*[c(g) for g in group], F.col("__rank").alias("__next"), F.col("__value").alias("__b"))
+    both = attach(attach(ranks, low, [*group, "__rank"], "inner"), high, [*group, "__next"], "inner")
+    value = F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")
+    return both.select(*[c(g) for g in group], "prob", value.alias("quantile"))
 
-    while todo:
-        keyed = long.select(*[c(g).alias(f"__k{i}") for i, g in enumerate(group)]).schema
-        schema = _extended(keyed, __rank="long", __lo="double", __hi="double")
-        # One row per open (group, rank): bounded by 2 * probs * total / limit.
-        spans = spark.createDataFrame([(*g, r, lo, hi) for (g, r), (lo, hi) in todo.items()], schema)
-        on = F.lit(True)
-        for i, g in enumerate(group):
-            on = on & c(g).eqNullSafe(F.col(f"__k{i}"))
-        inside = F.when(F.col("__x").between(F.col("__lo"), F.col("__hi")), F.col("__x"))
-        joined = long.join(F.broadcast(spans), on)
+
+def _spanned(long: DataFrame, spans: DataFrame, group: list[str]) -> DataFrame:
+    """Every value with the open ranks of its group."""
+    return attach(long, F.broadcast(spans) if spans.count() <= _BROADCAST_RANKS else spans, group, "inner")
+
+
+def _searched(long: DataFrame, group: list[str], large: DataFrame, probs: Sequence[float], limit: int) -> DataFrame:
+    """(group, __rank, __value) of the large groups, by narrowing one interval per group and rank.
+
+    All groups take part in every pass and the open intervals stay in tables, so the number of passes
+    depends on the size of the largest group alone, and only counts come to the driver.
+    """
+    by = [c(g) for g in group]
+    both = _ranks(large, probs).select(*by, F.explode(F.array("__rank", "__next")).alias("__rank")).distinct()
+    ends = {"__lo": F.lit(float("-inf")), "__hi": F.lit(float("inf"))}
+    spans = cut(both.withColumns(ends), "spans")
+    grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
+    inside = F.when(F.col("__x").between(F.col("__lo"), F.col("__hi")), F.col("__x"))
+    done = []
+    while spans.take(1):
         state = (
-            joined.groupBy(F.struct(*[c(g) for g in group]).alias("__g"), "__rank")
+            _spanned(long, spans, group)
+            .groupBy(*by, "__rank", "__lo", "__hi")
             .agg(
                 F.count_if(F.col("__x") < F.col("__lo")).alias("__below"),
-                F.count(inside).alias("n"),
-                F.min(inside).alias("min"),
-                F.max(inside).alias("max"),
-                F.percentile_approx(inside, grid, _ACCURACY).alias("cuts"),
+                F.count(inside).alias("__in"),
+                F.min(inside).alias("__min"),
+                F.max(inside).alias("__max"),
+                F.percentile_approx(inside, grid, _ACCURACY).alias("__cuts"),
             )
-            .collect()
         )
-        few = []
-        nxt = {}
-        for row in state:
-            slot = (tuple(row["__g"]), row["__rank"])
-            if row["min"] == row["max"]:
-                done[slot] = row["min"]
-            elif row["n"] <= limit:
-                few.append((*slot[0], slot[1], *todo[slot], row["__below"]))
-            else:
-                at = (row["__rank"] - row["__below"]) / row["n"]
-                slack = 4 / _ACCURACY
-                lo_i = floor((at - slack) * _GRID)
-                hi_i = floor((at + slack) * _GRID) + 1
-                lo = row["cuts"][lo_i] if lo_i > 0 else row["min"]
-                hi = row["cuts"][hi_i] if hi_i < _GRID else row["max"]
-                if (lo, hi) == todo[slot]:
-                    # The grid cannot split further: a heavy value fills most of the span.
-                    few.append((*slot[0], slot[1], lo, hi, row["__below"]))
-                else:
-                    nxt[slot] = (lo, hi)
-        if few:
-            done.update(_resolve(long, group, few, schema))
-        todo = nxt
-
-    for g, n in large.items():
-        for p in probs:
-            at = p * (n - 1)
-            low = floor(at)
-            a, b = done[(g, low)], done[(g, min(low + 1, n - 1))]
-            yield g, p, a + (b - a) * (at - low)
-
-
-def _resolve(long: DataFrame, group: list[str], few: list[tuple], schema) -> dict:
-    """Pick the wanted rank inside spans that hold few distinct values."""
-    spark = long.sparkSession
-    spans = spark.createDataFrame(few, _extended(schema, __below="long"))
-    on = F.lit(True)
-    for i, g in enumerate(group):
-        on = on & c(g).eqNullSafe(F.col(f"__k{i}"))
-    histogram = (
-        long.join(F.broadcast(spans), on & F.col("__x").between(F.col("__lo"), F.col("__hi")))
-        .groupBy(F.struct(*[c(g) for g in group]).alias("__g"), "__rank", "__below", "__x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    w = Window.partitionBy("__g", "__rank").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    hit = (
-        histogram.withColumn("__upto", F.col("__below") + F.sum("n").over(w))
-        .where(F.col("__rank").between(F.col("__upto") - F.col("n"), F.col("__upto") - 1))
-        .select("__g", "__rank", "__x")
-        .collect()
-    )
-    return {(tuple(r["__g"]), r["__rank"]): r["__x"] for r in hit}
+        at = (F.col("__rank") - F.col("__below")) / F.col("__in")
+        low = F.floor((at - 4 / _ACCURACY) * _GRID).cast("int")
+        high = F.floor((at + 4 / _ACCURACY) * _GRID).cast("int") + 1
+        state = cut(
+            state.withColumns(
+                {
+                    "__low": F.when(low > 0, F.get("__cuts", low)).otherwise(F.col("__min")),
+                    "__high": F.when(high < _GRID, F.get("__cuts", high)).otherwise(F.col("__max")),
+                }
+            ).drop("__cuts"),
+            "state",
+        )
+        single = F.col("__min") == F.col("__max")
+        # A span that the grid cannot split further is mostly one heavy value.
+        stuck = (F.col("__low") == F.col("__lo")) & (F.col("__high") == F.col("__hi"))
+        few = (F.col("__in") <= limit) | stuck
+        done.append(state.where(single).select(*by, "__rank", F.col("__min").alias("__value")))
+        done.append(_resolved(long, state.where(~single & few), group))
+        spans = state.where(~single & ~few).select(*by, "__rank", F.col("__low").alias("__lo"), F.col("__high").alias("__hi"))
+    found = long.select(*by, F.lit(0).cast("long").alias("__rank"), F.col("__x").alias("__value")).limit(0)
+    for part in done:
+        found = found.unionByName(part)
+    return cut(found, "found")
+
+
+def _resolved(long: DataFrame, few: DataFrame, group: list[str]) -> DataFrame:
+    """The wanted rank inside spans that hold few distinct values."""
+    by = [c(g) for g in group]
+    few = few.select(*by, "__rank", "__lo", "__hi", "__below")
+    near = _spanned(long, few, group).where(F.col("__x").between(F.col("__lo"), F.col("__hi")))
+    histogram = near.groupBy(*by, "__rank", "__below", "__x").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*by, "__rank").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    upto = histogram.withColumn("__upto", F.col("__below") + F.sum("__n").over(w))
+    hit = F.col("__rank").between(F.col("__upto") - F.col("__n"), F.col("__upto") - 1)
+    return upto.where(hit).select(*by, "__rank", F.col("__x").alias("__value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +21,13 @@ def parse_ts(df: DataFrame, ts: str = "datetime", fmt: str = TIME_FORMAT) -> Dat
     return df.withColumn(ts, parsed_time(c(ts), fmt)).where(c(ts).isNotNull())
 
 
+def _moment(value: str | date) -> datetime:
+    return datetime.fromisoformat(str(value)).replace(tzinfo=None)
+
+
 def between_ts(df: DataFrame, ts: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows with start <= ts <= end; both ends optional."""
-    if start is not None and end is not None and str(end) <= str(start):
+    if start is not None and end is not None and _moment(end) <= _moment(start):
         raise ValueError("end must be after start")
     if start is not None:
         df = df.where(c(ts) >= ntz(F.lit(start)))

@@ -56,8 +56,16 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def parsed_time(col: Column, fmt: str = TIME_FORMAT) -> Column:
-    """Text to a timestamp without zone; NULL when it does not parse."""
-    return ntz(F.try_to_timestamp(col, F.lit(fmt)))
+    """Text to a timestamp without zone; NULL when it does not parse.
+
+    The text is read as if in UTC and counted from the epoch, so hours that a session's own zone
+    skips or repeats stay what they are.
+    """
+    read = F.try_to_timestamp(F.concat(col, F.lit(" +0000")), F.lit(f"{fmt} Z"))
+    micros = F.unix_micros(read)
+    whole = F.make_dt_interval(days=F.floor(micros / F.lit(86_400_000_000)).cast("int"))
+    rest = F.make_dt_interval(secs=F.pmod(micros, F.lit(86_400_000_000)).cast("decimal(18,6)") / 1_000_000)
+    return F.lit("1970-01-01").cast("timestamp_ntz") + whole + rest
 
 
 def with_time_column(
@@ -87,5 +95,8 @@ def with_time_column(
     if not order:
         raise ValueError("no time column: name the columns that give the row order")
     rows = number_rows(df, "__hour", order=order, layout=layout)
-    stamp = ntz(F.lit(start)) + F.make_dt_interval(hours=(F.col("__hour") - 1).cast("int"))
+    # Days and hours apart: hours alone would not fit an int in a table of more than 2^31 rows.
+    hour = F.col("__hour") - 1
+    days, hours = F.floor(hour / 24).cast("int"), F.pmod(hour, F.lit(24)).cast("int")
+    stamp = ntz(F.lit(start)) + F.make_dt_interval(days=days, hours=hours)
     return rows.withColumn(name, stamp).drop("__hour")
