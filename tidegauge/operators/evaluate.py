@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..columns import attach, c
 from ..functions.stats import adjusted_kurtosis, adjusted_skew, pearson
-from .forecast import Method, tails
+from .forecast import Method, check_steps, tails
 from .order import AUTO, Layout, number_rows, over_rows, settle
 from .quantiles import median, quantiles
 
@@ -207,6 +207,7 @@ def residual_analysis(
 def _check_folds(n_splits: int, test_size: int) -> None:
     if n_splits < 1 or test_size < 1:
         raise ValueError("n_splits and test_size must be positive")
+    check_steps(test_size)
 
 
 def backtest_forecasts(

@@ -102,6 +102,29 @@ def check_schema(
     return _run(df, _schema_check(df, required, ts, fmt))
 
 
+def _dataset_check(df: DataFrame) -> Check:
+    return Check(
+        {"dataset_n": F.count(F.lit(1))},
+        [
+            _row("dataset", None, "total_rows", F.col("dataset_n"), F.lit(OK), F.lit("")),
+            _row("dataset", None, "total_columns", F.lit(len(df.columns)), F.lit(OK), F.lit("")),
+        ],
+    )
+
+
+def _time_check(column: str, ts: str) -> Check:
+    """First and last time in seconds since 1970 and the whole days between them."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    first, last = F.col("time_first"), F.col("time_last")
+    days = F.floor(hours_between(last, first) / 24)
+    metrics = {"start": hours_between(first, epoch) * 3600, "end": hours_between(last, epoch) * 3600, "duration_days": days}
+    rows = [_row("time_range", column, m, e, F.lit(OK), F.lit("")) for m, e in metrics.items()]
+    return Check(
+        {"time_first": F.min(c(ts)).cast("timestamp_ntz"), "time_last": F.max(c(ts)).cast("timestamp_ntz")},
+        [F.when(first.isNotNull(), r) for r in rows],
+    )
+
+
 def _missing_check(df: DataFrame) -> Check:
     aggregates, rows = {"missing_n": F.count(F.lit(1))}, []
     for i, v in enumerate(df.columns):
@@ -348,17 +371,22 @@ def validate(
 ) -> DataFrame:
     """Every check as one tidy table, in three passes over the data (four with keys).
 
+    Besides the checks it tells the table's rows and columns and the time it covers.
+
     One wide aggregate covers schema, missing values, ranges and completeness; one hash count
     finds copies of rows; one ordering of the time column alone gives gaps, intervals and repeated
     timestamps (a gap of zero).
     """
-    checks = [_schema_check(df, required, ts, fmt), _missing_check(df), _range_check(df, ranges)]
+    # Written once: every pass below reads this copy, whatever the table stands on.
+    df = cut(df, "validated")
+    checks = [_schema_check(df, required, ts, fmt), _dataset_check(df), _missing_check(df), _range_check(df, ranges)]
     timed = df
     if ts in df.columns:
         if isinstance(df.schema[ts].dataType, T.StringType):
             timed = df.withColumn("__ts", parsed_time(c(ts), fmt))
         else:
             timed = df.withColumn("__ts", c(ts))
+        checks.append(_time_check(ts, "__ts"))
         if not keys:
             checks.append(_complete_table(ts, "__ts"))
     report = _run(timed, *checks).unionByName(check_duplicates(df))
@@ -390,11 +418,14 @@ def verdict(report: DataFrame) -> DataFrame:
 def report_text(report: DataFrame) -> DataFrame:
     """The report as one readable text; it holds a few rows per column, never data rows."""
     line = F.concat(F.upper("severity"), F.lit(": "), F.col("message"))
+    absent = (F.col("check") == "missing") & (F.col("metric") == "count") & (F.col("value") > 0)
+    gap = F.struct(F.col("column").alias("o"), F.concat(F.lit("  "), "column", F.lit(": "), _text(F.col("value"))).alias("l"))
     ranked = F.struct(F.when(F.col("severity") == ISSUE, 0).otherwise(1).alias("o"), line.alias("l"))
     counts = report.agg(
         F.count_if(F.col("severity") == ISSUE).alias("i"),
         F.count_if(F.col("severity") == WARNING).alias("w"),
         F.sort_array(F.collect_list(F.when(F.col("severity") != OK, ranked))).alias("lines"),
+        F.sort_array(F.collect_list(F.when(absent, gap))).alias("gaps"),
     )
     head = F.concat(
         F.lit("DATA VALIDATION REPORT\nSTATUS: "),
@@ -405,7 +436,9 @@ def report_text(report: DataFrame) -> DataFrame:
         F.col("w").cast("string"),
     )
     body = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("\n"), x["l"])), "")
-    return counts.select(F.concat(head, body).alias("report"))
+    missing = F.array_join(F.transform("gaps", lambda x: F.concat(F.lit("\n"), x["l"])), "")
+    missing = F.when(F.size("gaps") > 0, F.concat(F.lit("\nMissing values:"), missing)).otherwise(F.lit(""))
+    return counts.select(F.concat(head, body, missing).alias("report"))
 
 
 def row_gate(

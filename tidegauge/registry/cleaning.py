@@ -201,3 +201,85 @@ _CLEAN_COLUMNS = ", ".join(f'"{v}"' for v in POLLUTANTS)
 def _(t):
     rows = clean.clean(t.readings, POLLUTANTS)
     return rows.select("datetime", *[F.col(f"`{v}`") for v in POLLUTANTS], "temperature")
+
+
+def clean_per_key_sql(source: str, key: str, ids: str, own: str, values: list[str]) -> str:
+    """The steps of a cleaning per key, up to a table ``cleaned``; ``own`` is the window of a series."""
+    lagged = ", ".join(f'coalesce("{v}", lag("{v}") OVER ({own})) AS "{v}"' for v in values)
+    mean = ", ".join(f'coalesce("{v}", avg("{v}") OVER (PARTITION BY {key})) AS "{v}"' for v in values)
+    steps = [f"f0 AS (SELECT {ids}, {lagged} FROM {source})", f"s0 AS (SELECT {ids}, {mean} FROM f0)"]
+    for i, v in enumerate(values):
+        steps.append(
+            f'q{i} AS (SELECT {key}, quantile_cont("{v}", 0.25) AS a, quantile_cont("{v}", 0.75) AS b FROM s{i} GROUP BY {key})'
+        )
+        steps.append(
+            f"s{i + 1} AS (SELECT s{i}.* FROM s{i} JOIN q{i} ON s{i}.{key} IS NOT DISTINCT FROM q{i}.{key} "
+            f'WHERE a IS NULL OR "{v}" BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a))'
+        )
+    order = own.split("ORDER BY ")[1]
+    stamp = order.split(",")[0]
+    steps.append(
+        f"cleaned AS (SELECT * FROM s{len(values)} "
+        f"QUALIFY row_number() OVER (PARTITION BY {key}, {stamp} ORDER BY {order}) = 1)"
+    )
+    return ",\n".join(steps)
+
+
+_OWN = "PARTITION BY event_type ORDER BY ts, event_id"
+_KEYED = "WITH " + clean_per_key_sql("gaps", "event_type", "event_id, ts, event_type", _OWN, ["value"])
+
+
+@query("fill_mean_per_key", """
+    SELECT event_id, event_type, coalesce(value, avg(value) OVER (PARTITION BY event_type)) AS value FROM gaps
+    """, views="gaps", doubles="value")
+def _(t):
+    return clean.fill_mean(t.gaps.select("event_id", "event_type", "value"), ["value"], keys=["event_type"])
+
+
+_IQR_KEYED = """
+    WITH q AS (SELECT user_id, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY 1)
+    SELECT event_id, user_id, value FROM events JOIN q USING (user_id) WHERE value BETWEEN a - 0.4 * (b - a) AND b + 0.4 * (b - a)
+    """
+
+
+def _iqr_per_key(t, layout: Layout):
+    rows = t.events.select("event_id", "user_id", "value")
+    return clean.iqr_filter(rows, ["value"], 0.4, keys=["user_id"], layout=layout)
+
+
+@query("iqr_per_key", _IQR_KEYED)
+def _(t):
+    return _iqr_per_key(t, Layout())
+
+
+@query("iqr_per_key_bracketed", _IQR_KEYED)
+def _(t):
+    """Every user is a large group here; all of them are searched in the same passes."""
+    return _iqr_per_key(t, Layout(limit=5))
+
+
+@query("clean_per_key", _KEYED + " SELECT event_id, event_type, value FROM cleaned", views="gaps", doubles="value")
+def _(t):
+    rows = clean.clean(t.gaps, ["value"], "ts", keys=["event_type"], tie=["event_id"])
+    return rows.select("event_id", "event_type", "value")
+
+
+@query("quartiles_per_key", """
+    SELECT l_suppkey, 'l_quantity' AS variable, p AS prob,
+           CASE p WHEN 0.25 THEN quantile_cont(l_quantity, 0.25) ELSE quantile_cont(l_quantity, 0.75) END AS quantile
+    FROM lineitem, (SELECT unnest([0.25::DOUBLE, 0.75]) AS p) GROUP BY l_suppkey, p
+    """, doubles="prob quantile")
+def _(t):
+    return quantiles(t.lineitem, ["l_quantity"], [0.25, 0.75], by=["l_suppkey"], layout=Layout(limit=50))
+
+
+@query("fill_previous_auto", _FILL_ONE, views="gaps")
+def _(t):
+    """Sliced because the table is larger than the limit, not because it was asked for."""
+    rows = clean.fill_previous(t.gaps, ["value"], order=_ORDER, layout=Layout(limit=1_000, slice_rows=1_000))
+    return rows.select("event_id", "value")
+
+
+@query("ffill_auto", _FFILL, views="gaps")
+def _(t):
+    return _filled(t, clean.ffill, "user_id", Layout(limit=5, slice_rows=1_000))

@@ -61,30 +61,30 @@ def _(t):
 
 @query("latest_snapshot", """
     SELECT event_id, value, 'processed_20240131_000000' AS snapshot FROM events
-    WHERE event_type = 'view'
+    WHERE event_type IN ('view', 'signup')
     """)
 def _(t):
     folder = fresh_folder(t.spark, "snapshots")
     rows = t.events.select("event_id", "value", "event_type")
-    stamps = {"click": datetime(2024, 1, 2), "view": datetime(2024, 1, 31)}
-    for kind, stamp in stamps.items():
-        part = rows.where(F.col("event_type") == kind).drop("event_type")
+    late = F.col("event_type").isin("view", "signup")
+    for which, stamp in ((~late, datetime(2024, 1, 2)), (late, datetime(2024, 1, 31))):
+        part = rows.where(which).drop("event_type")
         snapshots.write_snapshot(part, folder, snapshots.snapshot_name(stamp))
     return snapshots.latest_snapshot(t.spark, folder)
 
 
 @query("snapshot_overwrite", """
     SELECT event_id, value, 'processed_20240102_000000' AS snapshot FROM events
-    WHERE event_type = 'purchase'
+    WHERE event_type IN ('purchase', 'error')
     UNION ALL
-    SELECT event_id, value, 'processed_20240131_000000' FROM events WHERE event_type = 'view'
+    SELECT event_id, value, 'processed_20240131_000000' FROM events WHERE event_type IN ('view', 'signup')
     """)
 def _(t):
     folder = fresh_folder(t.spark, "snapshots")
     rows = t.events.select("event_id", "value", "event_type")
     early, late = (snapshots.snapshot_name(datetime(2024, 1, d)) for d in (2, 31))
-    for kind, name in (("click", early), ("view", late), ("purchase", early)):
-        part = rows.where(F.col("event_type") == kind).drop("event_type")
+    for kinds, name in ((["click"], early), (["view", "signup"], late), (["purchase", "error"], early)):
+        part = rows.where(F.col("event_type").isin(kinds)).drop("event_type")
         snapshots.write_snapshot(part, folder, name)
     return t.spark.read.parquet(folder)
 

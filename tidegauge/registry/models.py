@@ -13,8 +13,9 @@ from ..plans import jobs
 from ..session import fresh_folder
 from ..sources import readings
 from .base import query
-from .cleaning import POLLUTANTS, clean_sql
+from .cleaning import POLLUTANTS, clean_per_key_sql, clean_sql
 from .rowwise import FEATURES_SQL
+from .rowwise import JOB_FEATURES as _JOB_FEATURES
 from .windows import both
 
 _ORDER = ["ts", "event_id"]
@@ -41,12 +42,6 @@ def _(t):
     )
 
 
-_JOB_FEATURES = [
-    "hour", "dayofweek", "month", "temperature", "humidity", "pressure", "wind_speed", "wind_direction",
-    "PM_ratio", "NO2_SO2_ratio", "temp_humidity_interaction", "wind_temp_interaction",
-    "hour_sin", "hour_cos", "dayofweek_sin", "dayofweek_cos",
-    "PM2.5_lag_1h", "PM2.5_lag_24h", "PM10_lag_1h", "PM10_lag_24h", "NO2_lag_1h", "NO2_lag_24h",
-]
 _KEPT = " AND ".join(f'"{f}" IS NOT NULL' for f in _JOB_FEATURES)
 _SCALED = ", ".join(
     f"coalesce((\"{f}\" - avg(\"{f}\") OVER ()) / nullif(stddev_samp(\"{f}\") OVER (), 0), 0) AS s{i}"
@@ -121,7 +116,46 @@ def _(t):
     return jobs.light(rows)
 
 
-@query("processed_shipments")
+_SHIPPED = POLLUTANTS[:4]
+_SHIP_TIE = "l_orderkey, l_linenumber, l_partkey"
+_SHIP_FEATURES = [
+    f for f in _JOB_FEATURES if f not in {"temperature", "humidity", "pressure", "wind_speed", "wind_direction"} and "_interaction" not in f
+]
+_SHIP_SCALED = ", ".join(
+    f"coalesce((\"{f}\" - avg(\"{f}\") OVER ()) / nullif(stddev_samp(\"{f}\") OVER (), 0), 0) AS s{i}"
+    for i, f in enumerate(_SHIP_FEATURES)
+)
+
+
+def _shipments_sql() -> str:
+    """Every step per supplier: fill by one row, by the mean, four bounds in turn, one row per stamp, features."""
+    own = f"PARTITION BY l_suppkey ORDER BY datetime, {_SHIP_TIE}"
+    ids = f"datetime, l_suppkey, {_SHIP_TIE}"
+    steps = [clean_per_key_sql("ships", "l_suppkey", ids, own, _SHIPPED)]
+    calendar = FEATURES_SQL.split("temperature * humidity")[0]
+    lagged = ", ".join(
+        f'lag("{v}", {k}) OVER (PARTITION BY l_suppkey ORDER BY datetime) AS "{v}_lag_{k}h"' for v in _SHIPPED[:3] for k in (1, 24)
+    )
+    kept = " AND ".join(f'"{f}" IS NOT NULL' for f in _SHIP_FEATURES)
+    columns = ", ".join(f'"{v}"' for v in _SHIPPED)
+    return f"""
+    WITH ships AS (
+        SELECT l_shipdate AS datetime, l_suppkey, {_SHIP_TIE}, l_quantity AS "PM2.5", l_extendedprice / 1000 AS PM10,
+               l_discount * 100 AS NO2, l_tax * 100 AS SO2
+        FROM lineitem WHERE l_shipdate IS NOT NULL),
+    {", ".join(steps)},
+    featured AS (SELECT *, {calendar} {lagged} FROM cleaned),
+    kept AS (SELECT * FROM featured WHERE {kept})
+    SELECT l_suppkey, datetime, {columns}, "AQI", {_SHIP_SCALED} FROM kept
+    """
+
+
+@query(
+    "processed_shipments",
+    _shipments_sql(),
+    doubles=" ".join([*_SHIPPED, "AQI", *[f"s{i}" for i in range(len(_SHIP_FEATURES))]]),
+    digits=5,
+)
 def _(t):
     """The whole job over every line item as readings of its supplier."""
     rows = t.lineitem.select(
@@ -136,8 +170,9 @@ def _(t):
         (c("l_tax") * 100).alias("SO2"),
     )
     tie = ["l_orderkey", "l_linenumber", "l_partkey"]
-    out, _ = jobs.processed(rows, POLLUTANTS[:4], keys=["l_suppkey"], tie=tie)
-    return out
+    out, used = jobs.processed(rows, _SHIPPED, keys=["l_suppkey"], tie=tie)
+    parts = [F.get("scaled_features", F.lit(used.index(f))).alias(f"s{i}") for i, f in enumerate(_SHIP_FEATURES)]
+    return out.select("l_suppkey", "datetime", *[c(v) for v in _SHIPPED], "AQI", *parts)
 
 
 _INGEST_SQL = _job_sql(

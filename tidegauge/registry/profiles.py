@@ -301,14 +301,15 @@ def _(t):
 
 
 _LINE_COLUMNS = {
-    "l_quantity": "double",
-    "l_extendedprice": "double",
-    "l_returnflag": "string",
+    **dict.fromkeys(["l_orderkey", "l_partkey", "l_suppkey"], "bigint"),
+    "l_linenumber": "int",
+    **dict.fromkeys(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "double"),
+    **dict.fromkeys(["l_returnflag", "l_linestatus"], "string"),
     "l_shipdate": "timestamp_ntz",
 }
 _COUNTERS = " UNION ALL ".join(
     f"""SELECT '{n}' AS "column", '{k}' AS type, count(*) - count({n}) AS null_count,
-        count(DISTINCT {n}) AS distinct_count, count(*) AS rows, 4 AS columns,
+        count(DISTINCT {n}) AS distinct_count, count(*) AS rows, {len(_LINE_COLUMNS)} AS columns,
         count(*) - (SELECT count(*) FROM (SELECT DISTINCT {", ".join(_LINE_COLUMNS)} FROM lineitem)) AS duplicate_rows,
         0 AS total_nulls FROM lineitem"""
     for n, k in _LINE_COLUMNS.items()
@@ -317,7 +318,7 @@ _COUNTERS = " UNION ALL ".join(
 
 @query("quality_counters", _COUNTERS)
 def _(t):
-    return profiles.quality_counters(t.lineitem.select(*_LINE_COLUMNS))
+    return profiles.quality_counters(t.lineitem)
 
 
 @query("daily_means", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rules import RANGES
 from ..operators import quality
 from ..operators.order import Layout
 from .base import query
@@ -83,11 +84,15 @@ def _duplicates_sql(table: str, columns: str) -> str:
     )
 
 
-_DUP = "o_orderstatus, o_orderdate"
+@query("check_duplicates", _duplicates_sql("lineitem", "*"), doubles="value")
+def _(t):
+    """Whole rows of the largest table, which has few copies if any."""
+    return quality.check_duplicates(t.lineitem)
 
 
-@query("check_duplicates", _duplicates_sql("orders", _DUP), doubles="value")
+@query("check_duplicates_found", _duplicates_sql("orders", "o_orderstatus, o_orderdate"), doubles="value")
 def _(t):
+    """Two columns of all rows, where most are copies."""
     return quality.check_duplicates(t.orders.select("o_orderstatus", "o_orderdate"))
 
 
@@ -189,13 +194,12 @@ def _(t):
     return quality.completeness(t.events, "ts", keys=["user_id"])
 
 
-_NAMES = [*_POLLUTANTS, "temperature", "humidity", "pressure", "wind_speed", "wind_direction"]
-_BOUNDS = {
-    "PM2.5": (0, 500, "μg/m³"), "PM10": (0, 600, "μg/m³"), "NO2": (0, 200, "μg/m³"),
-    "SO2": (0, 1000, "μg/m³"), "CO": (0, 50000, "μg/m³"), "O3": (0, 300, "μg/m³"),
-    "temperature": (-50, 60, "°C"), "humidity": (0, 100, "%"), "pressure": (800, 1200, "hPa"),
-    "wind_speed": (0, 100, "m/s"), "wind_direction": (0, 360, "degrees"),
-}
+_NAMES = list(RANGES)
+_SPAN = {
+    "start": "epoch_us(min(datetime)) / 1e6::DOUBLE",
+    "end": "epoch_us(max(datetime)) / 1e6::DOUBLE",
+    "duration_days": "floor((epoch_us(max(datetime)) - epoch_us(min(datetime))) / 8.64e10::DOUBLE)",
+}
 
 
 def _report_sql() -> str:
@@ -203,10 +207,13 @@ def _report_sql() -> str:
         f"SELECT {row('schema', None, 'missing_columns', '0')}",
         f"SELECT {row('schema', 'datetime', 'unreadable_times', '0')}",
         f"SELECT {row('schema', None, 'rows', 'count(*)')} FROM readings",
+        f"SELECT {row('dataset', None, 'total_rows', 'count(*)')} FROM readings",
+        f"SELECT {row('dataset', None, 'total_columns', str(len(_NAMES) + 1))}",
+        *[f"SELECT {row('time_range', 'datetime', m, e)} FROM readings" for m, e in _SPAN.items()],
         _missing_sql("readings", ["datetime", *_NAMES]),
         _duplicates_sql("readings", "*"),
     ]
-    for v, (low, high, unit) in _BOUNDS.items():
+    for v, (low, high, unit) in RANGES.items():
         for metric, cond, word, bound, grade in (
             ("below_min", f'"{v}" < {low}', "below minimum", low, "issue"),
             ("above_max", f'"{v}" > {high}', "above maximum", high, "warning"),
@@ -273,7 +280,10 @@ def _(t):
         || chr(10) || 'Issues: ' || count(*) FILTER (WHERE severity = 'issue')
         || chr(10) || 'Warnings: ' || count(*) FILTER (WHERE severity = 'warning')
         || coalesce(string_agg(chr(10) || upper(severity) || ': ' || message, ''
-               ORDER BY severity, upper(severity) || ': ' || message) FILTER (WHERE severity <> 'ok'), '') AS report
+               ORDER BY severity, upper(severity) || ': ' || message) FILTER (WHERE severity <> 'ok'), '')
+        || coalesce(chr(10) || 'Missing values:' || string_agg(
+               chr(10) || '  ' || "column" || ': ' || CAST(value AS BIGINT), '' ORDER BY "column")
+               FILTER (WHERE "check" = 'missing' AND metric = 'count' AND value > 0), '') AS report
     FROM report
     """, views="readings")
 def _(t):

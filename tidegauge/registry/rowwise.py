@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..columns import c
 from ..functions import calendar, indices, rules
 from ..operators.features import (
+    DEFAULT_FEATURES,
     add_air_quality,
     add_features,
     add_light_features,
@@ -246,11 +247,11 @@ def _(t):
     return rows.select(*[c(n) for n in names])
 
 
-@query("feature_names", """
-    WITH names AS (SELECT unnest(['hour', 'dayofweek', 'month', 'temperature', 'humidity', 'pressure',
-        'wind_speed', 'wind_direction', 'PM_ratio', 'NO2_SO2_ratio', 'temp_humidity_interaction',
-        'wind_temp_interaction', 'hour_sin', 'hour_cos', 'dayofweek_sin', 'dayofweek_cos',
-        'PM2.5_lag_1h', 'PM2.5_lag_24h', 'PM10_lag_1h', 'PM10_lag_24h', 'NO2_lag_1h', 'NO2_lag_24h']) AS feature)
+JOB_FEATURES = [*DEFAULT_FEATURES, *[f"{v}_lag_{k}h" for v in _LAGGED for k in (1, 24)]]
+
+
+@query("feature_names", f"""
+    WITH names AS (SELECT unnest({JOB_FEATURES}) AS feature)
     SELECT feature, (SELECT count(*) FROM readings) AS rows FROM names
     """, views="readings")
 def _(t):
