@@ -7,6 +7,7 @@ written to the shared folder, so the plan stays short and a lost executor costs
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,14 @@ def _small(edges: DataFrame) -> DataFrame:
     moved = edges.join(least, "id").select(F.col("root").alias("id"), F.col("least").alias("root"))
     tied = moved.union(least.select("id", F.col("least").alias("root")))
     return tied.where(F.col("id") != F.col("root")).distinct()
+
+
+def roots(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each position reaches over the edges one-two, within a task."""
+    label = ids.copy()
+    while True:
+        before = label.copy()
+        np.minimum.at(label, one, label[two])
+        np.minimum.at(label, two, label[one])
+        if (label == before).all():
+            return label

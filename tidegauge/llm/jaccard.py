@@ -12,8 +12,11 @@ partner's segment up to t(i) shingles. A band is joined with itself and the larg
    and is done. This settles nearly every set, popular passages included.
 3. The others pay the rest with their cheapest shared segments (cost: the number of sharers). Those are
    their probes, and whoever shares a probe is a candidate.
-4. Candidates are verified on the full sets. Only components are wanted, so each set is first verified
-   against the set it meets most often; after that only pairs in different components are looked at.
+4. Candidates are verified on the full sets. Only components are wanted, so sets are first verified, in
+   a few rounds, against the weightiest set they meet in another component; after that all pairs that
+   are left between different components are verified, but for those whose shingles that no other
+   component has are more than H together. Where sets meet so often that the meetings outnumber the
+   pairs, whole blocks of sets are compared instead.
 
 Signatures and nodes are 64-bit hashes; a false match of signatures only costs a verification. Equal
 sets are one node from the start. A set whose segments cannot pay for H + 1 at all (shingles crowded in
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.bpe import spread
 from tidegauge.llm.common import sliced
-from tidegauge.llm.components import components
+from tidegauge.llm.components import components, roots
 from tidegauge.llm.language import mixed, powers
 from tidegauge.session import cut
 
@@ -60,6 +63,8 @@ class Settings:
     segments: tuple[tuple[int, float], ...] = ((150, 1.0), (400, 0.6), (1 << 62, 0.45))
     #: Signatures that a bucket holds on average.
     bucket: int = 3_000_000
+    #: Shingles of the sets that a task compares with another such block.
+    block: int = 200_000
 
 
 class Bands:
@@ -310,7 +315,8 @@ def _share(packed: DataFrame, buckets: int, places: int) -> DataFrame:
 
 
 def _allocate(shared: DataFrame, places: int) -> DataFrame:
-    """Entries of the sets that may have a partner; ``probe`` marks those that they pay with.
+    """Entries of the sets that may have a partner; ``probe`` marks those that they pay with, ``weight``
+    is how often a set's signatures are shared: in a group of near copies the original has the most.
 
     A null ``sig`` marks a set whose segments cannot pay for H + 1 even if all were free.
     """
@@ -319,7 +325,7 @@ def _allocate(shared: DataFrame, places: int) -> DataFrame:
         if table.column("place")[0].as_py() == places:
             names = np.unique(np.frombuffer(b"".join(table.column("node").to_pylist()), np.int64))
             nothing, no = pa.nulls(len(names), pa.int64()), pa.array(np.zeros(len(names), bool))
-            return pa.table({"sig": nothing, "node": names, "whole": no, "probe": no})
+            return pa.table({"sig": nothing, "node": names, "whole": no, "probe": no, "weight": np.zeros(len(names), np.int64)})
         parts, base = [], 0
         for row in table.to_pylist():
             node = np.frombuffer(row["node"], np.int64)
@@ -358,16 +364,19 @@ def _allocate(shared: DataFrame, places: int) -> DataFrame:
         probe = np.zeros(len(seg_start), bool)
         probe[order] = (before < need[set_of[order]]) & (lost[order] > 0)
         alive = (need > 0)[set_of][seg_of]
+        new_name = np.r_[True, name[1:] != name[:-1]]
+        weight = np.add.reduceat(cost.astype(np.int64), np.flatnonzero(new_name))[np.cumsum(new_name) - 1]
         return pa.table(
             {
                 "sig": sig[alive],
                 "node": name[alive],
                 "whole": (state[alive] & 3) != DELETED,
                 "probe": probe[seg_of][alive],
+                "weight": weight[alive],
             }
         )
 
-    return shared.groupBy("place").applyInArrow(run, "sig long, node long, whole boolean, probe boolean")
+    return shared.groupBy("place").applyInArrow(run, "sig long, node long, whole boolean, probe boolean, weight long")
 
 
 # -- candidates and verification -------------------------------------------------------------------
@@ -403,27 +412,160 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", common.alias("c"), (F.col("na") + F.col("nb")).alias("s")).where("100 * c >= 75 * (s - c)").select("a", "b")
 
 
-def _links(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges that connect every component of linked nodes."""
-    # only signatures that still have two holders, one of whom asks
-    holders = entries.groupBy("sig").agg(
-        F.min("node").alias("low"), F.max("node").alias("top"), F.max("probe").alias("asked"),
-        F.min(F.when(F.col("whole"), F.col("node"))).alias("leader"),
-    )
-    open_ = entries.join(holders.where("asked and low < top").select("sig", "leader"), "sig")
-    asks = open_.where(F.col("probe") & F.col("leader").isNotNull() & (F.col("node") != F.col("leader")))
-    often = asks.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
-    pick = often.groupBy("node").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
-    first = cut(_verified(pick.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), sets), "first-links")
-    roots = components(first, "a", "b").withColumnRenamed("id", "node")
-    tied = open_.select("sig", "node", "whole", "probe").join(roots, "node", "left")
-    tied = cut(tied.withColumn("root", F.coalesce("root", "node")), "tied")
-    mixed_ = tied.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("probe").alias("asked"))
-    left = tied.join(mixed_.where("x < y and asked").select("sig"), "sig", "left_semi")
-    ask, have = left.where("probe").alias("p"), left.alias("h")
+def _asked(open_: DataFrame) -> DataFrame:
+    """One pair per set that still asks: itself and a weighty set of another component.
+
+    ``open_`` has ``root``. Per signature the weightiest holder is the one to meet, or, for sets of
+    its own component, the weightiest holder of another; of all those, a set meets the most frequent.
+    """
+    best = F.max(F.when(F.col("whole"), F.struct("weight", "node", "root")))
+    first = open_.groupBy("sig").agg(best.alias("one")).where("one is not null")
+    met = open_.join(first.select("sig", F.col("one.node").alias("one"), F.col("one.root").alias("one_root")), "sig")
+    other = F.max(F.when(F.col("whole") & (F.col("root") != F.col("one_root")), F.struct("weight", "node")))
+    second = open_.join(first.select("sig", F.col("one.root").alias("one_root")), "sig").groupBy("sig").agg(other["node"].alias("two"))
+    asks = met.where("probe").join(second, "sig")
+    partner = F.when(F.col("root") != F.col("one_root"), F.col("one")).otherwise(F.col("two"))
+    often = asks.withColumn("partner", partner).where("partner is not null").groupBy("node", "partner").agg(F.count(F.lit(1)).alias("n"))
+    pick = often.groupBy("node").agg(F.max_by("partner", F.struct("n", "partner")).alias("partner"))
+    return pick.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
+
+
+def _still_open(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of signatures whose holders are in different components and of which one asks."""
+    tied = entries.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = tied.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("probe").alias("asked"))
+    return cut(tied.join(held.where("x < y and asked").select("sig"), "sig", "left_semi"), "open")
+
+
+_ITEMS = "bucket int, item binary, owner binary, node binary, root binary"
+
+
+def _own_items(sets: DataFrame, settings: Settings) -> DataFrame:
+    """``node``, ``n`` and ``own``: how many of its shingles no set with another ``root`` has."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, round(total / settings.bucket))
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                items = part.column("items").flatten().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(part.num_rows), part.column("n").to_numpy())
+                names, roots = part.column("node").to_numpy(), part.column("root").to_numpy()
+                bucket = ((items.view(np.uint64) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                rows = []
+                for b in range(buckets):
+                    own = order[bounds[b] : bounds[b + 1]]
+                    if len(own):
+                        there, local = np.unique(owner[own], return_inverse=True)
+                        rows.append((b, items[own].tobytes(), local.astype(np.uint16).tobytes(), names[there].tobytes(), roots[there].tobytes()))
+                yield _rows(rows, _ITEMS)
+
+    def shared(table: pa.Table) -> pa.Table:
+        parts = []
+        for row in table.to_pylist():
+            owner = np.frombuffer(row["owner"], np.uint16)
+            names = [np.frombuffer(row[x], np.int64)[owner] for x in ("node", "root")]
+            parts.append((np.frombuffer(row["item"], np.int64), *names))
+        item, node, root = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(item)
+        item, node, root = item[order], node[order], root[order]
+        start = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+        size = np.diff(np.r_[start, len(item)])
+        many = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), size)
+        pairs = np.unique(np.stack([node[many], item[many]], 1), axis=0) if many.any() else np.empty((0, 2), np.int64)
+        there, count = np.unique(pairs[:, 0], return_counts=True)
+        return pa.table({"node": there, "shared": count})
+
+    dealt = sets.select("node", "root", "n", "items").mapInArrow(deal, _ITEMS)
+    found = dealt.groupBy("bucket").applyInArrow(shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    sizes = sets.groupBy("node").agg(F.max("n").alias("n"))
+    return sizes.join(found, "node", "left").select("node", "n", (F.col("n") - F.coalesce("shared", F.lit(0))).alias("own"))
+
+
+def _links(entries: DataFrame, sets: DataFrame, settings: Settings, rounds: int = 2) -> DataFrame:
+    """Edges that connect every component of linked nodes.
+
+    At most ``rounds`` times every asking set meets one weighty set, as long as that links any. Then
+    all pairs that are left are verified: those in different components, with a probe in common, whose
+    own shingles (which no set of another component has, so they all count as differences) do not
+    exceed H already.
+    """
+    spark = entries.sparkSession
+    links = spark.createDataFrame([], "a long, b long")
+    open_ = entries.withColumn("root", F.col("node"))
+    for _ in range(rounds):
+        new = cut(_verified(_asked(open_), sets), "links")
+        if not new.take(1):
+            break
+        links = links.union(new)
+        roots = components(links, "a", "b").withColumnRenamed("id", "node")
+        open_ = _still_open(open_, roots)
+    left = sets.join(open_.select("node", "root").distinct(), "node")
+    sized = cut(_own_items(left, settings), "own-items")
+    sized = sized.where(3 * F.col("own") <= F.col("n"))  # beyond that no partner of any size is in reach
+    rows = cut(open_.select("sig", "node", "whole", "probe", "root").join(sized, "node"), "left")
+    held = rows.groupBy("sig").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("held"), F.sum(F.col("probe").cast("long")).alias("asked"))
+    tied = rows.join(held.where("asked > 0 and held > 1"), "sig")
+    unit_of = components(tied.select("node", "low").distinct(), "node", "low").withColumnRenamed("root", "unit")
+    unit_of = unit_of.union(unit_of.select(F.col("unit").alias("id"), "unit").distinct()).withColumnRenamed("id", "node")
+    by_node = rows.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n")).join(unit_of, "node")
+    by_sig = held.join(unit_of.withColumnRenamed("node", "low"), "low").groupBy("unit").agg(F.sum(F.col("asked") * F.col("held")).alias("met"))
+    units = by_node.groupBy("unit").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total")).join(by_sig, "unit")
+    dense = cut(units.where(F.col("met") > F.col("sets") * F.col("sets") / 2), "dense")
+    links = links.union(_within(sets, by_node.join(dense.select("unit", "total"), "unit"), settings))
+    # elsewhere sets meet seldom: pair by pair
+    rows = rows.join(by_node.join(dense.select("unit"), "unit").select("node"), "node", "left_anti")
+    ask, have = rows.where("probe").alias("p"), rows.alias("h")
+    apart = 7 * (F.col("p.own") + F.col("h.own")) <= F.col("p.n") + F.col("h.n")
+    close = (F.col("p.n") * 75 <= F.col("h.n") * 100) & (F.col("h.n") * 75 <= F.col("p.n") * 100)
     meet = (F.col("p.sig") == F.col("h.sig")) & (F.col("p.root") != F.col("h.root")) & (F.col("p.whole") | F.col("h.whole"))
-    rest = ask.join(have, meet).select(F.least("p.node", "h.node").alias("a"), F.greatest("p.node", "h.node").alias("b")).distinct()
-    return first.union(_verified(rest, sets))
+    rest = ask.join(have, meet & apart & close)
+    pairs = rest.select(F.least("p.node", "h.node").alias("a"), F.greatest("p.node", "h.node").alias("b")).distinct()
+    return links.union(_verified(pairs, sets))
+
+
+def _within(sets: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
+    """Edges inside the dense units, where sets meet so often that a unit is compared as a whole.
+
+    A unit is cut into blocks of about ``block`` shingles; a task gets two blocks (or one) and compares
+    their sets as bit sets over the shingles that occur twice. Edges span the components found.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("total") / settings.block)).cast("int")
+    rows = sets.drop("n").join(members.withColumn("parts", parts), "node")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.select("unit", "part", "node", "root", "items", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    rows = rows.select("unit", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"), "node", "root", "items")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        table = table.take(pa.array(first))
+        root, lists = table.column("root").to_numpy(), table.column("items").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        items = lists.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(node)), size)
+        name, place, times = np.unique(items, return_inverse=True, return_counts=True)
+        twice = times > 1
+        column = np.cumsum(twice) - 1
+        words = -(-int(twice.sum()) // 64) or 1
+        bits = np.zeros((len(node), words), np.uint64)
+        on = twice[place]
+        at = column[place[on]]
+        np.bitwise_or.at(bits, (owner[on], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        one, two = [], []
+        for i in range(len(node) - 1):
+            common = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(1).astype(np.int64)
+            hit = (100 * common >= 75 * (size[i] + size[i + 1 :] - common)) & (root[i + 1 :] != root[i])
+            found = np.flatnonzero(hit) + i + 1
+            one += [i] * len(found)
+            two += found.tolist()
+        label = roots(np.array(one, np.int64), np.array(two, np.int64), node)
+        moved = np.flatnonzero(label != node)
+        return pa.table({"a": node[moved], "b": label[moved]})
+
+    return rows.groupBy("unit", "one", "two").applyInArrow(compare, "a long, b long")
 
 
 def _against_all(docs: DataFrame, sets: DataFrame, crowded: DataFrame, settings: Settings, block: int = 200) -> DataFrame:
@@ -473,7 +615,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Setti
     places = max(1, buckets // 3)
     entries = cut(_allocate(_share(_emit(there, settings, buckets), buckets, places), places), "entries")
     sets = _sets(there, own, entries.select("node").distinct(), settings)
-    links = _links(entries.where(F.col("sig").isNotNull()), sets)
+    links = _links(entries.where(F.col("sig").isNotNull()), sets, settings)
     crowded = entries.where(F.col("sig").isNull()).select("node").distinct()
     links = links.union(_against_all(there, sets, crowded, settings))
     roots = components(cut(links, "links"), "a", "b").withColumnRenamed("id", "node")

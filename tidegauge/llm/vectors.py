@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import sample_by_hash
-from tidegauge.llm.components import components
+from tidegauge.llm.components import components, roots
 from tidegauge.session import cut
 
 
@@ -201,7 +201,7 @@ def _links(vectors: DataFrame, width: int, count: int, settings: Settings) -> Da
             np.add.at(links, one, n[two])
             np.add.at(links, two, n[one])
             touched = np.unique(np.r_[one, two])
-            root = _roots(np.searchsorted(touched, one), np.searchsorted(touched, two), ids[touched])
+            root = roots(np.searchsorted(touched, one), np.searchsorted(touched, two), ids[touched])
             out.append((ids[touched], root))
         at = np.flatnonzero(links)
         tied = [np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in (0, 1)]
@@ -215,14 +215,3 @@ def _links(vectors: DataFrame, width: int, count: int, settings: Settings) -> Da
 
     met = inside.unionByName(across).unionByName(guests)
     return met.groupBy("cell", "part").applyInArrow(meet, "id long, links long, root long")
-
-
-def _roots(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id that each position reaches."""
-    label = ids.copy()
-    while True:
-        before = label.copy()
-        np.minimum.at(label, one, label[two])
-        np.minimum.at(label, two, label[one])
-        if (label == before).all():
-            return label
