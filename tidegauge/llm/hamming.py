@@ -1,10 +1,12 @@
 """Exact top-k search over 64-bit codes by incremental multi-index hashing.
 
 A code is cut into ``m`` segments of about log2(n) bits; the index holds one row per distinct code and
-segment. In turn t every query that is still open looks up all segment values at t flipped bits. After
-turn t any code not yet seen differs from the query in at least t + 1 bits of every segment, so all
-codes closer than m (t + 1) have been verified: a query is closed once its k-th neighbour is among
-them. The radius grows until all queries are closed; nothing is missed and nothing is guessed.
+segment. In turn t every query that is still open looks up all segment values at t flipped bits, in
+small turns all segments at once, in large ones one segment after the other. When j segments have
+been searched to radius t and the others to t - 1, any code not yet seen differs from the query in at
+least t + 1 bits of those j and t bits of the others, so all codes closer than m t + j have been
+verified: a query is closed once its k-th neighbour is among them. The radii grow until all queries are
+closed; nothing is missed and nothing is guessed.
 
 Neighbours are ordered by distance and then by id; a query is not its own neighbour. Equal codes are
 indexed once, with their k + 1 smallest ids, which is all that k neighbours can need. Rows with a null
@@ -14,6 +16,7 @@ Repeated rows of one id count once. With fewer than k other codes, all of them a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb, log2
 
@@ -25,6 +28,8 @@ from tidegauge.session import cut
 BITS = 64
 #: Flip masks up to this many are sent to all executors (8 MB); beyond it Spark shuffles them.
 _BROADCAST_MASKS = 1_000_000
+#: A turn with more flip masks per segment than this searches one segment at a time.
+_LARGE_TURN = 1_000
 
 
 def sign_codes(df: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -62,7 +67,6 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Both inputs have ``id`` and ``code``.
     """
-    spark = codes.sparkSession
     per_code = Window.partitionBy("code").orderBy("id")
     # Spark keeps the first rows of each code on the map side already
     ids = cut(codes.distinct().select("*", F.row_number().over(per_code).alias("n")).where(F.col("n") <= k + 1), "codes")
@@ -74,13 +78,13 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     open_ = cut(queries.select(F.col("code").alias("query")).distinct(), "open")
     best, closed = None, []
     ranked = Window.partitionBy("query").orderBy("distance", "least")
-    for turn in range(max(w for _, w in segments) + 1):
-        found = _look_up(open_, index, segments, turn)
+    for turn, some in _turns(segments):
+        found = _look_up(open_, index, segments, turn, some)
         if best is not None:
             found = found.unionByName(best)
         best = found.select("*", F.row_number().over(ranked).alias("n")).where(F.col("n") <= k + 1).drop("n")
         best = cut(best, "best")
-        proven = F.sum(F.when(F.col("distance") < m * (turn + 1), F.col("held")).otherwise(0))
+        proven = F.sum(F.when(F.col("distance") < m * turn + some[-1] + 1, F.col("held")).otherwise(0))
         done = best.groupBy("query").agg(proven.alias("proven")).where(F.col("proven") >= k + 1).select("query")
         closed.append(best.join(done, "query", "left_semi"))
         open_ = cut(open_.join(done, "query", "left_anti"), "open")
@@ -101,15 +105,25 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return pairs.select("query_id", rank.alias("rank"), "neighbour_id", "distance").where(F.col("rank") <= k)
 
 
-def _look_up(open_: DataFrame, index: DataFrame, segments: list[tuple[int, int]], turn: int) -> DataFrame:
-    """Codes that the open queries meet at ``turn`` flips in a segment, each once, verified."""
+def _turns(segments: list[tuple[int, int]]) -> Iterator[tuple[int, list[int]]]:
+    """Radius and the segments that are searched to it together, in order."""
+    widest = max(w for _, w in segments)
+    every = list(range(len(segments)))
+    for turn in range(widest + 1):
+        yield from ((turn, [i]) for i in every) if comb(widest, turn) > _LARGE_TURN else [(turn, every)]
+
+
+def _look_up(
+    open_: DataFrame, index: DataFrame, segments: list[tuple[int, int]], turn: int, some: list[int]
+) -> DataFrame:
+    """Codes that the open queries meet at ``turn`` flips in one of ``some`` segments, each once, verified."""
     spark = open_.sparkSession
-    widths = sorted({w for _, w in segments if w >= turn})
+    widths = sorted({segments[i][1] for i in some if segments[i][1] >= turn})
     masks = [(w, sum(1 << b for b in bits)) for w in widths for bits in combinations(range(w), turn)]
     flips = spark.createDataFrame(masks, "width int, mask long")
     if sum(comb(w, turn) for w in widths) <= _BROADCAST_MASKS:
         flips = F.broadcast(flips)
-    probes = _by_segment(open_, segments, "query").join(flips, "width")
+    probes = _by_segment(open_, segments, "query").where(F.col("segment").isin(some)).join(flips, "width")
     probes = probes.select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
     met = probes.join(index, ["segment", "value"])
     # the segment that reports a pair: the first one with the fewest flips
