@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import pieces, texts_of
+from tidegauge.llm.common import ENCODE_BYTES, pieces, texts_of
 
 #: Fragments that a worker remembers.
 TABLE_LIMIT = 800_000
@@ -289,7 +289,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for part in pieces(batch, "__text"):
+            for part in pieces(batch, "__text", ENCODE_BYTES):
                 flat, lengths = coder.encode(texts_of(part, "__text"))
                 offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
                 column = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
@@ -328,7 +328,7 @@ def digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, vocab = encoder(path), vocabulary(path)
         for batch in batches:
-            for part in pieces(batch, "__text"):
+            for part in pieces(batch, "__text", ENCODE_BYTES):
                 flat, lengths = coder.encode(texts_of(part, "__text"))
                 ends = np.cumsum(lengths)
                 rows = [flat[end - n : end] for end, n in zip(ends, lengths, strict=True)]

@@ -9,8 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task holds in Python objects at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a task works on at a time; arrays of some ten times that size stand on them.
+SLICE_BYTES = 1 << 20
+#: The same for encoding, which needs less room and gains from more fragments at a time.
+ENCODE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

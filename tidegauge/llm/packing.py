@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bpe import encoder, little_endian
-from tidegauge.llm.common import pieces, texts_of
+from tidegauge.llm.common import ENCODE_BYTES, pieces, texts_of
 
 
 @dataclass(frozen=True)
@@ -157,7 +157,7 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], [key, *_COLUMNS])
 
         for batch in batches:
-            for part in pieces(batch, "__text"):
+            for part in pieces(batch, "__text", ENCODE_BYTES):
                 flat, lengths = coder.encode(texts_of(part, "__text"))
                 flat = np.insert(flat, np.cumsum(lengths), np.uint32(end_id))
                 ends = np.cumsum(lengths + 1)

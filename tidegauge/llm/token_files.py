@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bpe import encoder, little_endian
-from tidegauge.llm.common import pieces, texts_of
+from tidegauge.llm.common import ENCODE_BYTES, pieces, texts_of
 
 BLOCK = 1024
 # Ids per word and bits per id of the selectors 0 to 14; selector 15 is the escape.
@@ -136,7 +136,7 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard, before = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in pieces(batch, "__text"):
+            for part in pieces(batch, "__text", ENCODE_BYTES):
                 flat, lengths = coder.encode(texts_of(part, "__text"))
                 flat = np.insert(flat, np.cumsum(lengths), np.uint32(end_id))
                 words, per_block, aside = pack(flat)
