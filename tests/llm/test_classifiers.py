@@ -140,3 +140,31 @@ def test_toxicity_of_odd_documents(spark, odd_docs, no_docs):
         assert len(rows) == 12 and all(0 <= r["score"] <= 1 for r in rows)
         assert toxicity.score(no_docs, model).count() == 0
     assert rows[0]["score"] < 0.5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batches_of_texts_lose_no_neighbour(seed):
+    rng = np.random.default_rng(seed)
+    n, terms = 400, 60
+    own = [np.sort(rng.choice(terms, rng.integers(1, 9), replace=False, p=np.arange(1, terms + 1) / 1830)) for _ in range(n)]
+    weight = [w / np.linalg.norm(w) for w in (rng.choice([1.0, 2.0, 3.0], len(x)) for x in own)]
+    bounds = np.r_[0, np.cumsum([len(x) for x in own])]
+    row, term, weight = np.repeat(np.arange(n), np.diff(bounds)), np.concatenate(own), np.concatenate(weight)
+    index = toxicity.Index.build(rng.permutation(n), rng.integers(0, 2, n), row, term, weight, terms, toxicity.Settings(batch=64))
+    got = list(index.nearest_of(bounds, term, weight))
+    assert len(got) == n
+    for i, (at, sim) in enumerate(got):
+        mine = slice(bounds[i], bounds[i + 1])
+        plain = brute_nearest(index, term[mine], weight[mine], terms, 15)
+        assert [(int(index.ids[x]), round(float(s), 9)) for x, s in zip(at, sim, strict=True)] == plain
+
+
+def test_every_text_with_a_known_term_has_neighbours(spark):
+    """At balanced labels a term of a few examples is kept too."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(["river", "stone", "cloud", "table"], 6)) + (f" vile{i % 4}" if i % 2 else f" kind{i % 4}")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    chance, ids, _ = model.score(["vile1", "vile3", "kind0", "river", "", "qqqq"])
+    assert [len(x) > 0 for x in ids] == [True] * 4 + [False] * 2
+    assert min(chance[:2]) > 0.5 > chance[2]

@@ -1,14 +1,17 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and, so that inflected and compound forms meet, 5-grams of the letters of a word
-(with the blank before and after). The vector space keeps the terms whose document frequencies differ between the two labels
-(chi-square of at least ``chi``); a text without any of them is at distance one from every example.
-
-Index: the examples' vectors stand in blocks, neighbours in one block being alike; per term and block
-the largest weight is stored. A query adds these bounds up, scores the most promising blocks exactly,
-and then every block whose bound reaches the k-th similarity so far. So the k nearest are exact; ties
-go to the smaller id. Their similarities, summed by label, are the votes, and a logistic curve fitted
-to the leave-one-out votes of the examples turns them into a probability. The nearest ids are evidence.
+(with the blank before and after). All terms of the examples are kept. A term's idf is weighed by the size
+of its correlation with the label (phi, at least one over the examples): by idf alone, texts of one topic
+or language are nearest, whatever their label. Only a text without any term of an example has no neighbour.
+
+Index: postings by term. Texts are asked in batches: the terms that stand in many examples are multiplied
+as dense blocks, the others are added up from their postings, so every example's similarity is exact. One
+vector alone can be asked by bounds: examples stand in blocks of alike ones, a query adds up the largest
+weights per term and block, scores the most promising blocks, and then every block whose bound reaches
+the k-th similarity so far. Ties go to the smaller id. The neighbours' similarities, summed by label, are
+the votes, and a logistic curve fitted to the leave-one-out votes of the examples turns them into a
+probability. The nearest ids are evidence.
 
 Bound: about ``examples`` labelled rows, chosen by a hash of the id, whole texts. Equal texts with equal
 labels count once. Null and empty texts have no terms. Labels of one id that disagree are averaged.
@@ -19,7 +22,8 @@ one for one; columns that ``score`` adds replace columns of their names.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +41,13 @@ from tidegauge.session import cut
 class Settings:
     examples: int = 20_000
     orders: tuple[int, ...] = (5,)
-    chi: float = 32.0
-    #: Examples of either label that a term must stand in.
-    least: int = 3
     neighbours: int = 15
     block: int = 64
     #: Blocks scored before the first bound is drawn.
     first: int = 4
+    #: Texts asked at a time, and the share of the examples from which on a term is multiplied densely.
+    batch: int = 256
+    dense: float = 0.06
 
 
 def terms_of(texts: list[str], orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +62,13 @@ class Terms:
 
     def __init__(self, keys: np.ndarray, idf: np.ndarray, orders: tuple[int, ...]):
         self.keys, self.idf, self.orders = keys, idf, orders
-        self._seen = np.zeros(1 << 20, bool)
-        self._seen[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self._seen = np.zeros(1 << 23, bool)
+        self._seen[(keys & np.uint64((1 << 23) - 1)).astype(np.int64)] = True
 
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit vectors as flat (text, term, weight), ordered by text and term."""
         keys, owner = terms_of(texts, self.orders)
-        maybe = self._seen[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)]
+        maybe = self._seen[(keys & np.uint64((1 << 23) - 1)).astype(np.int64)]
         keys, owner = keys[maybe], owner[maybe]
         if not len(self.keys) or not len(keys):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -79,47 +83,93 @@ class Terms:
 
 @dataclass
 class Index:
-    """Postings by term and block, with the largest weight of each block."""
+    """Postings by term: positions of the examples that hold it, and its weight in each."""
 
     ids: np.ndarray
     labels: np.ndarray
-    terms: int
     settings: Settings
+    start: np.ndarray
     row: np.ndarray
     weight: np.ndarray
-    term_start: np.ndarray  # of the (term, block) runs
-    run_block: np.ndarray
-    run_start: np.ndarray
-    run_size: np.ndarray
-    run_max: np.ndarray
-    blocks: int = field(default=0)
 
     @staticmethod
     def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, settings: Settings) -> Index:
+        """From flat vectors, ordered by example and term."""
         n = len(ids)
-        # alike examples side by side: by their heaviest term
-        order = np.lexsort((term, -weight, row))
-        lead = np.full(n, terms)
-        first = order[np.r_[True, row[order][1:] != row[order][:-1]]] if len(order) else order
-        lead[row[first]] = term[first]
-        place = np.lexsort((ids, lead))
-        rank = np.empty(n, np.int64)
-        rank[place] = np.arange(n)
-        row = rank[row]
-        block = row // settings.block
-        order = np.lexsort((row, block, term))
-        row, term, weight, block = row[order], term[order], weight[order], block[order]
-        new = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])] if len(row) else np.empty(0, bool)
+        bounds = np.searchsorted(row, np.arange(n + 1))
+        own = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        lead = np.array([term[x][np.argmax(weight[x])] if x.stop > x.start else terms for x in own], np.int64)
+        order = np.lexsort((ids, lead))  # alike examples side by side: by their heaviest term
+        vectors = ((ids[at], labels[at], term[own[at]], weight[own[at]]) for at in order)
+        return Index.gather(vectors, np.bincount(term, minlength=terms), n, settings)
+
+    @staticmethod
+    def gather(vectors: Iterable[tuple], sizes: np.ndarray, most: int, settings: Settings) -> Index:
+        """From (id, label, terms, weights) one by one, ``most`` at most; ``sizes`` has the number of examples of each term."""
+        start = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        # one example after the other, so that beside the index no copy of the postings is held
+        free, rows, weights = start[:-1].copy(), np.empty(start[-1], np.uint16 if most < 1 << 16 else np.int32), np.empty(start[-1], np.float32)
+        ids, labels = [], []
+        for place, (name, label, term, weight) in enumerate(vectors):
+            slot = free[term]
+            rows[slot], weights[slot] = place, weight
+            free[term] += 1
+            ids.append(name)
+            labels.append(label)
+        return Index(np.array(ids, np.int64), np.array(labels, np.int64), settings, start, rows, weights)
+
+    def nearest_of(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray, but: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and similarities (above zero) of the nearest examples of each vector.
+
+        Vector i is ``bounds[i]`` to ``bounds[i + 1]`` of ``term`` and ``weight``; ``but[i]`` is left out (a position)."""
+        n, k, size = len(self.ids), self.settings.neighbours, np.diff(self.start)
+        frequent = size >= max(1, self.settings.dense * n)
+        for first in range(0, len(bounds) - 1, self.settings.batch):
+            ends = bounds[first : first + self.settings.batch + 1]
+            own = slice(ends[0], ends[-1])
+            terms, weights, query = term[own], weight[own], np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            sums = np.zeros((len(ends) - 1, n))
+            on = frequent[terms]
+            for names in _chunks(np.unique(terms[on]), 256):
+                at, count = spread(self.start[names], size[names]), size[names]
+                held = np.zeros((len(names), n))
+                held[np.repeat(np.arange(len(names)), count), self.row[at]] = self.weight[at]
+                here = np.flatnonzero(on & (terms >= names[0]) & (terms <= names[-1]))
+                asked = np.zeros((len(sums), len(names)))
+                asked[query[here], np.searchsorted(names, terms[here])] = weights[here]
+                sums += asked @ held
+            for i, (low, high) in enumerate(zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)):
+                rare = low + np.flatnonzero(~on[low:high])
+                count = size[terms[rare]]
+                at = spread(self.start[terms[rare]], count)
+                sums[i] += np.bincount(self.row[at], np.repeat(weights[rare], count) * self.weight[at], minlength=n)
+                if but is not None:
+                    sums[i, but[first + i]] = 0
+                limit = np.partition(sums[i], -k)[-k] if n > k else 0.0
+                found = np.flatnonzero((sums[i] > 0) & (sums[i] >= limit - 1e-9))
+                best = found[np.lexsort((self.ids[found], -np.round(sums[i, found], 12)))[:k]]
+                yield best, sums[i, best]
+
+    @cached_property
+    def _runs(self) -> tuple[np.ndarray, ...]:
+        """Runs of one term and block: first run of each term, then block, start, size and largest weight of each run."""
+        term = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+        block = self.row // self.settings.block
+        new = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])] if len(term) else np.empty(0, bool)
         start = np.flatnonzero(new)
-        size = np.diff(np.r_[start, len(row)])
-        top = np.maximum.reduceat(weight, start) if len(start) else np.empty(0)
-        term_start = np.searchsorted(term[start], np.arange(terms + 1))
-        return Index(ids[place], labels[place], terms, settings, row, weight, term_start, block[start], start, size, top, -(-n // settings.block))
+        top = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
+        term_start = np.searchsorted(term[start], np.arange(len(self.start)))
+        return term_start, block[start], start, np.diff(np.r_[start, len(term)]), top
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and similarities of the nearest examples with a similarity above zero.
+    term_start = property(lambda self: self._runs[0])
+    run_block = property(lambda self: self._runs[1])
+    run_start = property(lambda self: self._runs[2])
+    run_size = property(lambda self: self._runs[3])
+    run_max = property(lambda self: self._runs[4])
+    blocks = property(lambda self: -(-len(self.ids) // self.settings.block))
 
-        ``but`` is left out (a position)."""
+    def nearest(self, term: np.ndarray, weight: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one vector, by block bounds; ``but`` is left out (a position)."""
         k = self.settings.neighbours
         count = self.term_start[term + 1] - self.term_start[term]
         runs = spread(self.term_start[term], count)
@@ -154,6 +204,10 @@ class Index:
         return float(sim @ self.labels[at]), float(sim @ (1 - self.labels[at]))
 
 
+def _chunks(x: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    return (x[at : at + size] for at in range(0, len(x), size))
+
+
 @dataclass
 class Model:
     terms: Terms
@@ -166,9 +220,7 @@ class Model:
         starts = np.searchsorted(row, np.arange(len(texts) + 1))
         votes = np.zeros((len(texts), 2))
         ids, sims = [], []
-        for at in range(len(texts)):
-            own = slice(starts[at], starts[at + 1])
-            near, sim = self.index.nearest(term[own], weight[own])
+        for at, (near, sim) in enumerate(self.index.nearest_of(starts, term, weight)):
             votes[at] = self.index.votes(near, sim)
             ids.append(self.index.ids[near])
             sims.append(sim)
@@ -214,46 +266,60 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         index = Index.build(nothing, nothing, nothing, nothing, np.empty(0), 0, settings)
         return Model(terms, index, np.array([0.0, 0.0, np.log(share / (1 - share))]))
     both = F.col("ones") + F.col("zeros")
-    cross = F.col("ones") * F.lit(float(zeros)) - F.col("zeros") * F.lit(float(ones))
-    chi = F.lit(float(total)) * cross * cross / (F.lit(float(ones) * zeros) * both * (F.lit(float(total)) - both))
-    kept = _document_counts(examples, settings).where((both >= settings.least) & (both < total) & (chi >= settings.chi))
-    kept = kept.select("term", both.alias("df")).toPandas()  # bounded by the examples' terms
-    keys = kept["term"].to_numpy(np.int64).view(np.uint64)
+    counts = _document_counts(examples, settings).select("term", F.col("ones").cast("int"), both.cast("int").alias("df")).toPandas()  # bounded by the examples' terms
+    keys = counts["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    idf = np.log((total + 1) / (kept["df"].to_numpy(float)[order] + 1)) + 1
+    df, held = counts["df"].to_numpy(float)[order], counts["ones"].to_numpy(float)[order]
+    # correlation of holding the term with the label; terms of all examples have none
+    spread_ = np.sqrt(float(ones) * zeros * df * (total - df))
+    phi = np.abs(held * zeros - (df - held) * ones) / np.maximum(spread_, 1.0)
+    idf = (np.log((total + 1) / (df + 1)) + 1) * np.maximum(phi, 1 / total)
     terms = Terms(keys[order], idf, settings.orders)
+    examples_of = df.astype(np.int64)
+    del counts, order, df, held, spread_, phi
+    shared_terms = docs.sparkSession.sparkContext.broadcast(terms)
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text"):
-            row, term, weight = terms.vectors(texts_of(part, "text"))
+            row, term, weight = shared_terms.value.vectors(texts_of(part, "text"))
+            starts = np.searchsorted(row, np.arange(part.num_rows + 1))
+            columns = [part.column("id"), part.column("y"), part.column("mark")]
+            for flat in (term.astype(np.int32), weight.astype(np.float32)):
+                columns.append(pa.array([flat[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "y", "mark", "term", "weight"])
+
+    marked = examples.select(F.col("id").cast("long").alias("id"), "y", "text", F.xxhash64("text", "y").alias("mark"))
+    marked = marked.repartition(max(1, total // 500), "mark")
+    # an example without terms is nobody's neighbour
+    filled = marked.mapInArrow(vectors, "id long, y int, mark long, term binary, weight binary").where("length(term) > 0")
+    marks: list[int] = []
+
+    def one_by_one() -> Iterator[tuple]:
+        for r in filled.toLocalIterator():  # part by part: the driver holds the index and one part
+            marks.append(r["mark"])
+            yield r["id"], r["y"], np.frombuffer(r["term"], np.int32), np.frombuffer(r["weight"], np.float32)
+
+    index = Index.gather(one_by_one(), examples_of, total, settings)
+    by_mark = np.argsort(np.array(marks, np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast((index, np.array(marks, np.int64)[by_mark], by_mark))
+
+    def leave_one_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index_, marks_, places = shared.value
+        for part in sliced(batches, "text"):
+            row, term, weight = shared_terms.value.vectors(texts_of(part, "text"))
             starts = np.searchsorted(row, np.arange(part.num_rows + 1))
-            columns = [part.column("id"), part.column("y")]
-            offsets = pa.array(starts.astype(np.int32))
-            columns.append(pa.ListArray.from_arrays(offsets, pa.array(term.astype(np.int64))))
-            columns.append(pa.ListArray.from_arrays(offsets, pa.array(weight, pa.float64())))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "y", "term", "weight"])
-
-    schema = "id long, y int, term array<long>, weight array<double>"
-    got = examples.select(F.col("id").cast("long").alias("id"), "y", "text").mapInArrow(vectors, schema).toPandas()
-    got = got.sort_values(["id", "y"], ignore_index=True)
-    size = got["term"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(got)), size)
-    term = np.concatenate([*got["term"], np.empty(0, np.int64)]).astype(np.int64)
-    weight = np.concatenate([*got["weight"], np.empty(0)])
-    full = size > 0  # an example without terms is nobody's neighbour
-    rank = np.cumsum(full) - 1
-    index = Index.build(got["id"].to_numpy()[full], got["y"].to_numpy()[full], rank[row], term, weight, len(keys), settings)
-
-    position = np.empty(int(full.sum()), np.int64)
-    position[np.lexsort((index.labels, index.ids))] = np.lexsort((got["y"].to_numpy()[full], got["id"].to_numpy()[full]))
-    place = np.empty_like(position)
-    place[position] = np.arange(len(position))
-    votes = np.zeros((len(got), 2))
-    starts = np.r_[0, np.cumsum(size)]
-    for at in np.flatnonzero(full):
-        own_ = slice(starts[at], starts[at + 1])
-        votes[at] = index.votes(*index.nearest(term[own_], weight[own_], but=int(place[rank[at]])))
-    curve = logistic(votes, got["y"].to_numpy(float), l2=1e-4, steps=2000)
+            # one without terms has no place, and nothing to leave out
+            at = np.minimum(np.searchsorted(marks_, part.column("mark").to_numpy()), len(marks_) - 1)
+            votes = np.array([index_.votes(*x) for x in index_.nearest_of(starts, term, weight, places[at])]).reshape(-1, 2)
+            columns = [part.column("mark"), part.column("y"), pa.array(votes[:, 0]), pa.array(votes[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["mark", "y", "ones", "zeros"])
+
+    if not marks:  # only texts without terms: the base rate
+        return Model(terms, index, np.array([0.0, 0.0, np.log(ones / zeros)]))
+    polled = marked.mapInArrow(leave_one_out, "mark long, y int, ones double, zeros double").toPandas().sort_values("mark")
+    shared.destroy()
+    shared_terms.destroy()
+    curve = logistic(polled[["ones", "zeros"]].to_numpy(float), polled["y"].to_numpy(float), l2=1e-4, steps=2000)
     return Model(terms, index, curve)
 
 
