@@ -233,3 +233,22 @@ def test_op9(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in queries.op9_vectors(spark, folder).collect()}
     assert got.keys() == links.keys()
     assert sum(n for n, _ in got.values()) >= 0.9 * sum(links.values())
+
+
+def test_no_task_holds_a_whole_hot_cell(spark):
+    block, count, visits = 50, 1000, 700
+    members = spark.range(count).selectExpr("1L as cell", "id", "1L as n", "array(1D, 0D) as v")
+    guests = spark.range(count, count + visits).selectExpr("1L as cell", "id", "1L as n", "array(1D, 0D) as v")
+    nowhere = guests.selectExpr("2L as cell", "id", "n", "v")
+    rows = vectors._dealt(members, guests.union(nowhere), block)
+    groups = defaultdict(list)
+    for r in rows.select("cell", "part", "with", "alone", "member", "id").collect():
+        groups[r["cell"], r["part"], r["with"], r["alone"]].append((r["member"], r["id"]))
+    assert max(map(len, groups.values())) < 4 * block  # two parts, which vary around the block
+    met = defaultdict(int)
+    for (_, _, _, alone), held in groups.items():
+        ours, theirs = [x for own, x in held if own], [x for own, x in held if not own]
+        for pair in itertools.combinations(sorted(ours), 2) if alone else itertools.product(ours, theirs):
+            met[tuple(sorted(pair))] += 1
+    assert set(met.values()) == {1}
+    assert len(met) == count * (count - 1) // 2 + count * visits

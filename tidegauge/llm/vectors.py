@@ -10,8 +10,9 @@ How many cells to visit is measured when the codebooks are fitted: vectors of th
 exactly the threshold, the worst case of a link, and the order of the cell they land in is recorded.
 
 Bounds: the codebooks and that count are fitted on about ``sample`` vectors; all vectors are indexed.
-Equal vectors are indexed once, with their number. A cell with more than ``block`` vectors is split, and
-its parts are compared pair by pair, so no task holds more than a block and a stream of visitors.
+Equal vectors are indexed once, with their number. A cell's members are split by a hash into parts of
+about ``block`` vectors, and so are its visitors; a task compares one part with another (or with itself),
+so it holds two parts at most, however many vectors a cell has.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
 different lengths do not link. Rows are kept one for one. Rows with a null id have no links.
@@ -32,6 +33,10 @@ from tidegauge.llm.components import components, roots
 from tidegauge.session import cut
 
 
+#: Rows of a part that are multiplied at a time.
+STEP = 1_024
+
+
 @dataclass(frozen=True)
 class Settings:
     cosine: float = 0.95
@@ -171,29 +176,23 @@ def _links(vectors: DataFrame, width: int, count: int, settings: Settings) -> Da
 
     placed = vectors.select("id", "n", "v").mapInArrow(place, "id long, n long, v array<double>, cell long, visits array<long>")
     placed = cut(placed, "cells")
-    parts = F.ceil(F.count(F.lit(1)) / settings.block).cast("int")
-    large = placed.groupBy("cell").agg(parts.alias("parts")).where("parts > 1")
-    parts_of = F.coalesce("parts", F.lit(1))
-    part = F.pmod(F.xxhash64("id"), parts_of).cast("int")
-    members = placed.drop("visits").join(large, "cell", "left").withColumn("part", part)
-    inside = members.select("cell", "part", F.lit(True).alias("member"), "id", "n", "v")
-    across = members.where("part > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("part"), F.lit(False).alias("member"), "id", "n", "v")
-    guests = placed.select(F.explode("visits").alias("cell"), "id", "n", "v").join(large, "cell", "left")
-    guests = guests.select("cell", F.explode(F.sequence(F.lit(0), parts_of - 1)).alias("part"), F.lit(False).alias("member"), "id", "n", "v")
-    # a visit to a cell where nobody stands meets nothing
-    guests = guests.join(placed.select("cell").distinct(), "cell", "left_semi")
+    guests = placed.select(F.explode("visits").alias("cell"), "id", "n", "v")
+    members = placed.select("cell", "id", "n", "v")
+    met = _dealt(members, guests, settings.block)
 
     def meet(table: pa.Table) -> pa.Table:
+        alone = table.column("alone")[0].as_py()  # a part with itself
         table = table.sort_by([("member", "descending"), ("id", "ascending")])
         unit, ids = _unit(table, "v", width), table.column("id").to_numpy()
         n = table.column("n").to_numpy()
         count_ = int(np.count_nonzero(table.column("member").to_numpy(zero_copy_only=False)))
         links, out = np.zeros(len(ids), np.int64), []
-        for start in [0, *range(count_, len(ids), settings.block)] if count_ < len(ids) else [0]:
-            stop = count_ if start == 0 and count_ else min(len(ids), start + settings.block)
+        first = 0 if alone else count_
+        for start in range(first, len(ids), STEP):
+            stop = min(len(ids), start + STEP)
             close = unit[start:stop] @ unit[:count_].T >= settings.cosine
-            if start == 0:
-                close = np.triu(close, 1)
+            if alone:
+                close &= np.arange(start, stop)[:, None] > np.arange(count_)
             one, two = np.nonzero(close)
             if not len(one):
                 continue
@@ -213,5 +212,33 @@ def _links(vectors: DataFrame, width: int, count: int, settings: Settings) -> Da
             }
         )
 
-    met = inside.unionByName(across).unionByName(guests)
-    return met.groupBy("cell", "part").applyInArrow(meet, "id long, links long, root long")
+    return met.groupBy("cell", "part", "with", "alone").applyInArrow(meet, "id long, links long, root long")
+
+
+def _dealt(members: DataFrame, guests: DataFrame, block: int) -> DataFrame:
+    """Rows (``cell``, ``part``, ``with``, ``alone``, ``member``, ``id``, ``n``, ``v``) whose first four name a task.
+
+    Member parts meet themselves (``alone``) and each other, and every visitor part meets every member part.
+    """
+    number = F.ceil(F.count(F.lit(1)) / block).cast("int")
+    held = members.groupBy("cell").agg(number.alias("parts"))
+    # a visit to a cell where nobody stands meets nothing
+    come = guests.select("cell").groupBy("cell").agg(number.alias("groups"))
+    cells = cut(held.join(come, "cell", "left").select("cell", "parts", F.coalesce("groups", F.lit(0)).alias("groups")), "cell-sizes")
+    row = ["id", "n", "v"]
+    members = members.join(cells, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # of two parts the lower one's vectors are the members, the other's the guests
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    among = members.select("cell", "own", *row, other)
+    among = among.select(
+        "cell", F.least("own", "other").alias("part"), F.greatest("own", "other").alias("with"),
+        (F.col("own") == F.col("other")).alias("alone"), (F.col("own") <= F.col("other")).alias("member"), *row,
+    )
+    # visitor groups are numbered behind the parts
+    group = F.explode(F.sequence(F.col("parts"), F.col("parts") + F.col("groups") - 1)).alias("with")
+    hosts = members.where("groups > 0").select("cell", F.col("own").alias("part"), group, F.lit(False).alias("alone"), F.lit(True).alias("member"), *row)
+    guests = guests.join(cells, "cell")
+    group = (F.pmod(F.xxhash64("id", F.lit(3)), F.col("groups")) + F.col("parts")).cast("int")
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    guests = guests.select("cell", part, group.alias("with"), F.lit(False).alias("alone"), F.lit(False).alias("member"), *row)
+    return among.unionByName(hosts).unionByName(guests)
