@@ -168,3 +168,12 @@ def test_every_text_with_a_known_term_has_neighbours(spark):
     chance, ids, _ = model.score(["vile1", "vile3", "kind0", "river", "", "qqqq"])
     assert [len(x) > 0 for x in ids] == [True] * 4 + [False] * 2
     assert min(chance[:2]) > 0.5 > chance[2]
+
+
+def test_toxicity_sample_is_of_the_documents_and_by_label(spark):
+    docs = spark.createDataFrame([(i, f"word{i} some text") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 15 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels, settings=toxicity.Settings(examples=100)).index
+    assert sorted(index.ids[index.labels == 1]) == list(range(0, 300, 15))  # the rare label whole
+    assert 50 <= (index.labels == 0).sum() <= 110
+    assert toxicity._shares(10, 80, 100) == (1, 1) and toxicity._shares(900, 900, 100) == (50 / 900, 50 / 900)

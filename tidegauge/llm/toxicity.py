@@ -13,7 +13,9 @@ the k-th similarity so far. Ties go to the smaller id. The neighbours' similarit
 the votes, and a logistic curve fitted to the leave-one-out votes of the examples turns them into a
 probability. The nearest ids are evidence.
 
-Bound: about ``examples`` labelled rows, chosen by a hash of the id, whole texts. Equal texts with equal
+Bound: about ``examples`` labelled rows that are in the documents, chosen by a hash of the id, whole texts.
+Beyond that a label with fewer than half of them keeps all its rows, and the curve is moved back to the
+labels' shares before the choice. Equal texts with equal
 labels count once. Null and empty texts have no terms. Labels of one id that disagree are averaged.
 With labels of one class every score is that class's smoothed share, without labels 0. Rows are kept
 one for one; columns that ``score`` adds replace columns of their names.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bpe import spread
-from tidegauge.llm.common import sample_by_hash, sliced, texts_of
+from tidegauge.llm.common import hash_below, sliced, texts_of
 from tidegauge.llm.language import ngrams, words
 from tidegauge.llm.linear import logistic, margin, sigmoid
 from tidegauge.session import cut
@@ -247,12 +249,25 @@ def _document_counts(texts: DataFrame, settings: Settings) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
+def _shares(ones: int, zeros: int, size: int) -> tuple[float, float]:
+    """Share to take of either label for about ``size`` rows: half of them each, or all there are of a rarer one."""
+    if ones + zeros <= size:
+        return 1.0, 1.0
+    most = [max(size // 2, size - other) for other in (zeros, ones)]
+    return min(1.0, most[0] / max(1, ones)), min(1.0, most[1] / max(1, zeros))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> Model:
     """Learn from the rows of ``docs`` that ``labels`` names."""
     settings = settings or Settings()
     named = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id"))
     named = named.agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    picked = F.broadcast(sample_by_hash(named, "id", settings.examples))  # about ``examples`` rows
+    there = docs.select(F.col(key).alias("id")).where(F.col(key).isNotNull()).distinct().join(named, "id")
+    counts = {r["y"]: r["count"] for r in there.groupBy("y").count().collect()}
+    shares = _shares(counts.get(1, 0), counts.get(0, 0), settings.examples)
+    share = F.when(F.col("y") == 1, shares[0]).otherwise(shares[1])
+    picked = F.broadcast(there.where((share >= 1) | hash_below(F.col("id"), share, 17)))  # about ``examples`` rows
+    moved = np.log(shares[0] / shares[1])
     own = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(picked, "id")
     examples = cut(own.groupBy("text", "y").agg(F.min("id").alias("id")), "toxic-examples")
 
@@ -315,11 +330,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
             yield pa.RecordBatch.from_arrays(columns, ["mark", "y", "ones", "zeros"])
 
     if not marks:  # only texts without terms: the base rate
-        return Model(terms, index, np.array([0.0, 0.0, np.log(ones / zeros)]))
+        return Model(terms, index, np.array([0.0, 0.0, np.log(ones / zeros) - moved]))
     polled = marked.mapInArrow(leave_one_out, "mark long, y int, ones double, zeros double").toPandas().sort_values("mark")
     shared.destroy()
     shared_terms.destroy()
     curve = logistic(polled[["ones", "zeros"]].to_numpy(float), polled["y"].to_numpy(float), l2=1e-4, steps=2000)
+    curve[-1] -= moved
     return Model(terms, index, curve)
 
 
