@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, hamming, html_text, jaccard, language, packing, quality, token_files, toxicity, vectors
+from tidegauge.llm import alignment, bpe, hamming, html_text, jaccard, language, packing, quality, token_files, toxicity, vectors
 from tidegauge.llm.common import fold, table
 from tidegauge.session import fresh_folder
 
@@ -74,6 +74,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_toxicity": op2_toxicity,
@@ -85,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_vectors": op9_vectors,
     "op10_packing": op10_packing,
+    "op11_alignment": op11_alignment,
 }
 ORACLES: dict[str, str] = {}
