@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import alignment, bpe, hamming, html_text, jaccard, language, packing, quality, token_files, toxicity, vectors
+from tidegauge.llm import alignment, bpe, hamming, html_text, jaccard, language, packing, quality, repeats, token_files, toxicity, vectors
 from tidegauge.llm.common import fold, table
 from tidegauge.session import fresh_folder
 
@@ -79,6 +79,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), *paths)[0]
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_toxicity": op2_toxicity,
@@ -91,5 +96,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vectors": op9_vectors,
     "op10_packing": op10_packing,
     "op11_alignment": op11_alignment,
+    "op12_repeats": op12_repeats,
+}
+ORACLES: dict[str, str] = {
+    "op12_repeats": r"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), starts AS (
+            SELECT r, i, md5(array_to_string(words[i : i + 34], ' ')) AS k
+            FROM texts, unnest(range(1, len(words) - 33)) AS t(i)
+        ), repeated AS (
+            SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM starts) WHERE n > 1
+        ), gone AS (
+            SELECT DISTINCT r, i + j AS p FROM repeated, range(35) AS t(j)
+        ), kept AS (
+            SELECT r, string_agg(words[p], ' ' ORDER BY p) AS kept, count(*) AS n
+            FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS p FROM texts) ANTI JOIN gone USING (r, p)
+            GROUP BY r
+        )
+        SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (r)""",
 }
-ORACLES: dict[str, str] = {}
