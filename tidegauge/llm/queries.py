@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import alignment, bpe, hamming, html_text, jaccard, language, packing, quality, repeats, token_files, toxicity, vectors
+from tidegauge.llm import alignment, bpe, hamming, html_text, jaccard, language, packing, quality, repeats, runs, token_files, toxicity, vectors
 from tidegauge.llm.common import fold, table
 from tidegauge.session import fresh_folder
 
@@ -84,6 +84,20 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.runs(table(spark, sf_dir, "documents"), tails=True)
+    # The greatest length first; of equal ones the smallest start, then period.
+    longest = F.array_min(F.transform("runs", lambda x: F.struct((-x.length).alias("l"), x.start, x.period)))
+    lines = F.transform("runs", lambda x: F.format_string("%d,%d,%d\n", x.start, x.length, x.period))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), lines.alias("lines"), "collapsed")
+    length, period = -F.col("longest.l"), F.col("longest.period")
+    return rows.select(
+        "doc_id", "n_runs", F.col("longest.start").alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("-1000 * longest.l div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_toxicity": op2_toxicity,
@@ -97,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_alignment": op11_alignment,
     "op12_repeats": op12_repeats,
+    "op13_runs": op13_runs,
 }
 ORACLES: dict[str, str] = {
     "op12_repeats": r"""
