@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import os
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -33,12 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.bpe import byte_letters, spread
-from tidegauge.llm.common import ENCODE_BYTES, pieces, texts_of
+from tidegauge.llm.bpe import Encoder, Vocabulary, spread
+from tidegauge.llm.common import pieces, texts_of
 from tidegauge.session import cut
 
-#: Fragments that a worker remembers.
+#: Bytes of text that a task aligns at a time.
+ALIGN_BYTES = 2 << 20
+#: Fragments that a worker remembers, and that it encodes at a time.
 TABLE_LIMIT = 400_000
+LEARN = 50_000
 #: Distinct pairs that a task sums before it hands them on.
 SUM_LIMIT = 1_000_000
 #: Pair counts that every task holds; pairs with a share of the links below one KNOWN-th are joined.
@@ -57,24 +59,32 @@ _NAMES = [x.split()[0] for x in TABLE.split(", ")]
 _DOC, _SUMS = 0, 1
 
 
+class Plain(Encoder):
+    """A byte-level encoder that takes the strings of special tokens as they stand."""
+
+    def __init__(self, path: str):
+        super().__init__(Vocabulary(path))
+        self.vocab.special_pattern = re.compile(r"(?!)")
+
+    def of_fragments(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of distinct fragments and the number of each; nothing is remembered."""
+        self._clear()
+        self._index.update(zip(fragments, itertools.count()))
+        self._learn()
+        return self._ids.astype(np.int64), self._counts
+
+
 class Pair:
     """Both tokenizers with the bytes of their ids."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.coder = Plain(path_a)
+        vocab = self.coder.vocab
+        each = np.arange(vocab.size)
+        self.bytes_a = [vocab.decode(each[i : i + 1]) for i in each]
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        of_letter = {c: i for i, c in enumerate(byte_letters())}
-        self.bytes_a = [b""] * self.a.get_vocab_size()
-        for token, at in self.a.get_vocab().items():
-            known = all(c in of_letter for c in token)
-            self.bytes_a[at] = bytes(of_letter[c] for c in token) if known else token.encode()
         names = self.b.id_to_piece(list(range(self.b.vocab_size())))
         self.bytes_b = [self._bytes(x) for x in names]
         self.blank = self.b.piece_to_id("▁")
@@ -93,37 +103,37 @@ class Pair:
         found = _BYTE_PIECE.fullmatch(piece)
         return bytes([int(found[1], 16)]) if found else piece.replace("▁", " ").encode()
 
-    def encode(self, fragments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and of B for fragments that start with a blank or a line feed, the blank in front included."""
-        ids_a = [x.ids for x in self.a.encode_batch(fragments, add_special_tokens=False)]
-        ids_b = self.b.encode([x[1:] if x[0] == " " else x for x in fragments], num_threads=1)
-        for fragment, a, b in zip(fragments, ids_a, ids_b, strict=True):
+    def encode_b(self, fragments: list[str]) -> list[list[int]]:
+        """Ids of B for fragments that start with a blank or a line feed, the blank in front included."""
+        found = self.b.encode([x[1:] if x[0] == " " else x for x in fragments], num_threads=1)
+        for at, fragment in enumerate(fragments):
             if fragment[0] != " ":  # B has put a blank in front, which no piece joins to a line feed
-                b = b[1:] if b[:1] == [self.blank] else []
-            yield a, b or [self.blank] * (fragment == " ")  # B encodes the empty text to nothing
+                found[at] = found[at][1:] if found[at][:1] == [self.blank] else []
+            elif fragment == " ":  # B encodes the empty text to nothing
+                found[at] = [self.blank]
+        return found
+
+
+class Strings:
+    """Byte strings in one array, picked by number."""
+
+    def __init__(self, strings: Iterable[bytes] = ()):
+        strings = list(strings)
+        self.raw = np.frombuffer(b"".join(strings), np.uint8)
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def add(self, raw: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.raw) + np.cumsum(sizes) - sizes])
+        self.raw, self.sizes = np.concatenate([self.raw, raw]), np.concatenate([self.sizes, sizes])
 
-def groups(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Stretches [a0, a1) and [b0, b1) of tokens between common ends; both lists end alike."""
-    i = j = i0 = j0 = 0
-    while i < len(ends_a):
-        if ends_a[i] == ends_b[j]:
-            i, j = i + 1, j + 1
-            yield i0, i, j0, j
-            i0, j0 = i, j
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
+    def pick(self, at: np.ndarray) -> np.ndarray:
+        return self.raw[spread(self.starts[at], self.sizes[at])]
 
 
-def overlaps(ends_a: list[int], ends_b: list[int], start: int) -> Iterator[tuple[int, int]]:
-    """Positions of tokens whose bytes overlap, in one group that starts at byte ``start``."""
-    i = j = 0
-    while i < len(ends_a) and j < len(ends_b):
-        yield i, j
-        one, two = ends_a[i], ends_b[j]
-        i, j = i + (one <= two), j + (two <= one)
+def _sums_by(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of values that belong to consecutive stretches of the given sizes."""
+    return np.diff(np.r_[0, np.cumsum(values)][np.r_[0, np.cumsum(counts)]])
 
 
 class Aligner:
@@ -131,54 +141,76 @@ class Aligner:
 
     def __init__(self, pair: Pair, limit: int = TABLE_LIMIT):
         self.pair, self.limit = pair, limit
-        self.size_b = len(pair.bytes_b)
-        self.len_a, self.len_b = [len(x) for x in pair.bytes_a], [len(x) for x in pair.bytes_b]
+        self.size_a, self.size_b = len(pair.bytes_a), len(pair.bytes_b)
+        self.of_a, self.of_b = Strings(pair.bytes_a), Strings(pair.bytes_b)
+        self.decimal = Strings(b"%d," % x for x in range(max(self.size_a, self.size_b)))
         self._clear()
 
     def _clear(self) -> None:
         self._index: defaultdict[str, int] = defaultdict()
         self._index.default_factory = self._index.__len__
-        self._text: list[str] = []
         #: Per fragment: tokens of A, of B, groups, links, one-to-one groups, other links, and 1 if the bytes differ.
         self._numbers = np.empty((0, 7), np.int64)
+        self._text = Strings()
         self._same, self._other = np.empty(0, np.int64), np.empty(0, np.int64)
         self._same_at, self._other_at = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _align(self, fragment: str, a: list[int], b: list[int], same: list[int], other: list[int]) -> tuple:
-        raw, pair = fragment.encode("utf-8", "surrogatepass"), self.pair
-        if b"".join([pair.bytes_a[x] for x in a]) != raw or b"".join([pair.bytes_b[x] for x in b]) != raw:
-            self._text.append("")
-            return 0, 0, 0, 0, 0, 0, 1
-        ends_a = list(itertools.accumulate(map(self.len_a.__getitem__, a)))
-        ends_b = list(itertools.accumulate(map(self.len_b.__getitem__, b)))
-        text, ones, links = [], 0, 0
-        for a0, a1, b0, b1 in groups(ends_a, ends_b):
-            if a1 - a0 == 1 and b1 - b0 == 1 and pair.same[a[a0]] == b[b0]:
-                same.append(a[a0])
-                ones += 1
-                text.append(f"{a[a0]}|{b[b0]}")
-                continue
-            for i, j in overlaps(ends_a[a0:a1], ends_b[b0:b1], ends_a[a0 - 1] if a0 else 0):
-                other.append(a[a0 + i] * self.size_b + b[b0 + j])
-                links += 1
-            text.append(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])))
-        self._text.append(";".join(text))
-        return len(a), len(b), len(text), ones + links, ones, links, 0
+    def _right(self, raw: list[bytes], ids: np.ndarray, counts: np.ndarray, strings: Strings) -> np.ndarray:
+        """Which fragments the tokens give back."""
+        sizes = np.array([len(x) for x in raw])
+        right = _sums_by(counts, strings.sizes[ids]) == sizes
+        of = np.repeat(right, counts)
+        got = strings.pick(ids[of])
+        want = np.frombuffer(b"".join(x for x, ok in zip(raw, right, strict=True) if ok), np.uint8)
+        off = _sums_by(sizes[right], got != want)
+        right[np.flatnonzero(right)[off > 0]] = False
+        return right
+
+    def _align(self, fragments: list[str]) -> None:
+        """Adds the fragments to the table, all of them at a time: they stand one after the other."""
+        raw = [x.encode("utf-8", "surrogatepass") for x in fragments]
+        a, n_a = self.pair.coder.of_fragments(fragments)
+        lists = self.pair.encode_b(fragments)
+        n_b = np.array([len(x) for x in lists], np.int64)
+        b = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(n_b.sum()))
+        right = self._right(raw, a, n_a, self.of_a) & self._right(raw, b, n_b, self.of_b)
+        a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
+        n_a, n_b = np.where(right, n_a, 0), np.where(right, n_b, 0)
+        ends_a, ends_b = np.cumsum(self.of_a.sizes[a]), np.cumsum(self.of_b.sizes[b])
+        ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
+        in_a, in_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
+        # Between two neighbouring ends, of A or of B, lies just one pair of overlapping tokens.
+        steps = np.union1d(ends_a, ends_b)
+        link_a, link_b = np.searchsorted(ends_a, steps), np.searchsorted(ends_b, steps)
+        one = (in_a[group_a[link_a]] == 1) & (in_b[group_a[link_a]] == 1) & (self.pair.same[a[link_a]] == b[link_b])
+        fragment = np.repeat(np.arange(len(raw)), n_a)
+        n_groups = np.bincount(fragment[np.searchsorted(ends_a, ends)], minlength=len(raw))
+        n_one = np.bincount(fragment[link_a[one]], minlength=len(raw))
+        n_other = np.bincount(fragment[link_a[~one]], minlength=len(raw))
+        # Decimals in order: the ids of A of a group, then those of B, each with the sign that follows it.
+        place_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]
+        place_b = np.arange(len(b)) + np.cumsum(in_a)[group_b]
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[place_a], ids[place_b] = a, b
+        text = self.decimal.pick(ids)
+        sizes = self.decimal.sizes[ids]
+        last = np.cumsum(sizes) - 1
+        text[last[place_a[np.searchsorted(ends_a, ends)]]] = ord("|")
+        text[last[place_b[np.searchsorted(ends_b, ends)]]] = ord(";")
+        self._text.add(text, _sums_by(n_a + n_b, sizes))
+        numbers = np.stack([n_a, n_b, n_groups, n_one + n_other, n_one, n_other, ~right], axis=1)
+        self._numbers = np.concatenate([self._numbers, numbers])
+        self._same_at = np.concatenate([self._same_at, len(self._same) + np.cumsum(n_one) - n_one])
+        self._other_at = np.concatenate([self._other_at, len(self._other) + np.cumsum(n_other) - n_other])
+        self._same = np.concatenate([self._same, a[link_a[one]]])
+        self._other = np.concatenate([self._other, a[link_a[~one]] * self.size_b + b[link_b[~one]]])
 
     def _learn(self) -> None:
-        known = len(self._text)
+        known = len(self._numbers)
         fresh = list(itertools.islice(reversed(self._index), len(self._index) - known))[::-1]
-        if not fresh:
-            return
-        same: list[int] = []
-        other: list[int] = []
-        found = [self._align(x, a, b, same, other) for x, (a, b) in zip(fresh, self.pair.encode(fresh), strict=True)]
-        rows = np.array(found, np.int64)
-        self._same_at = np.concatenate([self._same_at, len(self._same) + np.cumsum(rows[:, 4]) - rows[:, 4]])
-        self._other_at = np.concatenate([self._other_at, len(self._other) + np.cumsum(rows[:, 5]) - rows[:, 5]])
-        self._same = np.concatenate([self._same, np.array(same, np.int64)])
-        self._other = np.concatenate([self._other, np.array(other, np.int64)])
-        self._numbers = np.concatenate([self._numbers, rows])
+        for at in range(0, len(fresh), LEARN):
+            self._align(fresh[at : at + LEARN])
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], tuple, tuple]:
         """Per text the numbers and the digest of its groups; flat one-to-one ids and other pairs, each
@@ -197,8 +229,8 @@ class Aligner:
             sums[i] = self._numbers[x].sum(axis=0)
             if sums[i, 6]:
                 at[i], sums[i] = x[:0], 0
-            joined = ";".join(map(self._text.__getitem__, at[i].tolist()))
-            digests.append(hashlib.sha256(joined.encode()).hexdigest() if joined else "")
+            joined = self._text.pick(at[i])[:-1]
+            digests.append(hashlib.sha256(joined.tobytes()).hexdigest() if len(joined) else "")
         owner = np.repeat(np.arange(len(at)), [len(x) for x in at])
         flat = np.concatenate(at) if at else np.empty(0, np.int64)
 
@@ -208,12 +240,11 @@ class Aligner:
             keys, n = np.unique(keys, return_counts=True)
             return keys // size, keys % size, n
 
-        size_a = len(self.len_a)
         return (
             sums,
             digests,
-            distinct(self._same, self._same_at, 4, size_a),
-            distinct(self._other, self._other_at, 5, size_a * self.size_b),
+            distinct(self._same, self._same_at, 4, self.size_a),
+            distinct(self._other, self._other_at, 5, self.size_a * self.size_b),
         )
 
 
@@ -252,10 +283,10 @@ def _aligned(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = aligner(path_a, path_b)
-        same = np.zeros(len(coder.len_a), np.int64)
+        same = np.zeros(coder.size_a, np.int64)
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            for part in pieces(batch, "__text", ENCODE_BYTES):
+            for part in pieces(batch, "__text", ALIGN_BYTES):
                 sums, digests, ones, others = coder.align(texts_of(part, "__text"))
                 n = part.num_rows
                 np.add.at(same, ones[1], ones[2])
