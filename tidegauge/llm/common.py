@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -41,6 +43,15 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 def sliced(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from pieces(batch, column)
+        hand_back()
+    hand_back()
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system: workers live on from stage to stage beside a full heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps the memory
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:

@@ -11,7 +11,8 @@ A window is ``window`` consecutive words of one document. Each document is cut i
 
 Both steps deal hashes out by value, in packed rows: one per bucket and chunk (a few megabytes of text).
 What a chunk holds twice it settles by itself and tells the bucket once, so a passage of a third of all
-texts puts one entry per chunk into a bucket, not one per text. Buckets hold about a million hashes each.
+texts puts one entry per chunk into a bucket, not one per text. Buckets hold about a million hashes each; what is
+sent of a stretch are the 32 bits of its hash below those of the bucket.
 
 Words are stretches of anything but ASCII white space, compared as they are. Null texts have no words;
 texts with fewer words than a window lose none. Keys may be null or repeated: every row is a document,
@@ -32,16 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bpe import spread
-from tidegauge.llm.common import pieces
+from tidegauge.llm.common import hand_back, pieces
 from tidegauge.session import cut
 
 WINDOW = 35
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Hashes in a bucket, about.
 BUCKET = 1_000_000
 #: Words whose hashes a worker remembers.
-WORD_LIMIT = 1_000_000
+WORD_LIMIT = 250_000
 _STEP = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -102,26 +103,49 @@ def _split(batch: pa.RecordBatch, column: str) -> list[list[bytes]]:
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each hash by its 24 upper bits; sorted hashes have sorted buckets."""
-    return ((hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    """The bucket of each hash by its upper bits; ``buckets`` is a power of two, sorted hashes have sorted buckets."""
+    return (hashes >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(hashes), np.int64)
 
 
-def _low(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 40 lower bits, as 32 and 8."""
-    return hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint8)
+def _below(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The 32 bits below those of the bucket."""
+    return (hashes >> np.uint64(32 - buckets.bit_length() + 1)).astype(np.uint32)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of all values, then the next ones: high bytes are mostly zero, and pack well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unplaned(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _parts(at: np.ndarray, buckets: int, *columns: np.ndarray) -> list[list[bytes]]:
-    """Each column's bytes by bucket; ``at`` is sorted."""
+    """Each column's bytes by bucket, in planes; ``at`` is sorted."""
     ends = np.searchsorted(at, np.arange(buckets + 1))
-    return [[x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in columns]
+    cuts = list(zip(ends[:-1], ends[1:], strict=True))
+    return [[_planes(x[a:b]) for a, b in cuts] for x in columns]
 
 
-def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+def _steps(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sorted numbers as steps from the one before in the same bucket."""
+    steps = np.diff(values, prepend=values[:1])
+    new = np.r_[True, at[1:] != at[:-1]] if len(at) else np.empty(0, bool)
+    steps[new] = values[new]
+    return steps
 
 
-_PROBES = "bucket int, low binary, high binary, many_low binary, many_high binary, key binary, uid binary, block binary"
+def _joined(table: pa.Table, column: str, kind: type, steps: bool = False) -> np.ndarray:
+    """The numbers of all rows, one row after the other."""
+    parts = [_unplaned(x.as_buffer(), kind) for x in table.column(column)]
+    if steps:
+        parts = [np.cumsum(x, dtype=kind) for x in parts]
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+_PROBES = "bucket int, once binary, more binary, key binary, uid binary, block binary"
 _EDGES = "bucket int, hash binary, tail binary, uid binary, start binary"
 
 
@@ -131,17 +155,16 @@ def _names(schema: str) -> list[str]:
 
 def _rows(schema: str, columns: list[list[bytes]]) -> pa.RecordBatch:
     """Rows with what they hold for each bucket; empty ones are left out."""
-    names = _names(schema)
     filled = [i for i, row in enumerate(zip(*columns, strict=True)) if any(row)]
     arrays = [pa.array(filled, pa.int32())]
     arrays += [pa.array([x[i] for i in filled], pa.binary()) for x in columns]
-    return pa.RecordBatch.from_arrays(arrays, names)
+    return pa.RecordBatch.from_arrays(arrays, _names(schema))
 
 
 def _settled(schema: str, bucket: int, **known: np.ndarray) -> pa.RecordBatch:
     """A row that passes an answer on."""
     arrays = [pa.array([bucket], pa.int32())]
-    arrays += [pa.array([known[x].tobytes() if x in known else b""], pa.binary()) for x in _names(schema)[1:]]
+    arrays += [pa.array([_planes(known[x]) if x in known else b""], pa.binary()) for x in _names(schema)[1:]]
     return pa.RecordBatch.from_arrays(arrays, _names(schema))
 
 
@@ -174,32 +197,29 @@ def anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 twice = n[at] > 1
                 if twice.any():
                     turn += 1
-                    settled = {"uid": uid[twice], "block": number[twice]}
-                    yield _settled(_PROBES, int(uid[twice][0] + turn) % buckets, **settled)
+                    yield _settled(_PROBES, int(uids[0] + turn) % buckets, uid=uid[twice], block=number[twice])
                 order = np.argsort(at[~twice], kind="stable")
-                single = (at[~twice][order], uid[~twice][order], number[~twice][order])
-                of = _bucket(found, buckets)
-                columns = _parts(of[n == 1], buckets, *_low(found[n == 1]))
-                columns += _parts(of[n > 1], buckets, *_low(found[n > 1]))
-                columns += _parts(of[single[0]], buckets, found[single[0]], single[1], single[2])
+                single, uid, number = at[~twice][order], uid[~twice][order], number[~twice][order]
+                of, short = _bucket(found, buckets), _below(found, buckets)
+                columns = [_parts(of[x], buckets, _steps(of[x], short[x]))[0] for x in (n == 1, n > 1, single)]
+                columns += _parts(of[single], buckets, uid, number)
                 yield _rows(_PROBES, columns)
+            hand_back()
 
     def meet(rows: pa.Table) -> pa.Table:
         asked = pc.greater(pc.binary_length(rows.column("key")), 0)
         kept, passed = rows.filter(asked), rows.filter(pc.invert(asked))
-        low = np.uint64((1 << 40) - 1)
-        keys, uid, block = _joined(kept, "key", np.uint64) & low, _joined(kept, "uid", np.int64), _joined(kept, "block", np.int32)
+        keys = _joined(kept, "key", np.uint32, steps=True)
         index = np.unique(keys)
         seen = np.zeros(len(index) + 1, np.int64)
-        for prefix, weight in (("", 1), ("many_", 2)):
-            stretch = _joined(rows, f"{prefix}high", np.uint8).astype(np.uint64) << np.uint64(32)
-            stretch |= _joined(rows, f"{prefix}low", np.uint32)
+        for column, weight in (("once", 1), ("more", 2)):
+            stretch = _joined(rows, column, np.uint32, steps=True)
             at = np.searchsorted(index, stretch)
-            met = np.r_[index, np.uint64(1 << 63)][at] == stretch
+            met = (at < len(index)) & (np.r_[index, np.uint32(0)][at] == stretch)
             seen += weight * np.bincount(at[met], minlength=len(seen))
         hit = seen[np.searchsorted(index, keys)] > 1
-        uid = np.r_[uid[hit], _joined(passed, "uid", np.int64)]
-        block = np.r_[block[hit], _joined(passed, "block", np.int32)]
+        uid = np.r_[_joined(kept, "uid", np.int64)[hit], _joined(passed, "uid", np.int64)]
+        block = np.r_[_joined(kept, "block", np.int32)[hit], _joined(passed, "block", np.int32)]
         return pa.table({"uid": uid, "block": block.astype(np.int32)})
 
     return docs.select("uid", "__text").mapInArrow(probe, _PROBES).groupBy("bucket").applyInArrow(meet, "uid long, block int")
@@ -209,7 +229,7 @@ def repeated(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """``uid`` and ``starts``: where windows start whose words start elsewhere too, in no order."""
     size = (window + 1) // 2
     found = anchors(docs, window, buckets).groupBy("uid").agg(F.collect_list("block").alias("blocks"))
-    around = docs.join(found, "uid").select("uid", "__text", "blocks")
+    around = docs.join(found, "uid")
 
     def edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, turn = words(), 0
@@ -236,11 +256,11 @@ def repeated(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 alone = new & last
                 if not alone.all():
                     turn += 1
-                    settled = {"uid": uid[~alone], "start": start[~alone]}
-                    yield _settled(_EDGES, int(settled["uid"][0] + turn) % buckets, **settled)
+                    yield _settled(_EDGES, int(uid[0] + turn) % buckets, uid=uid[~alone], start=start[~alone])
                 uid = np.where(alone, uid, -1)
                 sent = [x[new] for x in (a, b, uid, start)]
                 yield _rows(_EDGES, _parts(_bucket(sent[0], buckets), buckets, *sent))
+            hand_back()
 
     def meet(rows: pa.Table) -> pa.Table:
         asked = pc.greater(pc.binary_length(rows.column("hash")), 0)
@@ -258,7 +278,7 @@ def repeated(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         offsets = np.r_[first, len(order)].astype(np.int32)
         return pa.table({"uid": uid, "starts": pa.ListArray.from_arrays(offsets, pa.array(start[order]))})
 
-    answers = around.mapInArrow(edges, _EDGES).groupBy("bucket").applyInArrow(meet, "uid long, starts array<int>")
+    answers = around.select("uid", "__text", "blocks").mapInArrow(edges, _EDGES).groupBy("bucket").applyInArrow(meet, "uid long, starts array<int>")
     return answers.groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
@@ -270,8 +290,10 @@ def without_repeats(
     spark = df.sparkSession
     named = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
     docs = cut(named.withColumn("uid", F.monotonically_increasing_id()), "repeat-texts")
+    docs = docs.where("uid is not null")  # so that both joins below read one and the same exchange
     total = docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     buckets = max(int(total / 5 / bucket), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 1 << min((buckets - 1).bit_length(), 24)
     found = docs.join(repeated(docs, window, buckets), "uid", "left").select("__key", "__text", "starts")
 
     def drop(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
