@@ -117,6 +117,22 @@ def test_join_of_odd_documents(odd_docs, no_docs):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
 
 
+def test_first_of_each_decides_by_row_where_ids_repeat(spark):
+    base = [f"b{i}" for i in range(60)]
+    near, other = " ".join([*base[:-1], "x"]), " ".join(f"u{i}" for i in range(50))
+    rows = [
+        (3, " ".join(base), "a"), (5, near, "b"), (5, other, "c"), (5, other.upper(), "d"), (6, near, "e"),
+        (7, " ".join([*base[:-2], "x", "y"]), "f"), (8, other, "g"), (None, other, "h"), (9, "", "i"), (9, None, "j"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = jaccard.first_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r["node"] for r in kept.collect())
+    assert got in (["a", "c", "h", "i", "j"], ["a", "d", "h", "i", "j"])  # of equal sets of one id either stays
+    plain = jaccard.first_of_each(docs.where("doc_id in (3, 6, 7, 8)"))
+    assert sorted(r["doc_id"] for r in plain.collect()) == [3, 8]
+
+
 def test_op4(spark, folder):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op4_jaccard(spark, folder).collect()}

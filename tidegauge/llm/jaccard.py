@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ class Settings:
     #: Segments per shingle of a band's largest set, by that size.
     segments: tuple[tuple[int, float], ...] = ((150, 1.0), (400, 0.6), (1 << 62, 0.45))
     #: Signatures that a bucket holds on average.
-    bucket: int = 3_000_000
+    bucket: int = 1_000_000
     #: Shingles of the sets that a task compares with another such block.
     block: int = 200_000
 
@@ -230,13 +231,15 @@ def _emit(docs: DataFrame, settings: Settings, buckets: int) -> DataFrame:
                 own = order[bounds[b] : bounds[b + 1]]
                 if not len(own):
                     continue
-                there, owner = np.unique(s.owner[own], return_inverse=True)
-                low = s.sig[own] & _LOW
-                rows.append((
-                    b, low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint8).tobytes(),
-                    owner.astype(np.uint32 if len(there) > 65535 else np.uint16).tobytes(), s.kind[own].tobytes(), s.segment[own].tobytes(),
-                    s.node[there].tobytes(), s.band[there].astype(np.uint8).tobytes(), s.spare[there].astype(np.int32).tobytes(),
-                ))
+                part_of = s.owner[own] >> 16  # so that the number of an owner in its row has two bytes
+                for some in (own[part_of == x] for x in np.unique(part_of)):
+                    there, owner = np.unique(s.owner[some], return_inverse=True)
+                    low = s.sig[some] & _LOW
+                    rows.append((
+                        b, low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint8).tobytes(),
+                        owner.astype(np.uint16).tobytes(), s.kind[some].tobytes(), s.segment[some].tobytes(),
+                        s.node[there].tobytes(), s.band[there].astype(np.uint8).tobytes(), s.spare[there].astype(np.int32).tobytes(),
+                    ))
             yield _rows(rows, _PACKED)
 
     return docs.select("text").mapInArrow(run, _PACKED)
@@ -249,20 +252,24 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Owners (node, band, spare) and entries (low, owner, kind, segment) of all rows of a group."""
-    parts, base = [], 0
-    for row in table.to_pylist():
-        low = np.frombuffer(row["low"], np.uint32).astype(np.int64)
-        low |= np.frombuffer(row["high"], np.uint8).astype(np.int64) << 32
-        node = np.frombuffer(row["node"], np.int64)
-        owner = np.frombuffer(row["owner"], np.uint16 if len(row["owner"]) == 2 * len(low) else np.uint32)
-        parts.append((
-            node, np.frombuffer(row["band"], np.uint8), np.frombuffer(row["spare"], np.int32), low,
-            owner.astype(np.int64) + base, np.frombuffer(row["kind"], np.uint8), np.frombuffer(row["segment"], np.uint8),
-        ))
-        base += len(node)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+def _flat(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    """The bytes of all rows of a binary column, one after the other, as numbers; read where they are."""
+    parts = []
+    for chunk in table.column(column).chunks:
+        if len(chunk):
+            offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            raw = chunk.buffers()[2]
+            if raw is not None and offsets[-1] > offsets[0]:
+                parts.append(np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]])
+    whole = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint8)
+    return np.ascontiguousarray(whole).view(kind)
+
+
+def _owners(table: pa.Table, local: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of owners within the group in place of those within a row; ``size`` is bytes per number."""
+    nodes_ = pc.binary_length(table.column("node")).to_numpy() // 8
+    entries = pc.binary_length(table.column("owner")).to_numpy() // size
+    return local.astype(np.int64) + np.repeat(np.cumsum(nodes_) - nodes_, entries)
 
 
 _SHARED = "place int, owner binary, state binary, segment binary, cost binary, sig binary, node binary, band binary, spare binary"
@@ -276,14 +283,18 @@ def _share(packed: DataFrame, buckets: int, places: int) -> DataFrame:
         if bucket == buckets:
             names = b"".join(table.column("node").to_pylist())
             return pa.Table.from_batches([_rows([(places, *[b""] * 5, names, b"", b"")], _SHARED)])
-        node, band, spare, low, owner, kind, segment = _unpack(table)
+        low = _flat(table, "low", np.uint32).astype(np.int64)
+        low |= _flat(table, "high", np.uint8).astype(np.int64) << 32
         order = np.argsort(low)
-        low, owner, kind, segment = low[order], owner[order], kind[order], segment[order]
+        low = low[order]
         start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         size = np.diff(np.r_[start, len(low)])
         many = np.repeat(size > 1, size)
-        low, owner, kind, segment = low[many], owner[many], kind[many], segment[many]
+        order, low = order[many], low[many]
         size = size[size > 1]
+        owner = _owners(table, _flat(table, "owner", np.uint16), 2)[order]
+        kind, segment = _flat(table, "kind", np.uint8)[order], _flat(table, "segment", np.uint8)[order]
+        node, band, spare = _flat(table, "node", np.int64), _flat(table, "band", np.uint8), _flat(table, "spare", np.int32)
         start = np.cumsum(size) - size
         rows = []
         if len(size):
@@ -326,16 +337,10 @@ def _allocate(shared: DataFrame, places: int) -> DataFrame:
             names = np.unique(np.frombuffer(b"".join(table.column("node").to_pylist()), np.int64))
             nothing, no = pa.nulls(len(names), pa.int64()), pa.array(np.zeros(len(names), bool))
             return pa.table({"sig": nothing, "node": names, "whole": no, "probe": no, "weight": np.zeros(len(names), np.int64)})
-        parts, base = [], 0
-        for row in table.to_pylist():
-            node = np.frombuffer(row["node"], np.int64)
-            parts.append((
-                node, np.frombuffer(row["band"], np.uint8), np.frombuffer(row["spare"], np.int32),
-                np.frombuffer(row["owner"], np.int32).astype(np.int64) + base, np.frombuffer(row["state"], np.uint8),
-                np.frombuffer(row["segment"], np.uint8), np.frombuffer(row["cost"], np.int32), np.frombuffer(row["sig"], np.int64),
-            ))
-            base += len(node)
-        node, band, spare, owner, state, segment, cost, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
+        owner = _owners(table, _flat(table, "owner", np.int32), 4)
+        node, band, spare = _flat(table, "node", np.int64), _flat(table, "band", np.uint8), _flat(table, "spare", np.int32)
+        state, segment = _flat(table, "state", np.uint8), _flat(table, "segment", np.uint8)
+        cost, sig = _flat(table, "cost", np.int32), _flat(table, "sig", np.int64)
         name, level, spare = node[owner], band[owner].astype(np.int64), spare[owner]
         order = np.lexsort((state, sig, segment, level, name))  # copies of a set report the same entries
         name, level, spare, state, segment, cost, sig = (x[order] for x in (name, level, spare, state, segment, cost, sig))
@@ -464,12 +469,8 @@ def _own_items(sets: DataFrame, settings: Settings) -> DataFrame:
                 yield _rows(rows, _ITEMS)
 
     def shared(table: pa.Table) -> pa.Table:
-        parts = []
-        for row in table.to_pylist():
-            owner = np.frombuffer(row["owner"], np.uint16)
-            names = [np.frombuffer(row[x], np.int64)[owner] for x in ("node", "root")]
-            parts.append((np.frombuffer(row["item"], np.int64), *names))
-        item, node, root = (np.concatenate(x) for x in zip(*parts, strict=True))
+        owner = _owners(table, _flat(table, "owner", np.uint16), 2)
+        item, node, root = _flat(table, "item", np.int64), _flat(table, "node", np.int64)[owner], _flat(table, "root", np.int64)[owner]
         order = np.argsort(item)
         item, node, root = item[order], node[order], root[order]
         start = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
@@ -597,22 +598,35 @@ def _against_all(docs: DataFrame, sets: DataFrame, crowded: DataFrame, settings:
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` for every row of ``df``."""
-    settings = settings or Settings()
-    docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = _placed(df, key, text, settings or Settings())
+    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _named(rows: DataFrame, settings: Settings) -> DataFrame:
+    """All columns but ``text``, which is the last, and ``n`` and ``node``, the size and name of its set."""
+    kept = rows.columns[:-1]
 
     def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text"):
             flat, sizes = shingles(part.column("text"), settings.words)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(nodes(flat, sizes))], ["id", "n", "node"])
+            columns = [*part.columns[:-1], pa.array(sizes), pa.array(nodes(flat, sizes))]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "n", "node"])
+
+    return rows.mapInArrow(name, rows.drop("text").schema.add("n", "long").add("node", "long"))
+
 
-    named = cut(docs.mapInArrow(name, "id long, n long, node long"), "named")
+def _placed(df: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
+    """``id``, ``n``, ``node``, the name ``root`` of its component and ``component``, its smallest id, of every row."""
+    docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+
+    named = cut(_named(docs, settings), "named")
     there = docs.where(F.col("id").isNotNull())
     own = named.where(F.col("id").isNotNull() & (F.col("n") > 0))
     total = own.agg(F.sum("n")).first()[0]
     if not total:
-        return named.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+        return named.withColumns({"root": F.col("node"), "component": F.col("id")})
     buckets = max(1, round(total * 0.65 / settings.bucket))
-    places = max(1, buckets // 3)
+    places = buckets
     entries = cut(_allocate(_share(_emit(there, settings, buckets), buckets, places), places), "entries")
     sets = _sets(there, own, entries.select("node").distinct(), settings)
     links = _links(entries.where(F.col("sig").isNotNull()), sets, settings)
@@ -623,20 +637,31 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Setti
     smallest = placed.groupBy("root").agg(F.min("id").alias("component"))
     # one row per node again, so that copies meet a narrow table
     by_node = placed.select("node", "root").distinct().join(smallest, "root")
-    by_node = by_node.select("node", "component", F.lit(True).alias("has"))
+    by_node = by_node.select("node", "root", "component", F.lit(True).alias("has"))
     has = (F.col("n") > 0) & F.col("id").isNotNull()
     rows = named.withColumn("has", has).join(by_node, ["node", "has"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows.select("id", "n", "node", "root", component.alias("component"))
 
 
 def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
-    """The rows of ``df`` that are the smallest id of their component, with all their columns.
+    """One row of each component, with all its columns: of the smallest id, and of its rows the one whose
+    set has the smallest name.
 
-    Rows without shingles or without an id stay. Of rows that repeat both id and text one stays.
+    Rows without shingles or without an id stay, as does each row of an id whose text is in a component
+    of its own. Of rows with one id and the same set one stays.
     """
-    found = join(df, key, text, settings)
-    moved = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__moved")).distinct()
-    kept = df.join(moved, F.col(f"`{key}`") == F.col("__moved"), "left_anti")
-    repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
-    return kept.dropDuplicates([key, text]) if repeated.take(1) else kept
+    settings = settings or Settings()
+    placed = cut(_placed(df, key, text, settings), "placed")
+    own = placed.where(F.col("id").isNotNull() & (F.col("n") > 0))
+    twice = own.groupBy("id").count().where("count > 1")
+    if not twice.take(1):  # then the id says which row it is
+        moved = own.where(F.col("id") != F.col("component")).select(F.col("id").alias("__moved"))
+        return df.join(moved, F.col(f"`{key}`").cast("long") == F.col("__moved"), "left_anti")
+    # the root tells components apart, as one id may be the smallest of several
+    first = own.groupBy("root").agg(F.min(F.struct("id", "node")).alias("x")).select("x.id", "x.node", F.lit(True).alias("first"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = _named(rows, settings).join(first, ["id", "node"], "left")
+    free = F.col("id").isNull() | (F.col("n") == 0)
+    once = rows.where(~free & F.col("first")).dropDuplicates(["id", "node"])
+    return rows.where(free).unionByName(once).select(*[F.col(f"__row.`{c}`") for c in df.columns])
