@@ -9,11 +9,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import windows
+from tidegauge.operators import autoreg, forecast, windows
 from tidegauge.operators.order import (
     Layout,
     fill_gaps,
-    in_slices,
     number_rows,
     over_rows,
     settle,
@@ -247,9 +246,45 @@ def test_sizes_stay_with_a_settled_layout(spark):
     df = spark.range(3000).select((F.col("id") % 500).alias("k"), "id")
     settled = settle(df, ["k"], Layout(slice_rows=300))
     assert (settled.how, settled.largest, settled.total) == ("grouped", 6, 3000)
-    for how in (settled, Layout("grouped", slice_rows=300), Layout(slice_rows=300)):
-        spread, group, _ = in_slices(df, keys=["k"], order=["id"], before=1, layout=how)
-        assert spread.select(group).distinct().count() == 10
+
+
+def recurrence(values, alpha):
+    level, out = None, []
+    for x in values:
+        level = x if level is None else alpha * x + (1 - alpha) * level
+        out.append(level)
+    return out
+
+
+@pytest.mark.parametrize("how", ["grouped", "sliced"])
+@pytest.mark.parametrize(("alpha", "rows"), [(1e-6, 100), (0.001, 7), (0.3, 400), (1 - 1e-12, 400)])
+def test_smoothing_keeps_the_whole_history(spark, how, alpha, rows):
+    """Far more rows than a block holds, slices of a few rows, and a first value that outweighs the rest."""
+    r = np.random.default_rng(4)
+    n = 3000
+    x = np.where(np.arange(n) == 0, 1e9, r.normal(size=n))
+    x[1500:1900] = 0.0
+    df = spark.createDataFrame([(i % 2, i, float(v)) for i, v in enumerate(np.repeat(x, 2))], "k int, id long, x double")
+    for keys, pick in (([], np.repeat(x, 2)), (["k"], x)):
+        out = windows.smooth(df, "x", alpha, keys=keys, order=["id"], layout=Layout(how, slice_rows=rows))
+        got = out.where("k = 0").orderBy("id").select("smoothed").toPandas()["smoothed"].to_numpy()
+        want = np.array(recurrence(pick, alpha))[:: 1 if keys else 2]
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-300)
+
+
+def test_smoothing_of_tied_times_is_one_answer(spark):
+    rows = spark.range(4000).select(
+        (F.col("id") % 37).alias("ts"), (F.xxhash64("id") % 1000).cast("double").alias("x"), F.lit(1).alias("k")
+    )
+    for keys in ([], ["k"]):
+        seen = set()
+        for frame, layout in ((rows, Layout("grouped")), (rows.orderBy("x"), Layout("sliced", slice_rows=400))):
+            out = windows.smooth(frame, "x", 0.3, keys=keys, order=["ts"], layout=layout)
+            ends = forecast.forecast_paths(frame, "x", forecast.exponential_smoothing(), 1, keys=keys, order=["ts"], layout=layout)
+            last = autoreg.fit_autoregression(frame, "x", keys=keys, order=["ts"], layout=layout)
+            row = out.agg(F.sum(F.col("x") * F.col("smoothed"))).first()[0]
+            seen.add((round(row, 3), round(ends.first()["forecast"], 9), round(last.first()["rss"], 4)))
+        assert len(seen) == 1
 
 
 def test_maps_may_stand_beside_ordered_columns(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import compare
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -25,7 +26,9 @@ def test_query_equals_sql(spark, con, name):
 
 def test_whole_job_over_line_items(spark):
     out = entry.queries()["processed_shipments"](spark, FOLDER)
-    assert out.count() > 0 and "scaled_features" in out.columns
+    scaled = [c for c in out.columns if c.startswith("s") and c[1:].isdigit()]
+    assert out.count() > 0 and scaled == [f"s{i}" for i in range(15)]
+    assert out.select(*[F.count(c) for c in scaled]).first()[0] > 0
 
 
 def test_entry_has_rows(spark):

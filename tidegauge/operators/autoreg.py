@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..columns import c
 from .forecast import DEFAULT_STEPS, _by_step, check_steps
-from .order import AUTO, Layout, fill_gaps, settle
+from .order import AUTO, TIE, Layout, fill_gaps, settle, with_ties
 from .windows import lags
 
 # Grid of orders, least number of points.
@@ -24,7 +24,7 @@ _LAGS = 3
 
 
 def _lagged(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], layout: Layout) -> DataFrame:
-    rows = df.select(*[c(n) for n in dict.fromkeys([*keys, *order, value])])
+    rows = with_ties(df, keys, order).select(*[c(n) for n in dict.fromkeys([*keys, *order, value, TIE])])
     rows = fill_gaps(rows, [value], keys=keys, order=order, how="both", layout=layout)
     rows = rows.where(c(value).isNotNull())
     return lags(
@@ -117,7 +117,7 @@ def _fitted(
     ends = F.array(*[F.col(f"__l{k}").cast("double") for k in (2, 1)], c(value).cast("double"))
     moments = rows.groupBy(*[c(k) for k in keys]).agg(
         *[e.alias(n) for n, e in _moments(value).items()],
-        F.max_by(ends, F.struct(*[c(o) for o in order])).alias("__tail"),
+        F.max_by(ends, F.struct(*[c(o) for o in [*order, TIE]])).alias("__tail"),
     )
     return (
         moments.where(F.col("points") >= MIN_POINTS)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..columns import attach, c, present, quoted
+from ..columns import attach, c, hashable, present, quoted
 from ..session import cut
 from .order import AUTO, Layout, fill_gaps, over_rows, settle
 from .quantiles import quantiles
@@ -152,7 +152,7 @@ def dedupe_ts(
     Spark limits each group to one row on the map side, so many copies of one stamp stay cheap.
     """
     by = [*keys, ts]
-    order = [c(n) for n in (tie or [n for n in df.columns if n not in by])] or [F.lit(1)]
+    order = [hashable(df, n) for n in (tie or [n for n in df.columns if n not in by])] or [F.lit(1)]
     w = Window.partitionBy(*[c(b) for b in by]).orderBy(*order)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r")
 

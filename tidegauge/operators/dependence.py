@@ -107,7 +107,7 @@ def notable_pairs(
 def pair_summary(notable: DataFrame) -> DataFrame:
     """Counts of notable pairs, of strong, positive and negative ones, and the strongest pair."""
     r = F.col("r")
-    best = F.max_by(F.struct("a", "b", "r"), F.abs(r))
+    best = F.min_by(F.struct("a", "b", "r"), F.struct(-F.abs(r), "a", "b"))  # among equals the first names
     return notable.agg(
         F.count(F.lit(1)).alias("total_pairs"),
         F.count_if(F.col("strength") == "strong").alias("strong_pairs"),
@@ -155,7 +155,7 @@ def graded_covariates(rs: DataFrame, strong: float = 0.7, moderate: float = 0.4)
 def covariate_impact(significant: DataFrame) -> DataFrame:
     """Per covariate: most affected value, its r, and how many pairs are positive or negative."""
     r = F.col("r")
-    best = F.max_by(F.struct("value", "r"), F.abs(r))
+    best = F.min_by(F.struct("value", "r"), F.struct(-F.abs(r), "value"))  # among equals the first name
     return significant.groupBy("covariate").agg(
         best["value"].alias("most_affected"),
         best["r"].alias("most_affected_r"),
@@ -167,9 +167,9 @@ def covariate_impact(significant: DataFrame) -> DataFrame:
 
 def most_influential(impact: DataFrame) -> DataFrame:
     """The covariate with most significant pairs; the larger single effect decides a tie."""
-    rank = F.struct(F.col("pairs"), F.abs(F.col("most_affected_r")))
+    rank = F.struct(-F.col("pairs"), -F.abs(F.col("most_affected_r")), "covariate")
     return impact.agg(
-        F.max_by("covariate", rank).alias("covariate"), F.max("pairs").alias("pairs")
+        F.min_by("covariate", rank).alias("covariate"), F.max("pairs").alias("pairs")
     )
 
 

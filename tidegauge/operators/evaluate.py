@@ -230,13 +230,15 @@ def backtest_forecasts(
     _check_folds(n_splits, test_size)
     held = n_splits * test_size
     got = tails(
-        df, value, held + max(min_train, method.reach), keys=keys, order=order, layout=layout
+        df, value, held + max(min_train, method.reach), keys=keys, order=order, layout=layout, alphas=method.alphas
     )
     fold = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("fold")
-    folds = got.where(F.size("tail") >= held + min_train).select(*[c(k) for k in keys], "tail", fold)
+    folds = got.where(F.size("tail") >= held + min_train).select(
+        *[c(k) for k in keys], "tail", F.col(method.source).alias("__source"), fold
+    )
     end = F.size("tail") - (F.lit(n_splits) - F.col("fold")) * test_size
     train = folds.withColumns(
-        {"__train": F.slice("tail", F.lit(1), end), "__test": F.slice("tail", end + 1, F.lit(test_size))}
+        {"__train": F.slice("__source", F.lit(1), end), "__test": F.slice("tail", end + 1, F.lit(test_size))}
     )
     paths = train.withColumn("__path", method.path(F.col("__train"), test_size))
     pairs = F.posexplode(F.arrays_zip(F.col("__test").alias("a"), F.col("__path").alias("p")))

@@ -1,8 +1,8 @@
 """Simple forecasts of many series at once.
 
-Every method here needs only the last values of a series. Those are taken per key (bounded, limited
-on the map side), kept as one array, and the forecast path is an array expression over it, so the
-work per key does not depend on the length of its history.
+Every method here needs only the last values of a series, or the last levels of the smoothed series.
+Those are taken per key (bounded, limited on the map side), kept as one array, and the forecast path is
+an array expression over it. Levels are of the whole history; only values need no look at it.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import c
-from .order import AUTO, Layout, tail_rows
-from .windows import smooth_reach
+from .order import AUTO, TIE, Layout, settle, tail_rows, with_ties
+from .windows import smooth
 
 # The forecast horizon limits, the interval factor.
 MAX_STEPS, DEFAULT_STEPS = 168, 24
@@ -36,16 +36,41 @@ def tails(
     keys: Sequence[str] = (),
     order: Sequence[str],
     layout: Layout = AUTO,
+    alphas: Sequence[float] = (),
 ) -> DataFrame:
-    """The last ``n`` non-null values of each key, oldest first, and the time of the last one."""
-    rows = df.where(c(value).isNotNull()).select(*[c(x) for x in dict.fromkeys([*keys, *order, value])])
+    """The last ``n`` non-null values of each key, oldest first, and the time of the last one.
+
+    For each of ``alphas`` a further array has the levels of the smoothed series at these rows.
+    """
+    rows = with_ties(df.where(c(value).isNotNull()), keys, order)
+    rows = rows.select(*[c(x) for x in dict.fromkeys([*keys, *order, value, TIE])])
+    layout = settle(rows, keys, layout)
+    for alpha in alphas:
+        rows = smooth(rows, value, alpha, keys=keys, order=order, name=_level(alpha), layout=layout)
     last = tail_rows(rows, n, keys=keys, order=order, layout=layout)
-    entry = F.struct(*[c(o).alias(f"o{i}") for i, o in enumerate(order)], c(value).cast("double").alias("x"))
+    arrays = {"tail": value, **{_level(a): _level(a) for a in alphas}}
+    entry = F.struct(
+        *[c(o).alias(f"o{i}") for i, o in enumerate([*order, TIE])],
+        *[c(x).cast("double").alias(f"x{i}") for i, x in enumerate(arrays.values())],
+    )
     # At most n entries per key.
-    return last.groupBy(*[c(k) for k in keys]).agg(
-        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["x"]).alias("tail"),
-        F.max(c(order[0])).alias("last_ts"),
+    got = last.groupBy(*[c(k) for k in keys]).agg(
+        F.sort_array(F.collect_list(entry)).alias("__entries"), F.max(c(order[0])).alias("last_ts")
     )
+    return got.select(
+        *[c(k) for k in keys],
+        *[_field("__entries", f"x{i}").alias(n) for i, n in enumerate(arrays)],
+        "last_ts",
+    )
+
+
+def _field(entries: str, name: str) -> Column:
+    return F.transform(entries, lambda e: e[name])
+
+
+def _level(alpha: float) -> str:
+    """Name of the array of levels; no dots in it."""
+    return f"level_{alpha!r}".replace(".", "_")
 
 
 def _total(xs: Column) -> Column:
@@ -99,24 +124,32 @@ def seasonal_naive_path(tail: Column, steps: int, period: int = 24) -> Column:
     )
 
 
-def smoothing_path(tail: Column, steps: int, alpha: float = 0.3) -> Column:
-    """Level of the exponentially smoothed series; older values than the tail have no weight left."""
-    level = F.aggregate(
-        F.slice(tail, F.lit(2), F.size(tail)),
-        F.get(tail, F.lit(0)),
-        lambda s, x: x * alpha + s * (1 - alpha),
-    )
-    return _repeat(level, steps)
+def smoothing_path(levels: Column, steps: int) -> Column:
+    """The last level of the exponentially smoothed series, repeated."""
+    return _repeat(F.element_at(levels, -1), steps)
 
 
 @dataclass(frozen=True)
 class Method:
-    """A forecast method over tails: how far back it looks, the least rows, its path."""
+    """A forecast method over tails: how far back it looks, the least rows, its path.
+
+    With ``alpha`` the path is made of the smoothed series' levels in place of the values.
+    """
 
     name: str
     reach: int
     minimum: int
     path: Callable[[Column, int], Column]
+    alpha: float | None = None
+
+    @property
+    def source(self) -> str:
+        """The array of ``tails`` that the path is made of."""
+        return "tail" if self.alpha is None else _level(self.alpha)
+
+    @property
+    def alphas(self) -> list[float]:
+        return [] if self.alpha is None else [self.alpha]
 
 
 def moving_average(window: int = 24) -> Method:
@@ -141,8 +174,7 @@ def seasonal_naive(period: int = 24) -> Method:
 
 
 def exponential_smoothing(alpha: float = 0.3) -> Method:
-    reach = max(10, smooth_reach(alpha) + 1)
-    return Method("exponential_smoothing", reach, 10, lambda t, h: smoothing_path(t, h, alpha))
+    return Method("exponential_smoothing", 10, 10, smoothing_path, alpha)
 
 
 def simple_methods(window: int = 24, alpha: float = 0.3, period: int = 24) -> list[Method]:
@@ -187,9 +219,9 @@ def forecast_paths(
     layout: Layout = AUTO,
 ) -> DataFrame:
     """(keys…, step, forecast); series with too few values give no rows."""
-    got = tails(df, value, method.reach, keys=keys, order=order, layout=layout)
+    got = tails(df, value, method.reach, keys=keys, order=order, layout=layout, alphas=method.alphas)
     ready = got.where(F.size("tail") >= method.minimum).withColumn(
-        "__path", method.path(F.col("tail"), check_steps(steps))
+        "__path", method.path(F.col(method.source), check_steps(steps))
     )
     return _by_step(ready, keys, {"forecast": F.col("__path")})
 
@@ -238,9 +270,10 @@ def ensemble_forecast(
     methods = list(methods or simple_methods())
     reach = max(m.reach for m in methods)
     least = max(m.minimum for m in methods)
-    got = tails(df, value, reach, keys=keys, order=order, layout=layout)
+    alphas = list(dict.fromkeys(a for m in methods for a in m.alphas))
+    got = tails(df, value, reach, keys=keys, order=order, layout=layout, alphas=alphas)
     paths = got.where(F.size("tail") >= least).withColumns(
-        {m.name: m.path(F.col("tail"), check_steps(steps)) for m in methods}
+        {m.name: m.path(F.col(m.source), check_steps(steps)) for m in methods}
     )
     out = _by_step(paths, keys, {m.name: F.col(m.name) for m in methods})
     every = F.array(*[F.col(m.name) for m in methods])

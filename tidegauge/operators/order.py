@@ -14,7 +14,8 @@ Each function here has two layouts:
 
 ``order`` should identify rows (time plus an id) wherever ties would make the result ambiguous. Rows
 that tie are put in the order of a hash of their other columns, in both layouts alike, so a result
-does not depend on the size of the table.
+does not depend on the size of the table. Steps that follow each other, on ever fewer or more columns,
+take the hash once, on the whole rows they start from (``with_ties``), and carry it.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ SLICE_ROWS = 250_000
 _PARTITION_ROWS, _MAX_PARTITIONS = 8_000_000, 50_000
 
 _ID, _PART, _POS, _SLICE, _OWN, _TIE = "__id", "__part", "__pos", "__slice", "__own", "__tie"
+TIE = _TIE
 
 Stage = dict[str, Column]
 
@@ -101,11 +103,30 @@ def _choose(df: DataFrame, keys: Sequence[str], layout: Layout) -> tuple[bool, i
     return settled.how == "grouped", settled.total
 
 
-def _tied(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add the hash that orders rows which tie on (keys, order)."""
-    named = {*keys, *order}
+def tie_of(df: DataFrame, named: Sequence[str]) -> Column:
+    """The hash that orders rows which tie on the columns ``named``, or the one that they carry."""
+    if _TIE in df.columns:
+        return F.col(_TIE)
     rest = [hashable(df, n) for n in df.columns if n not in named]
-    return df.withColumn(_TIE, F.xxhash64(*rest) if rest else F.lit(0).cast("bigint"))
+    return F.xxhash64(*rest) if rest else F.lit(0).cast("bigint")
+
+
+def with_ties(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with the hash that orders ties, for steps that all keep to one order of the rows.
+
+    It stands in the column ``TIE``; such steps carry it on, and whoever added it drops it.
+    """
+    return _tied(df, keys, order)
+
+
+def _tied(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add the hash that orders rows which tie on (keys, order), unless they carry one."""
+    return df if _TIE in df.columns else df.withColumn(_TIE, tie_of(df, {*keys, *order}))
+
+
+def _without_tie(df: DataFrame, given: DataFrame) -> DataFrame:
+    """``df`` without the hash, unless the frame it was made from had come with it."""
+    return df if _TIE in given.columns else df.drop(_TIE)
 
 
 def _window(keys: Sequence[str], order: Sequence[str], descending: bool = False) -> WindowSpec:
@@ -144,7 +165,7 @@ def _numbered(
         .withColumn("__from", F.spark_partition_id())
         .repartitionByRange(*parts, *by)
         .sortWithinPartitions(*by)
-        .drop(*ties)
+        .drop(*(t for t in ties if t not in df.columns))
         .withColumn(_ID, F.monotonically_increasing_id()),
         "numbered",
     )
@@ -194,7 +215,7 @@ def over_rows(
 
     grouped, total = _choose(df, keys, layout)
     if grouped:
-        return add(_tied(df, keys, order), _window(keys, order)).drop(_TIE)
+        return _without_tie(add(_tied(df, keys, order), _window(keys, order)), df)
 
     size = max(layout.slice_rows, before, after, 1)
     rows = _numbered(df, keys, order, size, total)
@@ -274,7 +295,7 @@ def number_rows(
     if grouped:
         w = _window(keys, order, descending)
         numbered = _tied(df, keys, order).withColumn(name, F.row_number().over(w).cast("bigint"))
-        return numbered.drop(_TIE)
+        return _without_tie(numbered, df)
     rows = _numbered(df, keys, order, layout.slice_rows, total, descending)
     if not keys:
         return rows.withColumn(name, F.col(_POS) + 1).drop(_POS, _SLICE)
@@ -356,35 +377,7 @@ def fill_gaps(
 
     out = out.withColumns({v: pick(v) for v in values})
     extra = [*found, *[f"{tag[v]}{m}" for v in values for m in carried]]
-    return out.drop(*extra, _POS, _SLICE, _TIE)
-
-
-def in_slices(
-    df: DataFrame, *, keys: Sequence[str], order: Sequence[str], before: int, layout: Layout = AUTO
-) -> tuple[DataFrame, str, str]:
-    """Rows with a group column of bounded size, border rows repeated, for a grouped Pandas step.
-
-    Returns the frame, the name of the group column and the name of a flag that is true for the
-    rows a group owns (false for copies from the group before).
-    """
-    layout = _sized(df, keys, layout)
-    total = layout.total
-    if layout.how == "grouped" or (layout.how == "auto" and layout.largest <= layout.limit):
-        # Keys are dealt to groups of about slice_rows rows, whoever decided the layout.
-        groups = max(1, ceil(total / layout.slice_rows))
-        home = F.pmod(F.xxhash64(*[c(k) for k in keys]), F.lit(groups)) if keys else F.lit(0).cast("bigint")
-        return df.withColumn(_SLICE, home).withColumn(_OWN, F.lit(True)), _SLICE, _OWN
-    size = max(layout.slice_rows, before, 1)
-    rows = _numbered(df, keys, order, size, total)
-    homes = F.array_compact(
-        F.array(F.col(_SLICE), F.when(F.expr(f"{_POS} % {size}") >= size - before, F.col(_SLICE) + 1))
-    )
-    spread = rows.withColumn("__home", F.col(_SLICE)).withColumn(_SLICE, F.explode(homes))
-    return (
-        spread.withColumn(_OWN, F.col("__home") == F.col(_SLICE)).drop("__home", _POS),
-        _SLICE,
-        _OWN,
-    )
+    return _without_tie(out.drop(*extra, _POS, _SLICE), df)
 
 
 def tail_rows(
@@ -401,9 +394,9 @@ def tail_rows(
     (``WindowGroupLimit``); a key too large for one task is first thinned in salted groups.
     """
     latest = [c(o).desc() for o in [*order, _TIE]]
-    df = _tied(df, keys, order)
+    given, df = df, _tied(df, keys, order)
     if not keys:
-        return df.orderBy(*latest).limit(n).drop(_TIE)
+        return _without_tie(df.orderBy(*latest).limit(n), given)
     by = [c(k) for k in keys]
 
     def keep(frame: DataFrame, partition: list[Column]) -> DataFrame:
@@ -420,4 +413,4 @@ def tail_rows(
         mixed = F.xxhash64(*[c(o) for o in order], F.spark_partition_id())
         salt = F.pmod(mixed, F.lit(salts))
         df = keep(df.withColumn("__salt", salt), [*by, F.col("__salt")]).drop("__salt")
-    return keep(df, by).drop(_TIE)
+    return _without_tie(keep(df, by), given)

@@ -13,7 +13,7 @@ from ..functions import calendar
 from ..functions.stats import pearson, strength
 from ..session import cut
 from .duplicates import copy_counts
-from .order import AUTO, Layout, settle
+from .order import AUTO, Layout, settle, tie_of
 from .quantiles import median, quantiles
 from .windows import percent_change
 
@@ -276,7 +276,7 @@ def summary(
     ``latest`` adds the newest non-null value and its difference to the mean.
     """
     fields = ["mean", "std", "min", "max", "null_count"]
-    when = F.struct(c(ts), *[c(t) for t in tie])
+    when = F.struct(c(ts), *[c(t) for t in tie], tie_of(df, [ts, *tie]))
     aggs = [F.count(F.lit(1)).alias("rows"), F.min(c(ts)).alias("start"), F.max(c(ts)).alias("end")]
     for i, v in enumerate(values):
         x = c(v)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..columns import c, ntz, present
 from ..sources.readings import TIME_FORMAT, parsed_time
-from .order import AUTO, Layout, tail_rows
+from .order import AUTO, Layout, tail_rows, tie_of
 
 # Allowed number of rows in one request, and the default.
 MAX_ROWS, DEFAULT_ROWS = 10_000, 1_000
@@ -80,8 +80,8 @@ def final_columns(df: DataFrame, values: Sequence[str], ts: str, extra: Sequence
 
 
 def latest_row(df: DataFrame, *, keys: Sequence[str] = (), order: Sequence[str]) -> DataFrame:
-    """The newest row of each key, as one mergeable aggregate."""
-    key = F.struct(*[c(o) for o in order])
+    """The newest row of each key, as one mergeable aggregate; a hash of the row decides among equals."""
+    key = F.struct(*[c(o) for o in order], tie_of(df, [*keys, *order]))
     whole = F.struct(*[c(n) for n in df.columns])
     best = df.groupBy(*[c(k) for k in keys]).agg(
         F.max_by(whole, key).alias("__row"), F.count(F.lit(1)).alias("__n")

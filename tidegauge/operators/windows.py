@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from math import ceil, log
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..columns import c, hours_between
 from ..functions.stats import pearson
-from .order import AUTO, Layout, in_slices, over_rows
+from .order import AUTO, Layout, number_rows, over_rows, settle
 
 
 def lags(
@@ -173,11 +173,56 @@ def supervised_windows(
     return framed.where(F.size("window") == length).withColumn("label", c(value))
 
 
-def smooth_reach(alpha: float, tolerance: float = 1e-17) -> int:
-    """Rows after which an older value's weight is below double precision."""
-    if not 0 < alpha <= 1:
-        raise ValueError("alpha must be in (0, 1]")
-    return 1 if alpha == 1 else ceil(log(tolerance) / log(1 - alpha))
+#: What a factor may grow to within a block, and where one is zero in double precision, as logarithms.
+_GROWTH, _ZERO = 345.0, 745.2
+
+
+def _decayed(rows: DataFrame, keys: Sequence[str], factor: float, layout: Layout, total: bool = False) -> DataFrame:
+    """Add ``__s``: __x plus ``factor`` times the ``__s`` of the position ``__p`` before it.
+
+    Positions count from 0 in each key. They are cut into blocks in which powers of the factor stay
+    far from overflow, so that a sum over the block so far, scaled back, is the answer within the block.
+    Only the last answer of a full block goes on, and those obey the same rule with a smaller factor.
+    With ``total`` the series are known to fit one block.
+    """
+    size = _block(factor, layout)
+    by = [c(k) for k in keys]
+    block, place = F.expr(f"__p div {size}"), F.expr(f"__p % {size}")
+    w = Window.partitionBy(*by, F.col("__b")).orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.sum(F.col("__x") * F.pow(F.lit(factor), -F.col("__i"))).over(w)
+    inside = grown * F.pow(F.lit(factor), F.col("__i"))
+    out = rows.withColumns({"__b": block, "__i": place}).withColumn("__s", inside)
+    if total:
+        return out.drop("__b", "__i")
+    ends = out.where(F.col("__i") == size - 1).select(*by, F.col("__b").alias("__p"), F.col("__s").alias("__x"))
+    whole = factor**size
+    if -log(whole) > _GROWTH / 16:  # a few blocks on, nothing is left of a value
+        terms = ceil(_ZERO / -log(whole))
+
+        def add(w: WindowSpec) -> dict[str, Column]:
+            older = [F.lit(whole**k) * F.lag("__x", k).over(w) for k in range(1, terms)]
+            return {"__s": sum((F.coalesce(x, F.lit(0.0)) for x in older), F.col("__x"))}
+
+        ends = over_rows(ends, add, keys=keys, order=["__p"], before=terms, layout=_fresh(layout))
+    else:
+        ends = _decayed(ends, keys, whole, layout)
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    carried = ends.select(*[c(k).alias(n) for k, n in names.items()], (F.col("__p") + 1).alias("__to"), F.col("__s").alias("__from"))
+    same = F.col("__b") == F.col("__to")
+    for k, n in names.items():
+        same = same & c(k).eqNullSafe(F.col(n))
+    out = out.join(carried, same, "left").drop("__to", *names.values())
+    earlier = F.pow(F.lit(factor), F.col("__i") + 1) * F.col("__from")
+    return out.withColumn("__s", F.col("__s") + F.coalesce(earlier, F.lit(0.0))).drop("__b", "__i", "__from")
+
+
+def _block(factor: float, layout: Layout) -> int:
+    return max(1, min(layout.slice_rows, int(_GROWTH / -log(factor))))
+
+
+def _fresh(layout: Layout) -> Layout:
+    """The layout for another table: sizes are counted anew."""
+    return replace(layout, how="auto" if layout.how == "sliced" else layout.how, largest=None, total=None)
 
 
 def smooth(
@@ -192,26 +237,23 @@ def smooth(
 ) -> DataFrame:
     """Exponentially smoothed series: s1 = x1, s = alpha·x + (1 - alpha)·previous s.
 
-    The recurrence has no SQL window form. Each slice takes in as many earlier rows as still have
-    weight in double precision and runs Pandas' compiled filter over them, so slices are
-    independent and of bounded size. Rows without a value are left out first.
+    Every earlier value counts, however small its weight. The recurrence is an affine map per row, and
+    maps compose: rows are numbered, blocks of consecutive ones sum their weighted values, and what a
+    block hands on is carried over the table of blocks. Rows without a value are left out first.
     """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be in (0, 1]")
     rows = df.where(c(value).isNotNull())
-    spread, group, own = in_slices(
-        rows, keys=keys, order=order, before=smooth_reach(alpha), layout=layout
-    )
-    by, ordering = list(keys), list(order)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*by, *ordering], kind="stable")
-        filtered = pdf.groupby(by, dropna=False, sort=False)[value] if by else pdf[value]
-        smoothed = filtered.ewm(alpha=alpha, adjust=False).mean()
-        pdf[name] = smoothed.droplevel(list(range(len(by)))) if by else smoothed
-        return pdf[pdf[own]].drop(columns=[group, own])
-
-    kept = [f for f in spread.schema.fields if f.name not in (group, own)]
-    schema = type(spread.schema)(kept).add(name, "double")
-    return spread.groupBy(group).applyInPandas(run, schema)
+    x = c(value).cast("double")
+    if alpha == 1:
+        return rows.withColumn(name, x)
+    layout = settle(rows, keys, layout)
+    rows = number_rows(rows, "__p", keys=keys, order=order, layout=layout)
+    first = F.col("__p") == 1
+    rows = rows.withColumn("__x", F.when(first, x).otherwise(alpha * x)).withColumn("__p", F.col("__p") - 1)
+    short = layout.largest is not None and layout.largest <= _block(1 - alpha, layout)
+    out = _decayed(rows, keys, 1 - alpha, layout, total=short)
+    return out.withColumn(name, F.col("__s")).drop("__p", "__x", "__s")
 
 
 def autocorrelation(

@@ -61,14 +61,15 @@ def release(spark: SparkSession) -> int:
     return count
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", codec: str | None = None) -> DataFrame:
     """Write a frame once to the shared folder and go on from there.
 
     Later branches then all see the same rows, read only the columns they need, and a lost
-    executor costs a re-read and not the work so far. The copy stays until ``release``.
+    executor costs a re-read and not the work so far. The copy stays until ``release``. ``codec`` is
+    the session's unless it is named.
     """
     spark = df.sparkSession
     folder = fresh_folder(spark, label)
     _made.append(folder)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=codec)
     return spark.read.schema(df.schema).parquet(folder)
