@@ -278,7 +278,8 @@ def repeated(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         offsets = np.r_[first, len(order)].astype(np.int32)
         return pa.table({"uid": uid, "starts": pa.ListArray.from_arrays(offsets, pa.array(start[order]))})
 
-    answers = around.select("uid", "__text", "blocks").mapInArrow(edges, _EDGES).groupBy("bucket").applyInArrow(meet, "uid long, starts array<int>")
+    # whole rows go in, so that this join reads the exchange that the last one needs
+    answers = around.mapInArrow(edges, _EDGES).groupBy("bucket").applyInArrow(meet, "uid long, starts array<int>")
     return answers.groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
@@ -289,7 +290,7 @@ def without_repeats(
     ``spans``: first word and end of each maximal stretch that repeats."""
     spark = df.sparkSession
     named = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
-    docs = cut(named.withColumn("uid", F.monotonically_increasing_id()), "repeat-texts")
+    docs = cut(named.withColumn("uid", F.monotonically_increasing_id()), "repeat-texts", "zstd")
     docs = docs.where("uid is not null")  # so that both joins below read one and the same exchange
     total = docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     buckets = max(int(total / 5 / bucket), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
