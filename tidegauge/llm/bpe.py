@@ -268,9 +268,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = TABLE_LIMIT) -> Encoder:
     """One table per worker process."""
-    return Encoder(vocabulary(path))
+    return Encoder(vocabulary(path), limit)
 
 
 def little_endian(ids: np.ndarray) -> bytes:

@@ -25,7 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bpe import encoder, little_endian
-from tidegauge.llm.common import ENCODE_BYTES, pieces, texts_of
+from tidegauge.llm.common import hand_back, pieces, texts_of
+
+#: Fragments that a worker remembers here, where it stands beside a heap that earlier stages have filled.
+TABLE_LIMIT = 300_000
 
 
 @dataclass(frozen=True)
@@ -149,7 +152,7 @@ def pack(
         raise ValueError("limits must be positive")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = encoder(path), Packer(limits, TaskContext.get().partitionId() << 40)
+        coder, packer = encoder(path, TABLE_LIMIT), Packer(limits, TaskContext.get().partitionId() << 40)
 
         def taken() -> pa.RecordBatch:
             rows = packer.taken()
@@ -157,7 +160,7 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], [key, *_COLUMNS])
 
         for batch in batches:
-            for part in pieces(batch, "__text", ENCODE_BYTES):
+            for part in pieces(batch, "__text"):
                 flat, lengths = coder.encode(texts_of(part, "__text"))
                 flat = np.insert(flat, np.cumsum(lengths), np.uint32(end_id))
                 ends = np.cumsum(lengths + 1)
@@ -167,8 +170,10 @@ def pack(
                     if len(packer.pool) >= 2 * limits.pool:
                         packer.fill(limits.pool)
                 yield taken()
+            hand_back()
         packer.fill(0)
         yield taken()
+        hand_back()
 
     loss = F.col(f"`{loss_from}`").cast("long") if loss_from else F.lit(0).cast("long")
     rows = df.select(F.col(f"`{key}`").cast("long").alias("__key"), F.col(f"`{text}`").alias("__text"), loss.alias("__loss"))
