@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bpe import Encoder, Vocabulary, spread
-from tidegauge.llm.common import pieces, texts_of
+from tidegauge.llm.common import hand_back, pieces, texts_of
 from tidegauge.session import cut
 
 #: Bytes of text that a task aligns at a time.
 ALIGN_BYTES = 2 << 20
 #: Fragments that a worker remembers, and that it encodes at a time.
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 250_000
 LEARN = 50_000
 #: Distinct pairs that a task sums before it hands them on.
 SUM_LIMIT = 1_000_000
@@ -300,6 +300,7 @@ def _aligned(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 columns += [_lists(ones[0], ones[1], n, pa.int32()), _lists(ones[0], ones[2], n, pa.int64())]
                 columns += [_lists(others[0], others[1], n, pa.int64()), _lists(others[0], others[2], n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, _NAMES)
+            hand_back()
         yield _sums(same, keys, counts)
 
     return rows.select("uid", "__text").mapInArrow(run, TABLE)
