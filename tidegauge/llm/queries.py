@@ -113,7 +113,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_repeats": op12_repeats,
     "op13_runs": op13_runs,
 }
+#: The smallest id that each id reaches over ``links(a, b)``, both directions given.
+_COMPONENTS = """
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a),
+    component AS (SELECT a, least(a, min(b)) AS root FROM reach GROUP BY a)"""
+
 ORACLES: dict[str, str] = {
+    "op4_jaccard": rf"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+            ) AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i : i + 4], ' '))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+            FROM words
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        links AS (
+            SELECT x.doc_id AS a, y.doc_id AS b
+            FROM shingles AS x JOIN shingles AS y ON x.s = y.s AND x.doc_id <> y.doc_id
+            JOIN sizes AS m ON m.doc_id = x.doc_id JOIN sizes AS n ON n.doc_id = y.doc_id
+            GROUP BY x.doc_id, y.doc_id, m.n, n.n HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*))
+        ), {_COMPONENTS}
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id
+        FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN component ON a = doc_id""",
+    "op6_hamming": """
+        WITH codes AS (
+            SELECT vec_id, list_sum(list_transform(range(64), lambda i : CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0 END))::UBIGINT AS code
+            FROM embeddings
+        ), near AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, bit_count(xor(q.code, c.code))::INTEGER AS distance,
+                   row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.code, c.code)), c.vec_id) AS rank
+            FROM codes AS q JOIN codes AS c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, rank::INTEGER AS rank, neighbour_id, distance FROM near WHERE rank <= 10""",
+    "op9_vectors": f"""
+        WITH RECURSIVE links AS (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings AS x JOIN embeddings AS y ON x.vec_id <> y.vec_id
+            WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.95
+        ), {_COMPONENTS}
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN component ON a = vec_id
+        LEFT JOIN (SELECT a AS of_id, count(*) AS n FROM links GROUP BY a) ON of_id = vec_id""",
     "op12_repeats": r"""
         WITH texts AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
