@@ -146,6 +146,7 @@ def _joined(table: pa.Table, column: str, kind: type, steps: bool = False) -> np
 
 
 _PROBES = "bucket int, once binary, more binary, key binary, uid binary, block binary"
+_ANSWERS = "bucket int, uid binary, start binary"
 _EDGES = "bucket int, hash binary, tail binary, uid binary, start binary"
 
 
@@ -226,7 +227,11 @@ def anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """``uid`` and ``starts``: where windows start whose words start elsewhere too, in no order."""
+    """``uid`` and ``starts``: where windows start whose words start elsewhere too, in no order.
+
+    Answers go home by groups of documents, packed like the questions: a row per bucket and group.
+    """
+    groups = max(buckets // 8, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     size = (window + 1) // 2
     found = anchors(docs, window, buckets).groupBy("uid").agg(F.collect_list("block").alias("blocks"))
     around = docs.join(found, "uid")
@@ -273,14 +278,20 @@ def repeated(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         twice = (np.r_[False, same] | np.r_[same, False])[: len(a)] & (uid >= 0)
         uid = np.r_[uid[twice], _joined(passed, "uid", np.int64)]
         start = np.r_[start[twice], _joined(passed, "start", np.int32)].astype(np.int32)
+        group = (_mixed(uid.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        return pa.Table.from_batches([_rows(_ANSWERS, _parts(group[order], groups, uid[order], start[order]))])
+
+    def gather(rows: pa.Table) -> pa.Table:
+        uid, start = _joined(rows, "uid", np.int64), _joined(rows, "start", np.int32)
         order = np.argsort(uid, kind="stable")
         uid, first = np.unique(uid[order], return_index=True)
         offsets = np.r_[first, len(order)].astype(np.int32)
         return pa.table({"uid": uid, "starts": pa.ListArray.from_arrays(offsets, pa.array(start[order]))})
 
     # whole rows go in, so that this join reads the exchange that the last one needs
-    answers = around.mapInArrow(edges, _EDGES).groupBy("bucket").applyInArrow(meet, "uid long, starts array<int>")
-    return answers.groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    answers = around.mapInArrow(edges, _EDGES).groupBy("bucket").applyInArrow(meet, _ANSWERS)
+    return answers.groupBy("bucket").applyInArrow(gather, "uid long, starts array<int>")
 
 
 def without_repeats(
