@@ -5,11 +5,10 @@ Terms are words and, so that inflected and compound forms meet, 5-grams of the l
 of its correlation with the label (phi, at least one over the examples): by idf alone, texts of one topic
 or language are nearest, whatever their label. Only a text without any term of an example has no neighbour.
 
-Index: postings by term. Texts are asked in batches: the terms that stand in many examples are multiplied
-as dense blocks, the others are added up from their postings, so every example's similarity is exact. One
-vector alone can be asked by bounds: examples stand in blocks of alike ones, a query adds up the largest
-weights per term and block, scores the most promising blocks, and then every block whose bound reaches
-the k-th similarity so far. Ties go to the smaller id. The neighbours' similarities, summed by label, are
+Index: postings by term, and the largest weight of each term in each block of alike examples. A text adds up
+the largest weights per block, scores the most promising blocks, and then every block whose bound reaches
+the k-th similarity so far; no other can hold a neighbour. Texts are asked in batches, so that the terms
+that stand in many examples are multiplied as matrices. Ties go to the smaller id. The neighbours' similarities, summed by label, are
 the votes, and a logistic curve fitted to the leave-one-out votes of the examples turns them into a
 probability. The nearest ids are evidence.
 
@@ -29,6 +28,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +41,10 @@ from tidegauge.session import cut
 
 @dataclass(frozen=True)
 class Settings:
-    examples: int = 20_000
+    examples: int = 1_200
     orders: tuple[int, ...] = (5,)
     neighbours: int = 15
-    block: int = 64
+    block: int = 32
     #: Blocks scored before the first bound is drawn.
     first: int = 4
     #: Texts asked at a time, and the share of the examples from which on a term is multiplied densely.
@@ -120,101 +120,108 @@ class Index:
             labels.append(label)
         return Index(np.array(ids, np.int64), np.array(labels, np.int64), settings, start, rows, weights)
 
+    @cached_property
+    def _bounds(self) -> tuple[np.ndarray, ...]:
+        """Largest weights per term and block: of frequent terms as a matrix, with their weights in all
+        examples; of the others as runs: first run of each term, and block and largest weight of each."""
+        n, size, block = len(self.ids), np.diff(self.start), self.settings.block
+        slot = np.full(len(size), -1)
+        often = np.flatnonzero(size >= max(1, self.settings.dense * n))
+        slot[often] = np.arange(len(often))
+        held = np.zeros((len(often), self.blocks * block))
+        at = spread(self.start[often], size[often])
+        held[np.repeat(np.arange(len(often)), size[often]), self.row[at]] = self.weight[at]
+        top = held.reshape(len(often), self.blocks, block).max(axis=2)
+        term = np.repeat(np.arange(len(size)), size)
+        of = self.row // block
+        rare = slot[term] < 0
+        new = np.r_[True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])] if len(term) else np.empty(0, bool)
+        start = np.flatnonzero(new)
+        most = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
+        start, most = start[rare[start]], most[rare[start]]
+        return slot, held, top, np.searchsorted(term[start], np.arange(len(size) + 1)), of[start].astype(np.int64), most
+
+    blocks = property(lambda self: -(-len(self.ids) // self.settings.block))
+
     def nearest_of(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray, but: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions and similarities (above zero) of the nearest examples of each vector.
+        """Positions and similarities (above zero) of the nearest examples of each vector, by block bounds.
 
-        Vector i is ``bounds[i]`` to ``bounds[i + 1]`` of ``term`` and ``weight``; ``but[i]`` is left out (a position)."""
-        n, k, size = len(self.ids), self.settings.neighbours, np.diff(self.start)
-        frequent = size >= max(1, self.settings.dense * n)
+        Vector i is ``bounds[i]`` to ``bounds[i + 1]`` of ``term`` and ``weight``; ``but[i]`` is left out (a position).
+        First the blocks of the largest bounds are scored, then every other whose bound reaches the k-th
+        similarity so far."""
         for first in range(0, len(bounds) - 1, self.settings.batch):
             ends = bounds[first : first + self.settings.batch + 1]
             own = slice(ends[0], ends[-1])
-            terms, weights, query = term[own], weight[own], np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            sums = np.zeros((len(ends) - 1, n))
-            on = frequent[terms]
-            for names in _chunks(np.unique(terms[on]), 256):
-                at, count = spread(self.start[names], size[names]), size[names]
-                held = np.zeros((len(names), n))
-                held[np.repeat(np.arange(len(names)), count), self.row[at]] = self.weight[at]
-                here = np.flatnonzero(on & (terms >= names[0]) & (terms <= names[-1]))
-                asked = np.zeros((len(sums), len(names)))
-                asked[query[here], np.searchsorted(names, terms[here])] = weights[here]
-                sums += asked @ held
-            for i, (low, high) in enumerate(zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)):
-                rare = low + np.flatnonzero(~on[low:high])
-                count = size[terms[rare]]
-                at = spread(self.start[terms[rare]], count)
-                sums[i] += np.bincount(self.row[at], np.repeat(weights[rare], count) * self.weight[at], minlength=n)
-                if but is not None:
-                    sums[i, but[first + i]] = 0
-                limit = np.partition(sums[i], -k)[-k] if n > k else 0.0
-                found = np.flatnonzero((sums[i] > 0) & (sums[i] >= limit - 1e-9))
-                best = found[np.lexsort((self.ids[found], -np.round(sums[i, found], 12)))[:k]]
-                yield best, sums[i, best]
-
-    @cached_property
-    def _runs(self) -> tuple[np.ndarray, ...]:
-        """Runs of one term and block: first run of each term, then block, start, size and largest weight of each run."""
-        term = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
-        block = self.row // self.settings.block
-        new = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])] if len(term) else np.empty(0, bool)
-        start = np.flatnonzero(new)
-        top = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
-        term_start = np.searchsorted(term[start], np.arange(len(self.start)))
-        return term_start, block[start], start, np.diff(np.r_[start, len(term)]), top
-
-    term_start = property(lambda self: self._runs[0])
-    run_block = property(lambda self: self._runs[1])
-    run_start = property(lambda self: self._runs[2])
-    run_size = property(lambda self: self._runs[3])
-    run_max = property(lambda self: self._runs[4])
-    blocks = property(lambda self: -(-len(self.ids) // self.settings.block))
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The same for one vector, by block bounds; ``but`` is left out (a position)."""
-        k = self.settings.neighbours
-        count = self.term_start[term + 1] - self.term_start[term]
-        runs = spread(self.term_start[term], count)
-        if not len(runs):
-            return np.empty(0, np.int64), np.empty(0)
-        query = np.repeat(weight, count)
-        bound = np.bincount(self.run_block[runs], query * self.run_max[runs], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        chosen = np.zeros(self.blocks, bool)
-        chosen[order[: self.settings.first]] = True
-        at, sim = self._exact(runs, query, chosen & (bound > 0), but)
-        limit = np.partition(sim, -k)[-k] if len(sim) >= k else 0.0
-        more = (bound > 0) & (bound >= limit - 1e-9) & ~chosen
-        if more.any():
-            at_, sim_ = self._exact(runs, query, more, but)
-            at, sim = np.r_[at, at_], np.r_[sim, sim_]
-        best = np.lexsort((self.ids[at], -np.round(sim, 12)))[:k]
-        return at[best], sim[best]
-
-    def _exact(self, runs: np.ndarray, query: np.ndarray, blocks: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
-        on = blocks[self.run_block[runs]]
-        runs, query = runs[on], query[on]
-        size = self.run_size[runs]
-        at = spread(self.run_start[runs], size)
-        sums = np.bincount(self.row[at], np.repeat(query, size) * self.weight[at], minlength=len(self.ids))
-        if but >= 0:
-            sums[but] = 0
-        found = np.flatnonzero(sums > 0)
-        return found, sums[found]
+            yield from self._batch(ends - ends[0], term[own], weight[own], None if but is None else but[first : first + len(ends) - 1])
+
+    def _batch(self, ends: np.ndarray, term: np.ndarray, weight: np.ndarray, but: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        slot, held, top, run_at, run_block, run_top = self._bounds
+        texts, blocks, k = len(ends) - 1, self.blocks, self.settings.neighbours
+        query = np.repeat(np.arange(texts), np.diff(ends))
+        on = slot[term] >= 0
+        asked = np.zeros((texts, len(held)))
+        asked[query[on], slot[term[on]]] = weight[on]
+        query, term, weight = query[~on], term[~on], weight[~on]
+        count = run_at[term + 1] - run_at[term]
+        runs = spread(run_at[term], count)
+        rare = np.bincount(np.repeat(query, count) * blocks + run_block[runs], np.repeat(weight, count) * run_top[runs], minlength=texts * blocks)
+        bound = asked @ top + rare.reshape(texts, blocks)
+        size = self.start[term + 1] - self.start[term]
+        at = spread(self.start[term], size)
+        met, share = np.repeat(query, size), np.repeat(weight, size) * self.weight[at]
+        rows = self.row[at].astype(np.int64)
+
+        def score(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Text, example and similarity of all examples in the chosen blocks of each text."""
+            block = self.settings.block
+            who, which = np.nonzero(chosen)
+            pair = np.full(chosen.shape, -1)
+            pair[who, which] = np.arange(len(who))
+            sims = np.zeros((len(who), block))
+            for b in np.unique(which):
+                some = np.flatnonzero(chosen[:, b])
+                sims[pair[some, b]] = asked[some] @ held[:, b * block : (b + 1) * block]
+            place = pair[met, rows // block]
+            there = place >= 0
+            sims += np.bincount(place[there] * block + rows[there] % block, share[there], minlength=sims.size).reshape(sims.shape)
+            where, column = np.nonzero(sims > 0)
+            found = which[where] * block + column
+            if but is not None:
+                other = found != but[who[where]]
+                where, column, found = where[other], column[other], found[other]
+            return who[where], found, sims[where, column]
+
+        def kth(text: np.ndarray, sim: np.ndarray) -> np.ndarray:
+            order = np.lexsort((-sim, text))
+            start = np.searchsorted(text[order], np.arange(texts + 1))
+            full = np.diff(start) >= k
+            out = np.zeros(texts)
+            out[full] = sim[order][start[:-1][full] + k - 1]
+            return out
+
+        chosen = np.zeros(bound.shape, bool)
+        lead = np.argsort(-bound, axis=1, kind="stable")[:, : self.settings.first]
+        np.put_along_axis(chosen, lead, True, axis=1)
+        text, found, sim = score(chosen & (bound > 0))
+        more = (bound > 0) & ~chosen & (bound >= kth(text, sim)[:, None] - 1e-9)
+        text, found, sim = (np.r_[x, y] for x, y in zip((text, found, sim), score(more), strict=True))
+        order = np.lexsort((self.ids[found], -np.round(sim, 12), text))
+        start = np.searchsorted(text[order], np.arange(texts + 1))
+        for a, b in zip(start[:-1], start[1:], strict=True):
+            best = order[a : min(b, a + k)]
+            yield found[best], sim[best]
 
     def votes(self, at: np.ndarray, sim: np.ndarray) -> tuple[float, float]:
         return float(sim @ self.labels[at]), float(sim @ (1 - self.labels[at]))
 
 
-def _chunks(x: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    return (x[at : at + size] for at in range(0, len(x), size))
-
-
 @dataclass
 class Model:
     terms: Terms
     index: Index
     curve: np.ndarray
+    #: Terms and index as they were shipped for the fit, so that scoring ships only the curve.
+    shared: tuple[Broadcast, Broadcast] | None = None
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """Probability, nearest ids and similarities of each text."""
@@ -307,14 +314,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     marked = marked.repartition(max(1, total // 500), "mark")
     # an example without terms is nobody's neighbour
     filled = marked.mapInArrow(vectors, "id long, y int, mark long, term binary, weight binary").where("length(term) > 0")
-    marks: list[int] = []
-
-    def one_by_one() -> Iterator[tuple]:
-        for r in filled.toLocalIterator():  # part by part: the driver holds the index and one part
-            marks.append(r["mark"])
-            yield r["id"], r["y"], np.frombuffer(r["term"], np.int32), np.frombuffer(r["weight"], np.float32)
-
-    index = Index.gather(one_by_one(), examples_of, total, settings)
+    # the examples are bounded; alike ones stand side by side: of one label, by their heaviest term
+    vectors_of = [(r["mark"], r["id"], r["y"], np.frombuffer(r["term"], np.int32), np.frombuffer(r["weight"], np.float32)) for r in filled.toLocalIterator()]
+    vectors_of.sort(key=lambda x: (x[2], x[3][np.argmax(x[4])], x[1]))
+    marks = [x[0] for x in vectors_of]
+    index = Index.gather((x[1:] for x in vectors_of), examples_of, total, settings)
+    del vectors_of
     by_mark = np.argsort(np.array(marks, np.int64))
     shared = docs.sparkSession.sparkContext.broadcast((index, np.array(marks, np.int64)[by_mark], by_mark))
 
@@ -332,11 +337,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     if not marks:  # only texts without terms: the base rate
         return Model(terms, index, np.array([0.0, 0.0, np.log(ones / zeros) - moved]))
     polled = marked.mapInArrow(leave_one_out, "mark long, y int, ones double, zeros double").toPandas().sort_values("mark")
-    shared.destroy()
-    shared_terms.destroy()
     curve = logistic(polled[["ones", "zeros"]].to_numpy(float), polled["y"].to_numpy(float), l2=1e-4, steps=2000)
     curve[-1] -= moved
-    return Model(terms, index, curve)
+    return Model(terms, index, curve, (shared_terms, shared))
 
 
 ADDED = (("score", "double"), ("nearest", "array<bigint>"), ("similarity", "array<double>"))
@@ -348,11 +351,13 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
     extra = [F.lit(None).cast(kind).alias(name) for name, kind in ADDED]
     schema = df.select(*[F.col(f"`{c}`") for c in kept], *extra).schema
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    context, curve = df.sparkSession.sparkContext, model.curve
+    shared_terms, shared = model.shared or (context.broadcast(model.terms), context.broadcast((model.index,)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = Model(shared_terms.value, shared.value[0], curve)
         for part in sliced(batches, "__text"):
-            chance, ids, sims = shared.value.score(texts_of(part, "__text"))
+            chance, ids, sims = here.score(texts_of(part, "__text"))
             columns = [*part.columns[:-1], pa.array(chance), pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
