@@ -190,3 +190,19 @@ def test_packing_odd_documents(odd_docs, no_docs):
     assert packing.pack(no_docs, WORDS, 1).count() == 0
     with pytest.raises(ValueError):
         packing.pack(no_docs, WORDS, 1, packing.Limits(segments=0))
+
+
+def test_very_short_texts_need_no_padding(spark):
+    """Sequences that the segment limit closes end on a power of two, and no id is lost."""
+    path = P.path("word_bpe_49k.json")
+    rows = [(i, "a red dog" if i % 3 else "word " * (i % 50)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = packing.pack(docs, path, end_id=1).toPandas()
+    sizes = got.groupby("sequence_id")["length"].sum()
+    full = sum(n if n & (n - 1) == 0 else 2048 for n in sizes)
+    assert sizes.sum() == got.drop_duplicates("doc_id")["doc_tokens"].sum() and full / sizes.sum() < 1.01
+    assert got.groupby("sequence_id").size().max() <= 128
+    for _, own in got.sort_values("start").groupby("doc_id"):
+        assert own["start"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]]
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]]

@@ -103,6 +103,7 @@ class Packer:
             left = np.array([room, limits.segments, limits.loss])
             weight = demand[alive].sum(0) / caps**2
             sequence, offset = self._open(), 0
+            placed: list[tuple[int, int]] = []  # places in the pool and lengths
             while left[0] > 0 and left[1] > 0 and waiting:
                 fits = alive & (demand <= left).all(1)
                 score = demand @ (weight * left / caps)
@@ -116,6 +117,7 @@ class Packer:
                         break
                 left -= (length, 1, pool[at].loss(length))
                 self._place(pool[at], length, sequence, offset)
+                placed.append((at, length))
                 offset += length
                 tokens -= length
                 demand[at] = (len(pool[at]), 1, pool[at].loss(len(pool[at])))
@@ -123,6 +125,21 @@ class Packer:
                     alive[at] = False
                     demand[at] = 0
                     waiting -= 1
+            # closed by its segments: end on a length that needs no padding, the rest waits again
+            spare = offset - (1 << (offset.bit_length() - 1)) if left[0] > 0 and left[1] <= 0 else 0
+            while spare:
+                at, length = placed.pop()
+                back = min(spare, length)
+                self.out.pop()
+                pool[at].start -= length
+                offset -= length
+                if length > back:
+                    self._place(pool[at], length - back, sequence, offset)
+                spare -= back
+                tokens += back
+                waiting += not alive[at]
+                alive[at] = True
+                demand[at] = (len(pool[at]), 1, pool[at].loss(len(pool[at])))
         self.pool = [x for x, on in zip(pool, alive, strict=True) if on]
 
     def taken(self) -> list[tuple]:
