@@ -288,6 +288,16 @@ def test_ranking_and_best(scores):
     assert {r["target"]: r["model_name"] for r in best} == {"x": "c", "y": "d"}
 
 
+def test_ranking_without_groups_keeps_ties_and_puts_missing_scores_last(spark):
+    values = [3.0, 1.0, None, 1.0, 2.0, None, 3.0, 0.5]
+    rows = [(i, v, v) for i, v in enumerate(values)]
+    scores = spark.createDataFrame(rows, "id int, rmse double, r2 double")
+    for metric, sign in (("rmse", 1), ("r2", -1)):
+        got = {r["id"]: r["rank"] for r in evaluate.rank_models(scores, metric).collect()}
+        known = [sign * v for v in values if v is not None]
+        assert got == {i: 1 + sum(x < sign * v for x in known) if v is not None else 1 + len(known) for i, v in enumerate(values)}
+
+
 def test_catalogue(spark):
     rows = [
         ("m1", "wind model", "ARIMA", "1.0.9", "NO2", ["daily"], datetime(2024, 1, 1)),

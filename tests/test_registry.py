@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-#: Series at this scale are too short for these to give rows.
 EMPTY = "no rows on either side"
 
 

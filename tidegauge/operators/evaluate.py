@@ -131,10 +131,19 @@ def _better_first(metric: str, col: Column) -> Column:
 
 
 def rank_models(scores: DataFrame, metric: str = "rmse", *, by: Sequence[str] = ()) -> DataFrame:
-    """Add the rank by a metric, best first, missing values last."""
-    order = _better_first(metric, _metric_of(scores, metric))
-    w = Window.partitionBy(*[c(k) for k in by]).orderBy(order)
-    return scores.withColumn("rank", F.rank().over(w))
+    """Add the rank by a metric, best first, missing values last.
+
+    Without ``by`` no task sees all scores: rows are numbered in slices, and equal scores take the first
+    number among them.
+    """
+    value = _metric_of(scores, metric)
+    if by:
+        w = Window.partitionBy(*[c(k) for k in by]).orderBy(_better_first(metric, value))
+        return scores.withColumn("rank", F.rank().over(w))
+    placed = scores.withColumns({"__gone": value.isNull(), "__at": -value if metric in HIGHER_IS_BETTER else value})
+    placed = number_rows(placed, "__rn", order=["__gone", "__at"])
+    first = placed.groupBy("__at").agg(F.min("__rn").cast("int").alias("rank"))
+    return attach(placed, first, ["__at"]).drop("__gone", "__at", "__rn")
 
 
 def best_model(

@@ -456,6 +456,13 @@ def _(t):
     return ranked.select("model_name", "target", "rmse", "rank")
 
 
+@query("model_ranking_overall", f"""
+    WITH {_SCORES} SELECT model_name, target, mape, rank() OVER (ORDER BY mape NULLS LAST) AS rank FROM scores
+    """, views="predictions", doubles="mape")
+def _(t):
+    return evaluate.rank_models(_scores(t), "mape").select("model_name", "target", "mape", "rank")
+
+
 @query("model_ranking_direction", f"""
     WITH {_SCORES}
     SELECT model_name, target, directional_accuracy,

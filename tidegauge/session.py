@@ -23,9 +23,14 @@ def build(app: str = "tidegauge", master: str | None = None, **options: str) ->
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**OPTIONS, **options}.items():
+    for key, value in options.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    given, own = spark.sparkContext.getConf(), spark.conf.getAll
+    for key, value in OPTIONS.items():
+        if not given.contains(key) and key not in own:
+            spark.conf.set(key, value)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
