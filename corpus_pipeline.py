@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import jaccard, language, packing, quality
-from tidegauge.llm.common import table
+from tidegauge.llm.common import small_batches, table
 from tidegauge.session import cut
 
 #: A text is rejected as of no known language where less than this share of its n-grams is known.
@@ -34,6 +34,7 @@ def _restored(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; repeated and mixed ones stay."""
+    small_batches(spark)
     model = language.fit(docs)
     found = language.predict(_carried(docs), model, keep_text=True)
     right = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("coverage") >= LEAST_COVERAGE)
@@ -42,6 +43,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
+    small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(_carried(docs), model, lang="_lang", source="_source", keep_text=True)
     return _restored(scored.where(F.col("score") >= LEAST_QUALITY), docs.columns)
@@ -49,11 +51,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
+    small_batches(spark)
     return jaccard.first_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens, one row per piece of a document."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 

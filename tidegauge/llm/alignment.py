@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bpe import Encoder, Vocabulary, spread
-from tidegauge.llm.common import hand_back, pieces, texts_of
+from tidegauge.llm.common import hand_back, pieces, small_batches, texts_of
 from tidegauge.session import cut
 
 #: Bytes of text that a task aligns at a time.
@@ -321,6 +321,7 @@ def align(
     ``links`` and ``best``. ``known`` is the greatest number of pair counts that a task holds.
     """
     spark = df.sparkSession
+    small_batches(spark)
     pair = Pair(path_a, path_b)
     size_b, same = len(pair.bytes_b), pair.same
     named = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text"))

@@ -47,6 +47,19 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Record
     hand_back()
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Fewer rows per Arrow batch from now on, unless the session names its own number.
+
+    Rows here are whole texts: ten thousand of them are tens of megabytes, held by each worker, and by
+    each task beside the heap.
+    """
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(rows))
+
+
 def hand_back() -> None:
     """Give freed memory back to the system: workers live on from stage to stage beside a full heap."""
     pa.default_memory_pool().release_unused()
