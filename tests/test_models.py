@@ -346,3 +346,15 @@ def test_autoregression_of_a_wandering_series_far_from_zero(spark):
     _, p, d, beta, rss, n = least_squares(x - 1e6)
     assert (got["p"], got["d"], got["n"]) == (p, d, n)
     assert got["rss"] == pytest.approx(rss, rel=1e-6)
+
+
+def test_overall_rank_of_scores_that_differ_when_taken_again(spark):
+    from random import SystemRandom
+
+    from pyspark.sql import functions as F
+
+    # Forked workers share the state of the plain generator.
+    noisy = F.udf(lambda i: i + SystemRandom().random() / 1e6, "double").asNondeterministic()
+    scores = spark.range(40).select("id", noisy("id").alias("mae"))
+    got = {r["id"]: r["rank"] for r in evaluate.rank_models(scores, "mae").collect()}
+    assert got == {i: i + 1 for i in range(40)}

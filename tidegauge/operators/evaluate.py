@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..columns import attach, c
 from ..functions.stats import adjusted_kurtosis, adjusted_skew, pearson
+from ..session import cut
 from .forecast import Method, check_steps, tails
 from .order import AUTO, Layout, number_rows, over_rows, settle
 from .quantiles import median, quantiles
@@ -134,14 +135,15 @@ def rank_models(scores: DataFrame, metric: str = "rmse", *, by: Sequence[str] =
     """Add the rank by a metric, best first, missing values last.
 
     Without ``by`` no task sees all scores: rows are numbered in slices, and equal scores take the first
-    number among them.
+    number among them. The scores are written once, as a mean that is summed again in another order may
+    differ in its last digit and would then not find its rank.
     """
     value = _metric_of(scores, metric)
     if by:
         w = Window.partitionBy(*[c(k) for k in by]).orderBy(_better_first(metric, value))
         return scores.withColumn("rank", F.rank().over(w))
     placed = scores.withColumns({"__gone": value.isNull(), "__at": -value if metric in HIGHER_IS_BETTER else value})
-    placed = number_rows(placed, "__rn", order=["__gone", "__at"])
+    placed = number_rows(cut(placed, "scores"), "__rn", order=["__gone", "__at"])
     first = placed.groupBy("__at").agg(F.min("__rn").cast("int").alias("rank"))
     return attach(placed, first, ["__at"]).drop("__gone", "__at", "__rn")
 
