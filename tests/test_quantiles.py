@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.operators.order import Layout
-from tidegauge.operators.quantiles import quantiles
+from tidegauge.operators.quantiles import between, quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -71,3 +72,25 @@ def test_key_names_that_look_internal(spark):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
     auto = quantiles(df, ["x"], [0.5], by=["n"])
     assert auto.count() == 2
+
+
+def test_interpolation_is_rounded_as_in_sql(spark):
+    """Quartiles of two-digit values equal the SQL's to the last bit, in small and in large groups."""
+    import duckdb
+
+    rng = np.random.default_rng(11)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 400, 20_000), rng.integers(1, 30_000, 20_000) / 100, strict=True)]
+    df = spark.createDataFrame(rows, "k bigint, x double")
+    con = duckdb.connect()
+    con.register("t", df.toPandas())
+    sql = "SELECT k, quantile_cont(x, 0.25), quantile_cont(x, 0.75), quantile_cont(x, 0.9) FROM t GROUP BY 1"
+    want = {(k, p): q for k, *qs in con.execute(sql).fetchall() for p, q in zip((0.25, 0.75, 0.9), qs, strict=True)}
+    for layout in (Layout("grouped"), Layout("sliced", limit=60), Layout("sliced", limit=5)):
+        got = quantiles(df, ["x"], [0.25, 0.75, 0.9], by=["k"], layout=layout).collect()
+        assert {(r["k"], r["prob"]): r["quantile"] for r in got} == want
+
+
+def test_interpolation_of_extreme_values(spark):
+    df = spark.createDataFrame([(1e308, 1.5e308), (float("-inf"), 1.0), (5e-324, 5e-324)], "a double, b double")
+    got = [r[0] for r in df.select(between(df.a, df.b, F.lit(0.25))).collect()]
+    assert got == [1.125e308, float("-inf"), pytest.approx(5e-324, abs=1e-323)]

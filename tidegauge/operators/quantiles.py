@@ -1,7 +1,6 @@
 """Exact interpolated quantiles whose work stays spread out at any size.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer. That is the right tool
-while groups are small. For a larger group the wanted order statistics are bracketed instead: an
+A small group is sorted in one array, which its ranks are taken from. For a larger group the wanted order statistics are bracketed instead: an
 approximate quantile grid (a small mergeable sketch) narrows the interval that holds the wanted
 rank by a factor of about 100 per pass, exact counts confirm it, and only the last small interval
 is ordered.
@@ -29,6 +28,43 @@ def median(x: Column) -> Column:
     return F.percentile(x, 0.5)
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """Two parts of a double with half its digits each, so that products of parts are exact."""
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    return high, x - high
+
+
+def between(low: Column, high: Column, part: Column) -> Column:
+    """``low * (1 - part) + high * part`` with the second product rounded, then the sum rounded once.
+
+    That is a fused multiply-add, as SQL engines interpolate: a bound of an outlier filter often is a value of
+    the data, and a last digit more or less then decides about rows.
+    """
+    rest = 1 - part
+    left, right = low * rest, high * part
+    (a, b), (x, y) = _halves(low), _halves(rest)
+    lost = ((a * x - left) + a * y + b * x) + b * y
+    total = left + right
+    back = total - left
+    once = total + (((left - (total - back)) + (right - back)) + lost)
+    fused = F.when(F.abs(once) < F.lit(float("inf")), once).otherwise(total)
+    return F.when(part == 0, low).otherwise(fused)
+
+
+def _place(n: Column, prob: Column) -> tuple[Column, Column, Column]:
+    """The rank at or below the wanted place among ``n`` values, the rank after it, and the part beyond it."""
+    place = prob * (n - 1)
+    rank = F.floor(place).cast("long")
+    return rank, F.least(rank + 1, n - 1), place - rank
+
+
+def _picked(x: Column, prob: float) -> Column:
+    """The quantile of a sorted array."""
+    rank, following, part = _place(F.size(x), F.lit(float(prob)))
+    return between(F.get(x, rank.cast("int")), F.get(x, following.cast("int")), part)
+
+
 def quantiles(
     df: DataFrame,
     values: Sequence[str],
@@ -42,10 +78,12 @@ def quantiles(
     group = [c(b) for b in by]
     if approx or settle(df, by, layout).how == "grouped":
         wanted = F.array(*[F.lit(float(p)) for p in probs])
-        pick = F.percentile_approx if approx else F.percentile
-        wide = df.groupBy(*group).agg(
-            *[pick(c(v).cast("double"), wanted).alias(f"__q{i}") for i, v in enumerate(values)]
-        )
+        cells = {f"__q{i}": c(v).cast("double") for i, v in enumerate(values)}
+        if approx:
+            wide = df.groupBy(*group).agg(*[F.percentile_approx(x, wanted).alias(q) for q, x in cells.items()])
+        else:
+            wide = df.groupBy(*group).agg(*[F.sort_array(F.collect_list(x)).alias(q) for q, x in cells.items()])
+            wide = wide.withColumns({q: F.array(*[_picked(F.col(q), p) for p in probs]) for q in cells})
         rows = F.array(
             *[
                 F.struct(
@@ -71,15 +109,14 @@ def _bracketed(
     group = [*by, "variable"]
     sized = cut(long.groupBy(*[c(g) for g in group]).agg(F.count(F.lit(1)).alias("__n")), "sizes")
     large = sized.where(F.col("__n") > limit)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
 
     # Small groups take the plain way.
     small = attach(long, sized.where(F.col("__n") <= limit), group, "inner")
+    picks = [F.struct(F.lit(float(p)).alias("prob"), _picked(F.col("__all"), p).alias("quantile")) for p in probs]
     plain = (
         small.groupBy(*[c(g) for g in group])
-        .agg(F.percentile(F.col("__x"), wanted).alias("__q"))
-        .select(*[c(g) for g in group], F.inline(F.arrays_zip(wanted.alias("prob"), F.col("__q").alias("quantile"))))
-        .toDF(*group, "prob", "quantile")
+        .agg(F.sort_array(F.collect_list("__x")).alias("__all"))
+        .select(*[c(g) for g in group], F.inline(F.array(*picks)))
     )
     out = plain.unionByName(_interpolated(_searched(long, group, large, probs, limit), group, large, probs))
     if by:
@@ -90,12 +127,8 @@ def _bracketed(
 
 def _ranks(large: DataFrame, probs: Sequence[float]) -> DataFrame:
     """Per large group and probability the rank at or below the wanted place, and the part beyond it."""
-    place = F.col("prob") * (F.col("__n") - 1)
     rows = large.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    rows = rows.withColumn("__rank", F.floor(place).cast("long"))
-    return rows.withColumns(
-        {"__next": F.least(F.col("__rank") + 1, F.col("__n") - 1), "__part": place - F.col("__rank")}
-    )
+    return rows.withColumns(dict(zip(("__rank", "__next", "__part"), _place(F.col("__n"), F.col("prob")), strict=True)))
 
 
 def _interpolated(found: DataFrame, group: list[str], large: DataFrame, probs: Sequence[float]) -> DataFrame:
@@ -103,7 +136,7 @@ def _interpolated(found: DataFrame, group: list[str], large: DataFrame, probs: S
     low = found.withColumnRenamed("__value", "__a")
     high = found.select(*[c(g) for g in group], F.col("__rank").alias("__next"), F.col("__value").alias("__b"))
     both = attach(attach(ranks, low, [*group, "__rank"], "inner"), high, [*group, "__next"], "inner")
-    value = F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")
+    value = between(F.col("__a"), F.col("__b"), F.col("__part"))
     return both.select(*[c(g) for g in group], "prob", value.alias("quantile"))
 
 
