@@ -358,3 +358,25 @@ def test_overall_rank_of_scores_that_differ_when_taken_again(spark):
     scores = spark.range(40).select("id", noisy("id").alias("mae"))
     got = {r["id"]: r["rank"] for r in evaluate.rank_models(scores, "mae").collect()}
     assert got == {i: i + 1 for i in range(40)}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS, ids=["grouped", "sliced"])
+def test_autoregressive_backtest_copies_no_rows(spark, table, layout, monkeypatch):
+    """The same rows as with a copy per fold; the number of rows that are laid out does not grow with the folds."""
+    from tidegauge.operators import autoreg, order
+
+    placed = []
+    numbered = order._numbered
+    monkeypatch.setattr(order, "_numbered", lambda df, *a, **k: (placed.append(df.count()), numbered(df, *a, **k))[1])
+    for folds in (3, 6):
+        how = {"n_splits": folds, "test_size": 10, "layout": layout, **HOW}
+        general = evaluate.backtest_with(table, "x", autoreg.autoregressive_forecast, **how)
+        placed.clear()
+        direct = autoreg.backtest_autoregression(table, "x", **how)
+        assert placed == ([] if layout.how == "auto" else [table.where("x IS NOT NULL").count()])
+        key = lambda r: (str(r["k"]), r["fold"], r["step"])
+        a, b = sorted(general.collect(), key=key), sorted(direct.collect(), key=key)
+        assert a and [key(r) for r in a] == [key(r) for r in b]
+        assert [r["actual"] for r in a] == [r["actual"] for r in b]
+        assert [r["predicted"] for r in a] == pytest.approx([r["predicted"] for r in b], rel=1e-9)
+    assert autoreg.backtest_autoregression(table, "x", n_splits=11, test_size=10, layout=layout, **HOW).count() == 0

@@ -11,22 +11,31 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..columns import c
+from ..columns import attach, c
+from .evaluate import _check_folds
 from .forecast import DEFAULT_STEPS, _by_step, check_steps
-from .order import AUTO, TIE, Layout, fill_gaps, settle, with_ties
+from .order import AUTO, TIE, Layout, fill_gaps, number_rows, settle, with_places, with_ties
 from .windows import lags
 
 # Grid of orders, least number of points.
 ORDERS = [(p, d) for p in (0, 1, 2) for d in (0, 1)]
 MIN_POINTS = 100
 _LAGS = 3
+#: Terms of the moments, and the pairs whose covariance the fits need.
+_TERMS = ["x", "u", "z0", "z1", "z2"]
+_PAIRS = ["x x", "u u", "u z0", "u z1", "z0 z0", "z0 z1", "z0 z2", "z1 z1", "z1 z2", "z2 z2"]
 
 
 def _lagged(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], layout: Layout) -> DataFrame:
     rows = with_ties(df, keys, order).select(*[c(n) for n in dict.fromkeys([*keys, *order, value, TIE])])
+    rows = with_places(rows, keys, order, layout)
     rows = fill_gaps(rows, [value], keys=keys, order=order, how="both", layout=layout)
-    rows = rows.where(c(value).isNotNull())
+    return _with_lags(rows.where(c(value).isNotNull()), value, keys, order, layout)
+
+
+def _with_lags(rows: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], layout: Layout) -> DataFrame:
     return lags(
         rows, [value], range(1, _LAGS + 1), keys=keys, order=order,
         name=lambda v, k: f"__l{k}", layout=layout,
@@ -44,10 +53,9 @@ def _moments(value: str) -> dict[str, Column]:
     whole = x[_LAGS].isNotNull()
     terms = {"x": x[0], "u": x[1], **{f"z{i}": x[i] - x[i + 1] for i in range(3)}}
     terms = {n: F.when(whole, e) for n, e in terms.items()}
-    pairs = ["x x", "u u", "u z0", "u z1", "z0 z0", "z0 z1", "z0 z2", "z1 z1", "z1 z2", "z2 z2"]
     out = {"points": F.count(x[0]), "n": F.count_if(whole)}
     out |= {f"mean {n}": F.avg(e) for n, e in terms.items()}
-    for pair in pairs:
+    for pair in _PAIRS:
         left, right = pair.split()
         out[pair] = F.covar_pop(terms[left], terms[right])
     return out
@@ -119,6 +127,11 @@ def _fitted(
         *[e.alias(n) for n, e in _moments(value).items()],
         F.max_by(ends, F.struct(*[c(o) for o in [*order, TIE]])).alias("__tail"),
     )
+    return _chosen(moments, keys)
+
+
+def _chosen(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The fit of least AIC from the moments of every series."""
     return (
         moments.where(F.col("points") >= MIN_POINTS)
         .withColumn("__best", F.array_min(_candidates()))
@@ -213,3 +226,78 @@ def autoregressive_forecast(
     return out.withColumns(
         {"confidence_lower": F.col("forecast") - band, "confidence_upper": F.col("forecast") + band}
     ).drop("__se")
+
+
+def _merged(blocks: DataFrame, keys: Sequence[str], n_splits: int) -> DataFrame:
+    """Moments of the rows that each fold trains on, from those of the blocks before it.
+
+    The covariances are put together around the common mean, so nothing cancels.
+    """
+    folds = blocks.withColumn("fold", F.explode(F.sequence(F.col("block") + 1, F.lit(n_splits))))
+    by = [*[c(k) for k in keys], F.col("fold")]
+    w = Window.partitionBy(*by)
+
+    def pooled(x: Column) -> Column:
+        return F.try_divide(F.sum(F.col("n") * x), F.sum("n"))
+
+    whole = F.sum("n").over(w)
+    common = {f"all {t}": F.try_divide(F.sum(F.col("n") * c(f"mean {t}")).over(w), whole) for t in _TERMS}
+    out = [F.sum("points").alias("points"), F.sum("n").alias("n"), *[pooled(c(f"mean {t}")).alias(f"mean {t}") for t in _TERMS]]
+    for pair in _PAIRS:
+        left, right = (c(f"mean {t}") - c(f"all {t}") for t in pair.split())
+        out.append(pooled(c(pair) + left * right).alias(pair))
+    last = F.col("block") == F.col("fold") - 1
+    ends = [F.max(F.when(last, F.col(f"__t{i}"))) for i in range(_LAGS)]
+    return folds.withColumns(common).groupBy(*by).agg(*out, F.array(*ends).alias("__tail"))
+
+
+def backtest_autoregression(
+    df: DataFrame,
+    value: str,
+    *,
+    n_splits: int = 5,
+    test_size: int = 24,
+    min_train: int = 100,
+    keys: Sequence[str] = (),
+    order: Sequence[str],
+    layout: Layout = AUTO,
+) -> DataFrame:
+    """``backtest_with`` these forecasts, without a copy of the rows per fold.
+
+    Folds train on growing parts of one series. So the series is laid out and lagged once, each part that
+    a fold adds gives its moments, and a fold is fitted from those of the parts before it.
+    """
+    _check_folds(n_splits, test_size)
+    held = n_splits * test_size
+    rows = df.where(c(value).isNotNull()).select(*[c(n) for n in dict.fromkeys([*keys, *order, value])])
+    layout = settle(rows, keys, layout)
+    how = {"keys": keys, "order": order, "layout": layout}
+    rows = number_rows(with_places(rows, keys, order, layout), "__back", descending=True, **how)
+    after = F.lit(held + 1) - F.col("__back")
+    # The block of a row is the fold that tests on it; 0 is what all folds train on.
+    rows = rows.withColumn("block", F.greatest(F.ceil(after / test_size), F.lit(0)).cast("int"))
+    test = rows.where(F.col("block") > 0).select(
+        *[c(k) for k in keys],
+        F.col("block").alias("fold"),
+        ((after - 1) % test_size + 1).cast("int").alias("step"),
+        c(value).alias("actual"),
+    )
+    last = after == F.col("block") * test_size
+    ends = [F.col("__l2"), F.col("__l1"), c(value)]
+    blocks = (
+        _with_lags(rows, value, keys, order, layout)
+        .where(F.col("block") < n_splits)
+        .groupBy(*[c(k) for k in keys], "block")
+        .agg(
+            *[e.alias(n) for n, e in _moments(value).items()],
+            *[F.max(F.when(last, x.cast("double"))).alias(f"__t{i}") for i, x in enumerate(ends)],
+        )
+    )
+    # Series that are too short for all folds are left out.
+    least = F.lit(min_train) + (F.col("fold") - 1) * test_size
+    fits = _chosen(_merged(blocks, keys, n_splits).where(F.col("points") >= least), [*keys, "fold"])
+    paths = fits.withColumn("__path", _path(F.col("__tail"), test_size))
+    ahead = _by_step(paths, [*keys, "fold"], {"predicted": F.col("__path")})
+    return attach(test, ahead, [*keys, "fold", "step"], "inner").select(
+        *[c(k) for k in keys], "fold", "step", "actual", "predicted"
+    )

@@ -15,20 +15,23 @@ Each function here has two layouts:
 ``order`` should identify rows (time plus an id) wherever ties would make the result ambiguous. Rows
 that tie are put in the order of a hash of their other columns, in both layouts alike, so a result
 does not depend on the size of the table. Steps that follow each other, on ever fewer or more columns,
-take the hash once, on the whole rows they start from (``with_ties``), and carry it.
+take the hash once, on the whole rows they start from (``with_ties``), and carry it. They may also carry the
+place of each row (``with_places``): the sliced layout then moves and writes the table once for all of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from math import ceil
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..columns import c, hashable
+from ..columns import attach, c, hashable
 from ..session import cut
 
 #: Largest series that one task may hold.
@@ -39,7 +42,7 @@ SLICE_ROWS = 250_000
 _PARTITION_ROWS, _MAX_PARTITIONS = 8_000_000, 50_000
 
 _ID, _PART, _POS, _SLICE, _OWN, _TIE = "__id", "__part", "__pos", "__slice", "__own", "__tie"
-TIE = _TIE
+TIE, PLACE = _TIE, _POS
 
 Stage = dict[str, Column]
 
@@ -119,6 +122,18 @@ def with_ties(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return _tied(df, keys, order)
 
 
+def with_places(df: DataFrame, keys: Sequence[str], order: Sequence[str], layout: Layout) -> DataFrame:
+    """The rows with the hash that orders ties and, in the sliced layout, with their places in (keys, order).
+
+    Steps over such rows read the places and do not lay the rows out again; whoever added them drops
+    ``TIE`` and ``PLACE``. Between the steps only whole series and first rows of series may be left out.
+    """
+    layout = settle(df, keys, layout)
+    if layout.how == "grouped":
+        return with_ties(df, keys, order)
+    return _numbered(_tied(df, keys, order), keys, order, layout.slice_rows, layout.total).drop(_SLICE)
+
+
 def _tied(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add the hash that orders rows which tie on (keys, order), unless they carry one."""
     return df if _TIE in df.columns else df.withColumn(_TIE, tie_of(df, {*keys, *order}))
@@ -186,6 +201,18 @@ def _numbered(
     )
 
 
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, total: int | None) -> DataFrame:
+    """The rows with place and slice, laid out unless they carry their places."""
+    if _POS in df.columns:
+        return df.withColumn(_SLICE, F.expr(f"{_POS} div {size}"))
+    return _numbered(df, keys, order, size, total)
+
+
+def _without_place(df: DataFrame, given: DataFrame) -> DataFrame:
+    """``df`` without slices, and without places unless the frame it was made from had come with them."""
+    return df.drop(_SLICE) if _POS in given.columns else df.drop(_SLICE, _POS)
+
+
 def _slice_window(keys: Sequence[str], descending: bool = False) -> WindowSpec:
     position = F.col(_POS).desc() if descending else F.col(_POS).asc()
     return Window.partitionBy(F.col(_SLICE), *[c(k) for k in keys]).orderBy(position)
@@ -218,7 +245,7 @@ def over_rows(
         return _without_tie(add(_tied(df, keys, order), _window(keys, order)), df)
 
     size = max(layout.slice_rows, before, after, 1)
-    rows = _numbered(df, keys, order, size, total)
+    rows = _sliced(df, keys, order, size, total)
     place = F.expr(f"{_POS} % {size}")
     homes = [F.col(_SLICE)]
     if before:
@@ -229,7 +256,7 @@ def over_rows(
         _SLICE, F.explode(F.array_compact(F.array(*homes)))
     )
     done = add(spread, _slice_window(keys))
-    return done.where(F.col(_OWN) == F.col(_SLICE)).drop(_OWN, _SLICE, _POS)
+    return _without_place(done.where(F.col(_OWN) == F.col(_SLICE)).drop(_OWN), df)
 
 
 def _carry(
@@ -296,6 +323,9 @@ def number_rows(
         w = _window(keys, order, descending)
         numbered = _tied(df, keys, order).withColumn(name, F.row_number().over(w).cast("bigint"))
         return _without_tie(numbered, df)
+    if _POS in df.columns:
+        ends = df.groupBy(*[c(k) for k in keys]).agg((F.max(_POS) if descending else F.min(_POS)).alias("__end"))
+        return attach(df, ends, keys).withColumn(name, F.abs(F.col(_POS) - F.col("__end")) + 1).drop("__end")
     rows = _numbered(df, keys, order, layout.slice_rows, total, descending)
     if not keys:
         return rows.withColumn(name, F.col(_POS) + 1).drop(_POS, _SLICE)
@@ -331,7 +361,9 @@ def fill_gaps(
         raise ValueError(f"unknown fill direction: {how}")
     directions = {"forward": [True], "back": [False], "both": [True, False]}[how]
     grouped, total = _choose(df, keys, layout)
-    rows = _tied(df, keys, order) if grouped else _numbered(df, keys, order, layout.slice_rows, total)
+    if _POS in df.columns and not df.where(reduce(or_, [c(v).isNull() for v in values], F.lit(False))).take(1):
+        return df
+    rows = _tied(df, keys, order) if grouped else _sliced(df, keys, order, layout.slice_rows, total)
     up = _window(keys, order) if grouped else _slice_window(keys)
     down = _window(keys, order, descending=True) if grouped else _slice_window(keys, descending=True)
 
@@ -377,7 +409,7 @@ def fill_gaps(
 
     out = out.withColumns({v: pick(v) for v in values})
     extra = [*found, *[f"{tag[v]}{m}" for v in values for m in carried]]
-    return _without_tie(out.drop(*extra, _POS, _SLICE), df)
+    return _without_tie(_without_place(out.drop(*extra), df), df)
 
 
 def tail_rows(

@@ -587,7 +587,7 @@ def _(t, layout):
     WHERE r.step > 0
     """, doubles="actual predicted", digits=5)
 def _(t):
-    return evaluate.backtest_with(_typed(t), "value", autoreg.autoregressive_forecast, **_TYPE)
+    return autoreg.backtest_autoregression(_typed(t), "value", **_TYPE)
 
 
 # ---- run catalogue ---------------------------------------------------------------------------
