@@ -94,3 +94,23 @@ def test_interpolation_of_extreme_values(spark):
     df = spark.createDataFrame([(1e308, 1.5e308), (float("-inf"), 1.0), (5e-324, 5e-324)], "a double, b double")
     got = [r[0] for r in df.select(between(df.a, df.b, F.lit(0.25))).collect()]
     assert got == [1.125e308, float("-inf"), pytest.approx(5e-324, abs=1e-323)]
+
+
+def test_very_many_groups_are_sorted_and_not_searched(spark, monkeypatch):
+    """Groups that end inside slices, that span several, that are null or have one hot value."""
+    from tidegauge.operators import quantiles as module
+
+    monkeypatch.setattr(module, "_searched", lambda *a: pytest.fail("one sketch per rank"))
+    rng = np.random.default_rng(8)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 300, 6000), rng.integers(0, 900, 6000) / 8, strict=True)]
+    rows += [(None, float(v)) for v in rng.normal(0, 1, 2000)] + [(-1, 7.0)] * 500 + [(-2, None)] * 3
+    df = spark.createDataFrame(rows, "k bigint, x double").repartition(5)
+    out = quantiles(df, ["x"], PROBS, by=["k"], layout=Layout("sliced", limit=5, slice_rows=64)).collect()
+    have = {(r["k"], r["prob"]): r["quantile"] for r in out}
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    assert have.keys() == {(k, p) for k in groups for p in PROBS}
+    for (k, p), q in have.items():
+        assert q == pytest.approx(np.quantile(groups[k], p), rel=1e-12)

@@ -3,7 +3,8 @@
 A small group is sorted in one array, which its ranks are taken from. For a larger group the wanted order statistics are bracketed instead: an
 approximate quantile grid (a small mergeable sketch) narrows the interval that holds the wanted
 rank by a factor of about 100 per pass, exact counts confirm it, and only the last small interval
-is ordered.
+is ordered. Where there are very many groups, sketches of all would be more than the values: there the
+distinct values are counted and sorted once.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..columns import attach, c
+from ..columns import attach, c, hashable
 from ..session import cut
-from .order import AUTO, Layout, settle
+from .order import _POS, _SLICE, AUTO, Layout, _numbered, settle
 
 _GRID = 128
 _ACCURACY = 20_000
 #: Open ranks (a group's name and a few numbers each) that are sent to every executor; more are shuffled.
 _BROADCAST_RANKS = 100_000
+#: Open ranks that are searched by sketches, one for each; with more the values are sorted instead.
+_SEARCHED_RANKS = 1_000
 
 
 def median(x: Column) -> Column:
@@ -76,7 +79,9 @@ def quantiles(
 ) -> DataFrame:
     """Long table (by…, variable, prob, quantile); columns without values give NULL."""
     group = [c(b) for b in by]
-    if approx or settle(df, by, layout).how == "grouped":
+    if not approx:
+        layout = settle(df, by, layout)
+    if approx or layout.how == "grouped":
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         cells = {f"__q{i}": c(v).cast("double") for i, v in enumerate(values)}
         if approx:
@@ -96,16 +101,59 @@ def quantiles(
             ]
         )
         return wide.select(*group, F.inline(rows))
+    if by and _groups(df, by) * len(values) * 2 * len(probs) > _SEARCHED_RANKS:
+        return _sorted(df, values, probs, by, layout)
     return _bracketed(df, values, probs, by, layout.limit)
 
 
+def _groups(df: DataFrame, by: Sequence[str]) -> int:
+    """About how many groups there are: one scan of their columns, one small sketch."""
+    name = F.struct(*[hashable(df, b) for b in by])
+    return df.agg(F.approx_count_distinct(F.xxhash64(name))).first()[0]
+
+
+def _long(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(by…, variable, __x) of all values that are there."""
+    cells = [F.struct(F.lit(v).alias("variable"), c(v).cast("double").alias("__x")) for v in values]
+    return df.select(*[c(b) for b in by], F.inline(F.array(*cells))).where(F.col("__x").isNotNull())
+
+
+def _sorted(
+    df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str], layout: Layout
+) -> DataFrame:
+    """Quantiles of very many groups, with as much work as a sort whatever their number.
+
+    The values of all groups are counted, the counts sorted by group and value over all tasks and cut into
+    slices; a running sum over the slices of a group tells which of them hold its ranks.
+    """
+    group = [*by, "variable"]
+    names = [c(g) for g in group]
+    counts = cut(_long(df, values, by).groupBy(*names, "__x").agg(F.count(F.lit(1)).alias("__n")), "counts")
+    sized = cut(counts.groupBy(*names).agg(F.sum("__n").alias("__n")), "sizes")
+    rows = _numbered(counts, group, ["__x"], layout.slice_rows, (layout.total or 0) * len(values)).drop(_POS)
+    upto = Window.partitionBy(*names).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, 0)
+    slices = rows.groupBy(*names, _SLICE).agg(F.sum("__n").alias("__in"))
+    slices = slices.withColumn("__below", F.sum("__in").over(upto) - F.col("__in"))
+    ranks = [r for p in probs for r in _place(F.col("__n"), F.lit(float(p)))[:2]]
+    wanted = sized.select(*names, F.array_distinct(F.array(*ranks)).alias("__ranks"))
+
+    def inside(below: str, n: str) -> Column:
+        return F.filter("__ranks", lambda r: (r >= F.col(below)) & (r < F.col(below) + F.col(n)))
+
+    hits = attach(slices, wanted, group, "inner").withColumn("__ranks", inside("__below", "__in"))
+    hits = hits.where(F.size("__ranks") > 0).drop("__in")
+    w = Window.partitionBy(F.col(_SLICE), *names).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    near = attach(rows, hits, [_SLICE, *group], "inner")
+    near = near.withColumn("__below", F.col("__below") + F.sum("__n").over(w) - F.col("__n"))
+    found = near.select(*names, F.explode(inside("__below", "__n")).alias("__rank"), F.col("__x").alias("__value"))
+    return _interpolated(cut(found, "found"), group, sized, probs)
+
+
 def _bracketed(
     df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str], limit: int
 ) -> DataFrame:
     spark = df.sparkSession
-    cells = [F.struct(F.lit(v).alias("variable"), c(v).cast("double").alias("__x")) for v in values]
-    keep = [c(b) for b in by]
-    long = cut(df.select(*keep, F.inline(F.array(*cells))).where(F.col("__x").isNotNull()), "values")
+    long = cut(_long(df, values, by), "values")
     group = [*by, "variable"]
     sized = cut(long.groupBy(*[c(g) for g in group]).agg(F.count(F.lit(1)).alias("__n")), "sizes")
     large = sized.where(F.col("__n") > limit)
