@@ -152,3 +152,18 @@ def test_seasonal_forecast_repeats_the_pattern(seasonal):
     assert got == pytest.approx(history[-48:], rel=1e-9)
     with pytest.raises(ValueError):
         arima.fit_arima(df, "x", seasonal_difference=True, **HOW)
+
+
+def test_a_series_is_laid_out_once(seasonal, monkeypatch):
+    from tidegauge.operators import order
+
+    calls = []
+    numbered = order._numbered
+    monkeypatch.setattr(order, "_numbered", lambda *a, **k: (calls.append(1), numbered(*a, **k))[1])
+    how = {"period": 24, "seasonal_difference": True, "candidates": [(1, 0, 1, 1, 1)], **HOW}
+    one, two = (
+        arima.fit_arima(seasonal[1], "x", layout=layout, **how).first()
+        for layout in (Layout("grouped"), Layout("sliced", slice_rows=300))
+    )
+    assert len(calls) == 1
+    assert list(one)[1:] == pytest.approx(list(two)[1:], rel=1e-9)

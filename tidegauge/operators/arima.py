@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..columns import attach, c
 from .autoreg import MIN_POINTS
 from .forecast import DEFAULT_STEPS, _by_step, check_steps
-from .order import AUTO, TIE, Layout, fill_gaps, over_rows, settle, tail_rows, with_ties
+from .order import AUTO, TIE, Layout, fill_gaps, over_rows, settle, tail_rows, with_places, with_ties
 
 #: Lags of the long autoregression.
 LONG = 8
@@ -128,19 +128,18 @@ def _best(candidates: Sequence[tuple[int, ...]]) -> Column:
 
 
 def _series(
-    df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], season: int, layout: Layout
+    df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], layout: Layout
 ) -> DataFrame:
-    """The rows with ``__level``, gaps filled, and ``__y``, the level or its seasonal difference."""
+    """The rows with ``__level``, gaps filled; they carry their places for the steps over them."""
     rows = with_ties(df, keys, order).select(*[c(n) for n in dict.fromkeys([*keys, *order, value, TIE])])
+    rows = with_places(rows, keys, order, layout)
     rows = fill_gaps(rows, [value], keys=keys, order=order, how="both", layout=layout)
-    rows = rows.where(c(value).isNotNull()).withColumn("__level", c(value).cast("double"))
-    if not season:
-        return rows.withColumn("__y", F.col("__level"))
+    return rows.where(c(value).isNotNull()).withColumn("__level", c(value).cast("double"))
 
-    def difference(w: WindowSpec) -> dict[str, Column]:
-        return {"__y": F.col("__level") - F.lag("__level", season).over(w)}
 
-    return over_rows(rows, difference, keys=keys, order=order, before=season, layout=layout)
+def _difference(w: WindowSpec, season: int) -> dict[str, Column]:
+    """``__y``, the level or its seasonal difference, which the first rows do not have."""
+    return {"__y": F.col("__level") - F.lag("__level", season).over(w) if season else F.col("__level")}
 
 
 def _past(k: int) -> str:
@@ -164,9 +163,11 @@ def _fitted(
     """The best fit of each series, and its rows with ``__y`` and the innovations ``__e``."""
     layout = settle(df, keys, layout)
     how = {"keys": keys, "order": order, "layout": layout}
-    rows = _series(df, value, keys, order, season, layout).where("__y IS NOT NULL")
+    rows = _series(df, value, keys, order, layout)
     by = [c(k) for k in keys]
-    lagged = over_rows(rows, lambda w: _lagged(w, range(1, LONG + 1)), before=LONG, **how)
+    lagged = over_rows(
+        rows, lambda w: [_difference(w, season), _lagged(w, range(1, LONG + 1))], before=season + LONG, **how
+    ).where("__y IS NOT NULL")
     long = lagged.groupBy(*by).agg(*_moments(_changes(), F.col(_past(LONG)).isNotNull()))
     idx = F.array(*[F.lit(i) for i in range(LONG)])
     beta, const, _ = _fit(idx, F.lit(LONG), F.col("n"), F.lit(0.0))
@@ -181,10 +182,10 @@ def _fitted(
 
     def build(w: WindowSpec) -> list[dict[str, Column]]:
         lag_e = {f"__{n}": F.lag("__e", k).over(w) for n, k in shocks.items()}
-        return [_lagged(w, steps), {"__e": F.when(F.col(_past(LONG)).isNotNull(), e)}, lag_e]
+        return [_difference(w, season), _lagged(w, steps), {"__e": F.when(F.col(_past(LONG)).isNotNull(), e)}, lag_e]
 
-    reach = max(steps) + LONG + max(shocks.values())
-    rows = over_rows(attach(rows, long, keys), build, before=reach, **how)
+    reach = season + max(steps) + LONG + max(shocks.values())
+    rows = over_rows(attach(rows, long, keys), build, before=reach, **how).where("__y IS NOT NULL")
     level = [F.col("__y"), *[F.col(_past(k)) for k in range(1, 4)]]
     found = {
         "before": level[1], "change1": level[1] - level[2], "change2": level[2] - level[3],
