@@ -158,3 +158,21 @@ def test_series_are_cleaned_apart(spark):
     assert whole.where("x = 500").count() == 1
     own = clean.iqr_filter(df, ["x"], keys=["k"], layout=Layout("sliced", limit=5))
     assert own.where("x = 500").count() == 0 and own.where("k = 'b'").count() == 20
+
+
+def test_keyed_cleaning_brings_the_rows_together_once(spark):
+    """Fill, means, bounds of every column and one row per stamp: one exchange by key, the same rows as in slices."""
+    from tidegauge.operators.order import Layout, settle
+
+    rows = [(k, i // 2, i, None if i % 9 == 0 else float((i * 37) % 50 + (400 if i % 41 == 0 else 0)), float(i % 13)) for k in "abc" for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, ts bigint, id bigint, x double, y double").repartition(3)
+    layout = settle(df, ["k"], Layout())
+    out = clean.clean(df, ["x", "y"], "ts", keys=["k"], tie=["id"], layout=layout)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "Join" not in plan
+    cut = clean.clean(df, ["x", "y"], "ts", keys=["k"], tie=["id"], layout=Layout("sliced", slice_rows=50, limit=20))
+    both = [sorted(tuple(r) for r in o.select(*df.columns).collect()) for o in (out, cut)]
+    # The row after an outlier stands for their stamp.
+    assert len(both[0]) == 180 and max(r[3] for r in both[0]) < 400
+    assert [r[:3] for r in both[0]] == [r[:3] for r in both[1]]
+    assert [r[3] for r in both[0]] == pytest.approx([r[3] for r in both[1]])

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..columns import attach, c, hashable, present, quoted
 from ..session import cut
-from .order import AUTO, Layout, fill_gaps, over_rows, settle
+from .order import AUTO, TIE, Layout, fill_gaps, over_rows, settle
 from .quantiles import quantiles
 from .select import parse_ts
 
@@ -144,6 +144,31 @@ def iqr_filter(
     return df
 
 
+def _without_outliers(
+    df: DataFrame, values: Sequence[str], keys: Sequence[str], by_mean: bool, mode: str, k: float
+) -> DataFrame:
+    """``fill_mean`` if wanted, then ``iqr_filter``, for series that fit one task.
+
+    Means and quartiles are windows over the whole series, so rows that the step before has brought
+    together by key stay where they are, and no step is run again for the one after it.
+    """
+    if mode not in ("sequential", "joint"):
+        raise ValueError(f"unknown mode: {mode}")
+    series = Window.partitionBy(*[c(n) for n in keys])
+    if by_mean:
+        df = df.withColumns({v: F.coalesce(c(v), F.avg(c(v)).over(series)) for v in values})
+    quarters = F.array(F.lit(0.25), F.lit(0.75))
+    for batch in [[v] for v in values] if mode == "sequential" else [list(values)]:
+        df = df.withColumns(
+            {f"__q{i}": F.percentile(c(v).cast("double"), quarters).over(series) for i, v in enumerate(batch)}
+        )
+        for i, v in enumerate(batch):
+            low, high = (F.get(f"__q{i}", F.lit(j)) for j in (0, 1))
+            df = df.where(low.isNull() | c(v).between(low - k * (high - low), high + k * (high - low)))
+        df = df.drop(*[f"__q{i}" for i in range(len(batch))])
+    return df
+
+
 def dedupe_ts(
     df: DataFrame, ts: str, *, keys: Sequence[str] = (), tie: Sequence[str] = ()
 ) -> DataFrame:
@@ -152,7 +177,7 @@ def dedupe_ts(
     Spark limits each group to one row on the map side, so many copies of one stamp stay cheap.
     """
     by = [*keys, ts]
-    order = [hashable(df, n) for n in (tie or [n for n in df.columns if n not in by])] or [F.lit(1)]
+    order = [hashable(df, n) for n in (tie or [n for n in df.columns if n not in {*by, TIE}])] or [F.lit(1)]
     w = Window.partitionBy(*[c(b) for b in by]).orderBy(*order)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r")
 
@@ -189,6 +214,10 @@ def clean(
     df = parse_ts(df, ts, fmt) if fmt else df.where(c(ts).isNotNull())
     layout = settle(df, keys, layout)
     series = {"keys": keys, "order": [ts, *tie], "layout": layout}
+    if keys and per_key and layout.how == "grouped":
+        df = fill_previous(df, values, **series) if fill == "lag_mean" else ffill_bfill(df, values, **series)
+        df = _without_outliers(df, values, keys, fill == "lag_mean", iqr_mode, k)
+        return dedupe_ts(df, ts, keys=keys, tie=tie)
     own = keys if per_key else ()
     # The filled rows are written once: the means and every column's bounds are read from them.
     if fill == "lag_mean":

@@ -11,7 +11,7 @@ from ..columns import present
 from ..operators import clean as cleaning
 from ..operators.features import add_features, add_light_features, feature_list
 from ..operators.mlprep import fit_scaler, scale
-from ..operators.order import AUTO, Layout, settle
+from ..operators.order import AUTO, TIE, Layout, settle, with_ties
 from ..operators.profiles import summary
 from ..operators.quality import validate, verdict
 from ..operators.select import final_columns
@@ -52,13 +52,14 @@ def processed(
     several cleaning passes, so they are written to the shared folder in between.
     """
     layout = settle(df, keys, layout)
+    # One order of ties for all steps: what is brought together and sorted by key once then stays so.
     cleaned = cleaning.clean(
-        df, values, ts, keys=keys, tie=tie, fmt=fmt, fill=fill, layout=layout
+        with_ties(df, keys, [ts, *tie]), values, ts, keys=keys, tie=tie, fmt=fmt, fill=fill, layout=layout
     )
     featured = add_features(
         cleaned, ts, keys=keys, tie=tie, lagged=present(df, values)[:3], layout=layout
     )
-    featured = cut(featured, "featured")
+    featured = cut(featured.drop(TIE), "featured")
     used = feature_list(featured, features)
     scaled = scale(featured, used, fit_scaler(featured, used))
     extra = [n for n in ("AQI", "scaled_features") if n in scaled.columns]
